@@ -1,0 +1,321 @@
+"""Registered queries: library calls over the filings of one data folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prudentia.constants import CAPITAL, INCOME, KPI_ACCOUNTS, SUMMARY
+from prudentia.functions import display, periods, text
+from prudentia.operators.accounts import digit_repair_map
+from prudentia.operators.quality import key_violations, null_counts, split_valid
+from prudentia.plans import balances, income, institutions, maintenance, rankings
+from prudentia.plans import ratios, report_lines, tables
+from prudentia.plans.rankings import ALL_PERIODS
+from prudentia.schemas import REPORT_VALUES
+from prudentia.sources import balance_files, registry_files, report_files
+from prudentia.sources.lineitem import LineitemFilings
+
+# Quarters of the order calendar, the columns of the wide tables.
+QUARTERS = [year * 100 + month for year in range(1995, 2002) for month in (3, 6, 9, 12)]
+MONTHS = [year * 100 + month for year in range(1995, 2002) for month in range(1, 13)]
+
+Query = Callable[[LineitemFilings], DataFrame]
+
+
+# --- columns and checks over derived data ---
+
+
+def scalar_columns(f: LineitemFilings) -> DataFrame:
+    """Text functions over the balance rows."""
+    rows = f.balances()
+    amount = F.translate(F.format_number(F.col("saldo") / F.lit(100.0), 2), ",.", ".,")
+    code = F.regexp_replace("conta", "[.-]", "")
+    return rows.select(
+        "cnpj", "conta", "ano_mes",
+        text.parse_number(amount).alias("valor"),
+        text.dotted_account(code).alias("conta_pontuada"),
+        text.cnpj8(F.col("cnpj")).alias("raiz"),
+        text.account_stem(F.col("conta")).alias("conta_base"),
+        text.zero_digit_account(F.col("conta")).alias("conta_zero"),
+        text.income_order(F.col("conta")).alias("ordem"),
+    )
+
+
+def period_columns(f: LineitemFilings) -> DataFrame:
+    """Period functions over every balance month."""
+    p = F.col("ano_mes")
+    return f.balances().select("ano_mes").distinct().select(
+        "ano_mes",
+        periods.year(p).alias("ano"),
+        periods.month(p).alias("mes"),
+        periods.semester(p).alias("semestre"),
+        periods.annualisation_factor(p).alias("fator"),
+        periods.quarter_label(p).alias("rotulo"),
+        periods.quarter_heading(p).alias("titulo"),
+        periods.month_label(p).alias("rotulo_mes"),
+    )
+
+
+def name_columns(f: LineitemFilings) -> DataFrame:
+    """Commercial names and code texts of every registry entry."""
+    return f.cadastro.select(
+        "ano_mes", "cod_conglomerado",
+        text.commercial_name(F.col("nome_conglomerado")).alias("nome_comercial"),
+        display.code_text(F.col("cod_conglomerado")).alias("codigo"),
+    )
+
+
+def display_columns(f: LineitemFilings) -> DataFrame:
+    """Display texts of every report line."""
+    value = F.col("valor_a")
+    return f.report_lines().select(
+        "ano_mes", "relatorio", "cod_conglomerado", "nome_linha",
+        text.is_percent_line(F.col("nome_linha")).alias("percentual"),
+        display.amount_text(value / F.lit(100.0)).alias("valor_texto"),
+        display.percent_text(value).alias("percentual_texto"),
+    )
+
+
+def pending_periods(f: LineitemFilings) -> DataFrame:
+    """Every balance month and report without loaded lines."""
+    reports = F.explode(F.array(F.lit(SUMMARY), F.lit(INCOME), F.lit(CAPITAL)))
+    wanted = f.balances().select("ano_mes").distinct().select(
+        "ano_mes", reports.alias("relatorio")
+    )
+    return maintenance.pending(wanted, f.fetch_log)
+
+
+def rejected_lines(f: LineitemFilings) -> DataFrame:
+    """Lines that a table requiring a value would send to quarantine."""
+    _, bad = split_valid(f.report_lines(), [*REPORT_VALUES.required, "valor_a"])
+    return bad
+
+
+# --- files derived from order lines ---
+
+
+def _individual_text(f: LineitemFilings) -> DataFrame:
+    """Lines of individual files; short, commented and empty ones included."""
+    rows = f._read("lineitem").where(F.col("l_linestatus") == "O")
+    cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
+    amount = F.translate(F.format_number(cents / F.lit(100.0), 2), ",.", ".,")
+    period = F.year("l_shipdate") * 100 + F.month("l_shipdate")
+    root = F.lpad(F.col("l_suppkey").cast("string"), 8, "0")
+    code = F.concat(F.lit("71"), F.col("l_linenumber"), F.lit("0000"), F.lit("5"))
+    fields = [
+        F.lit("#BASE"), F.lit("4010"), F.concat(F.lit(" "), root, F.lit("0001 ")), F.lit("1"),
+        F.lit("BANCO "), F.lit("1"), F.lit("GRUPO"), F.lit("T"),
+        F.when(F.col("l_tax") == 0, F.left(code, F.lit(7))).otherwise(code),
+        F.concat(F.lit("CONTA "), F.col("l_linenumber")),
+        F.when(F.col("l_discount") == 0, F.lit(" ")).otherwise(amount),
+    ]
+    # Orders of 50 units are commented out, those of 49 lose their last field.
+    first = F.when(F.col("l_quantity") == 50, fields[0]).otherwise(F.lit("BASE"))
+    complete = F.concat_ws(";", first, *fields[1:])
+    short = F.concat_ws(";", first, *fields[1:-1])
+    return rows.select(
+        F.concat(F.lit("/landing/"), period, F.lit("-4010-"), root, F.lit(".csv")).alias("path"),
+        F.col("l_linenumber").alias("line_no"),
+        F.when(F.col("l_quantity") == 49, short).otherwise(complete).alias("line"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def parsed_individual(f: LineitemFilings) -> DataFrame:
+    return balance_files.parse_individual(_individual_text(f))
+
+
+def parsed_consolidated(f: LineitemFilings) -> DataFrame:
+    """Consolidated file lines written from all balances and read back."""
+    rows = f.balances()
+    amount = F.translate(F.format_number(F.col("saldo") / F.lit(100.0), 2), ",.", ".,")
+    lines = rows.select(
+        F.concat(F.lit("/landing/b"), "ano_mes", F.lit(".csv")).alias("path"),
+        F.lit(1).alias("line_no"),
+        F.concat_ws(
+            ";", "cnpj", F.concat(F.lit('"BANCO; '), "nome_inst", F.lit('"')), "atributo",
+            "documento", "conta", "nome_conta", amount, F.lit("extra"),
+        ).alias("line"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return balance_files.parse_consolidated(balance_files.consolidated_fields(lines))
+
+
+def parsed_mapping(f: LineitemFilings) -> DataFrame:
+    """Individual registry of customers, many per nation: the first one stays."""
+    balance = F.col("c_acctbal")
+    entries = f._read("customer").select(
+        F.col("c_nationkey").cast("string").alias("c0"),
+        F.col("c_name").alias("c2"),
+        F.when(balance < 0, F.lit(" ")).otherwise((F.col("c_custkey") % 7).cast("string"))
+        .alias("c15"),
+        F.when(balance < 5000, F.col("c_name")).alias("c16"),
+        F.col("c_custkey").alias("pos"),
+    )
+    return registry_files.institution_mapping(entries)
+
+
+def assembled_reports(f: LineitemFilings) -> DataFrame:
+    """Entity values as filed (arrays per group) joined with a small layout.
+
+    Entity 0 is the aggregate and skipped; group 2 overwrites indicator 101.
+    """
+    quantity = F.col("l_quantity").cast("long")
+    sums = f._read("lineitem").groupBy(
+        (F.year("l_shipdate") * 100 + F.quarter("l_shipdate") * 3).alias("ano_mes"),
+        F.col("l_suppkey").cast("int").alias("e"),
+    ).agg(
+        F.sum(quantity).cast("double").alias("total"),
+        F.sum(F.when(F.col("l_returnflag") == "R", quantity)).cast("double").alias("returned"),
+        F.max(quantity).cast("double").alias("largest"),
+    )
+
+    def entry(indicator: int, value: str) -> Column:
+        return F.struct(F.lit(indicator).cast("long").alias("i"), F.col(value).alias("v"))
+
+    first = F.array(entry(101, "total"), entry(102, "returned"))
+    second = F.when(F.col("largest") >= 48, F.array(entry(101, "largest"))).otherwise(
+        F.array(entry(201, "largest"))
+    )
+    parts = F.array(
+        F.struct(F.lit(1).alias("grupo"), F.lit(0).alias("pos"), first.alias("v")),
+        F.struct(F.lit(2).alias("grupo"), F.lit(0).alias("pos"), second.alias("v")),
+    )
+    values = sums.where(F.col("e") != 0).select("ano_mes", "e", F.inline(parts))
+    layout = F.array(*[
+        F.struct(
+            F.lit(report).alias("relatorio"), F.lit(pos).alias("pos"), F.lit(name).alias("nome"),
+            F.lit(lid).cast("long").alias("lid"), F.lit(group).alias("grupo"),
+            F.lit(order).alias("ordenacao"),
+        )
+        for report, pos, name, lid, group, order in (
+            ("1", 0, "Ativo Total", 101, 1, 9),
+            ("1", 1, "Captações", 102, 1, 14),
+            ("5", 0, "Ativo Total", 101, 1, 1),
+            ("5", 1, "Índice", 201, 2, 2),
+        )
+    ])
+    columns = sums.select("ano_mes").distinct().select("ano_mes", F.inline(layout))
+    return report_files.assemble_reports(columns, values, f.cadastro)
+
+
+def target_members(f: LineitemFilings) -> DataFrame:
+    """Institutions whose group has customers with a negative balance."""
+    codes = f._read("customer").where(F.col("c_acctbal") < 0).select(
+        (F.lit(1_000_000_000) + F.col("c_nationkey")).alias("cod_conglomerado")
+    )
+    return registry_files.of_groups(f.institution_mapping, codes)
+
+
+def _asset_trend(f: LineitemFilings) -> DataFrame:
+    return balances.account_trend(f, conta=KPI_ACCOUNTS["Ativo Total"])
+
+
+QUERIES: dict[str, Query] = {
+    # registry
+    "list_institutions": institutions.list_institutions,
+    "list_institutions_segment": lambda f: institutions.list_institutions(f, segmento="S1"),
+    "entity_details": institutions.institution_details,
+    "target_members": target_members,
+    # report lines
+    "institution_lines": report_lines.institution_lines,
+    "capital_lines": report_lines.capital_lines,
+    "summary_lines": report_lines.summary_lines,
+    "dre_lines": report_lines.income_lines,
+    "compare_entities": lambda f: report_lines.compare_institutions(
+        f, None, "Ativo Total", SUMMARY
+    ),
+    "latest_comparison": lambda f: report_lines.latest_comparison(
+        f, None, "Índice de Basileia", CAPITAL
+    ),
+    "report_periods": report_lines.report_periods,
+    "report_lines": lambda f: report_lines.report_line_names(f, CAPITAL),
+    "line_options": report_lines.line_options,
+    "capital_series": lambda f: report_lines.line_series(
+        f, CAPITAL, "(?iu)basileia", "(?iu)amplo"
+    ),
+    "headline_values": report_lines.headline_values,
+    # rankings
+    "segment_ranking": lambda f: rankings.segment_ranking(f, "Índice de Basileia", CAPITAL),
+    "segment_ranking_s2": lambda f: rankings.segment_ranking(
+        f, "Ativo Total", SUMMARY, ano_mes=200006, segmento="S2"
+    ),
+    "segment_ranking_by_period": lambda f: rankings.segment_ranking(
+        f, "Ativo Total", SUMMARY, ALL_PERIODS, top_n=20
+    ),
+    "ratio_ranking": lambda f: rankings.ratio_ranking(f, "roe"),
+    "ratio_ranking_by_period": lambda f: rankings.ratio_ranking(
+        f, "leverage", ALL_PERIODS, top_n=20
+    ),
+    "ratio_ranking_capital": lambda f: rankings.ratio_ranking(f, "capital_excess", ALL_PERIODS),
+    "ratio_ranking_tax": lambda f: rankings.ratio_ranking(f, "tax_rate", 199909, top_n=20),
+    "market_share": rankings.market_share,
+    "market_share_by_period": lambda f: rankings.market_share(f, ALL_PERIODS),
+    # top 50
+    "top50_balances": rankings.top_by_balances,
+    "top50_reports": rankings.top_by_reports,
+    "top50_latest": rankings.top50,
+    "top50_periods": rankings.top50_periods,
+    "equity_trend": rankings.equity_trend,
+    "top50_kpis": lambda f: rankings.top50_kpis(f, ALL_PERIODS),
+    "top50_kpi_table": lambda f: rankings.top50_kpi_table(f, ALL_PERIODS),
+    "top50_enriched": lambda f: rankings.top50_enriched(f, ALL_PERIODS),
+    "top50_enriched_table": rankings.top50_enriched_table,
+    "bridged_institutions": lambda f: rankings.bridged_institutions(f, ALL_PERIODS),
+    # balances
+    "account_trend": balances.account_trend,
+    "asset_trend": _asset_trend,
+    "balance_ratios": balances.balance_ratios,
+    # ratios
+    "financial_ratios": ratios.financial_ratios,
+    "latest_ratios": ratios.latest_ratios,
+    "ratio_series": lambda f: ratios.ratio_series(f, "roe"),
+    "ratios_pivot": lambda f: ratios.ratio_table(f, QUARTERS),
+    "ratio_texts": ratios.ratio_texts,
+    # income statements
+    "cosif_dre": income.detailed_income,
+    "cosif_dre_level2": income.level2_income,
+    "dre_monthly": income.monthly_income,
+    "dre_subtotals": income.income_with_subtotals,
+    "dre_12m": income.trailing_income,
+    "dre_recent": income.recent_income,
+    # tables
+    "report_pivot": lambda f: tables.report_table(f, CAPITAL, QUARTERS),
+    "report_cells": lambda f: tables.report_cells(f, CAPITAL),
+    "dre_pivot": lambda f: tables.detailed_income_table(f, MONTHS),
+    "dre_table": tables.income_table,
+    "year_quarter_pivot": lambda f: tables.year_quarter_table(f, CAPITAL, "abs"),
+    "yoy": lambda f: tables.year_quarter_table(f, SUMMARY, "yoy"),
+    "qoq": lambda f: tables.year_quarter_table(f, SUMMARY, "qoq"),
+    "quarter_changes": lambda f: tables.quarter_changes(f, INCOME),
+    # loading
+    "repaired_accounts": maintenance.repaired_balances,
+    "digit_repair_map": lambda f: digit_repair_map(f.spark, f.balances()),
+    "pending_periods": pending_periods,
+    "stored_row_counts": lambda f: maintenance.stored_row_counts(
+        f.balances(), ["ano_mes", "documento"]
+    ),
+    "key_violations": lambda f: key_violations(f.balances(), ["ano_mes", "cnpj8", "conta"]),
+    "null_counts": lambda f: null_counts(f.report_lines(), REPORT_VALUES.schema.names),
+    "rejected_lines": rejected_lines,
+    # files
+    "parsed_consolidated": parsed_consolidated,
+    "parsed_individual": parsed_individual,
+    "parsed_mapping": parsed_mapping,
+    "assembled_reports": assembled_reports,
+    # scalar functions
+    "scalar_columns": scalar_columns,
+    "period_columns": period_columns,
+    "name_columns": name_columns,
+    "display_columns": display_columns,
+}
+
+
+def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bind(query: Query) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: query(LineitemFilings(spark, sf_dir))
+
+    return {name: bind(query) for name, query in QUERIES.items()}
