@@ -16,23 +16,23 @@ from prudentia.constants import (
 )
 
 # SQL trim removes only blanks; filings also carry tabs, NBSP and control separators.
-_BLANK = r"[\s\u001c-\u001f\u0085 ]"
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def strip(text: Column) -> Column:
     """Remove every kind of white space at both ends."""
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def parse_number(text: Column) -> Column:
     """``7.043.370,57`` to 7043370.57; NULL where the text is no number."""
-    plain = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return plain.try_cast("double")
+    return F.translate(text, ",.", ".").try_cast("double")
 
 
 def dotted_account(code: Column) -> Column:
-    """``71100001`` to ``7.1.1.00.00-1``."""
-    return F.regexp_replace(code, "^(.)(.)(.)(..)(..)(.)$", "$1.$2.$3.$4.$5-$6")
+    """Eight digits to the dotted form: ``71100001`` to ``7.1.1.00.00-1``."""
+    levels = [F.substring(code, start, size) for start, size in ((1, 1), (2, 1), (3, 1), (4, 2), (6, 2))]
+    return F.concat(F.concat_ws(".", *levels), F.lit("-"), F.substring(code, 8, 1))
 
 
 def cnpj8(cnpj: Column) -> Column:

@@ -29,13 +29,17 @@ def distinct_periods(table: DataFrame) -> DataFrame:
     return table.select("ano_mes").distinct().orderBy(F.desc("ano_mes"))
 
 
-def closest_period(period: Column, among: DataFrame) -> Column:
-    """Newest period of ``among`` that is not after ``period``.
+def with_closest_period(rows: DataFrame, among: DataFrame, out: str) -> DataFrame:
+    """Add the newest period of ``among`` that is not after the row's period.
 
     The candidates travel as one array from a scalar subquery: no range join.
     """
-    known = among.select(F.collect_set("ano_mes")).scalar()
-    return F.array_max(F.filter(known, lambda q: q <= period))
+    known = "known_periods"
+    return (
+        rows.withColumn(known, among.select(F.collect_set("ano_mes")).scalar())
+        .withColumn(out, F.array_max(F.filter(known, lambda q: q <= F.col("ano_mes"))))
+        .drop(known)
+    )
 
 
 def period_list(table: DataFrame, limit: int = 2000) -> list[int]:

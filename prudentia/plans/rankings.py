@@ -20,7 +20,7 @@ from prudentia.constants import (
 from prudentia.functions import periods, text
 from prudentia.functions.display import code_text
 from prudentia.operators.lines import line_like, max_where
-from prudentia.operators.periods import at_period, closest_period, distinct_periods
+from prudentia.operators.periods import at_period, distinct_periods, with_closest_period
 from prudentia.operators.ranking import share_of_period, top_per_period
 from prudentia.plans.ratios import RATIO_NAMES, input_aggregates, ratio
 from prudentia.schemas import BALANCETES_TOP50
@@ -63,7 +63,7 @@ def segment_ranking(
     lines = filings.report_lines(relatorio).where(
         (F.col("nome_linha") == line) & F.col("valor_a").isNotNull()
     )
-    rows = _with_segment(filings, _in_period(lines, ano_mes, of=filings.report_lines()))
+    rows = _with_segment(filings, _in_period(lines, ano_mes, of=filings.report_periods))
     if segmento and segmento != "ALL":
         rows = rows.where(F.col("segmento") == segmento)
     rows = rows.select(
@@ -91,7 +91,7 @@ def ratio_ranking(
         )
     wanted = ratio(name)
     lines = _in_period(
-        filings.report_lines(wanted.report), ano_mes, of=filings.report_lines()
+        filings.report_lines(wanted.report), ano_mes, of=filings.report_periods
     )
     values = (
         lines.groupBy("ano_mes", "cod_conglomerado", "nome_conglomerado")
@@ -115,7 +115,7 @@ def market_share(filings: Filings, ano_mes: Period = None, top_n: int = 20) -> D
     lines = filings.report_lines(SUMMARY).where(
         line_like("%atrim%nio L%", "%efer%") & F.col("valor_a").isNotNull()
     )
-    rows = _with_segment(filings, _in_period(lines, ano_mes, of=filings.report_lines())).select(
+    rows = _with_segment(filings, _in_period(lines, ano_mes, of=filings.report_periods)).select(
         "ano_mes", "cod_conglomerado", "nome_conglomerado",
         _segment_or_blank().alias("segmento"), F.col("valor_a").alias("pl_value"),
     )
@@ -272,8 +272,8 @@ ENRICHMENTS = {
 def top50_enriched(filings: Filings, ano_mes: Period = None) -> DataFrame:
     """Top 50 with report lines of the closest quarter not after the period."""
     stored = filings.balancetes_top50
-    top = _in_period(stored, ano_mes, of=stored).withColumn(
-        "ifdata_periodo", closest_period(F.col("ano_mes"), among=filings.report_lines())
+    top = with_closest_period(
+        _in_period(stored, ano_mes, of=stored), filings.report_periods, "ifdata_periodo"
     )
     matches = {
         name: (F.col("relatorio") == report) & line_like(pattern)

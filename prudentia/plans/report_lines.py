@@ -89,7 +89,7 @@ def latest_comparison(
 
 def report_periods(filings: Filings) -> DataFrame:
     """Periods with report lines, newest first."""
-    return distinct_periods(filings.report_lines())
+    return distinct_periods(filings.report_periods)
 
 
 def report_line_names(filings: Filings, relatorio: str) -> DataFrame:

@@ -35,7 +35,8 @@ _LINE_END = r"\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085]"
 
 def period_of_file(path: Column) -> Column:
     """Period in the file name: ``202501.zip``, ``b202501.zip``, ``202501-4010-…``."""
-    return F.regexp_extract(path, r"(?:^|/)b?(\d{6})[^/]*$", 1).try_cast("int")
+    name = F.substring_index(path, "/", -1)
+    return F.left(F.ltrim(name, F.lit("b")), F.lit(6)).try_cast("int")
 
 
 # --- lines ---

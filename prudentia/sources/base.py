@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 class Filings(Protocol):
     """The tables behind the queries.
 
-    ``report_lines`` and ``balances`` exist beside the two fact tables so that
-    a query names the reports or documents it needs and only those are read.
+    ``report_lines`` and ``balances`` are methods so that a query names the
+    reports or documents it needs and only those are read. ``report_periods``
+    answers "which periods exist" without scanning the report lines.
     """
 
     spark: SparkSession
@@ -28,6 +29,9 @@ class Filings(Protocol):
     @property
     def fetch_log(self) -> DataFrame: ...
 
+    @property
+    def report_periods(self) -> DataFrame: ...
+
     def report_lines(self, *reports: str) -> DataFrame: ...
 
     def balances(self, documento: str | None = None) -> DataFrame: ...

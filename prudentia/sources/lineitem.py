@@ -14,11 +14,26 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prudentia.constants import CAPITAL, INCOME, SUMMARY
-from prudentia.functions import text
+
+# Given schemas spare a job per read that would open a file to infer them.
+SCHEMAS = {
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+        "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+        "c_mktsegment STRING"
+    ),
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+}
 
 # Account by line number, for closed (consolidated) and open (individual) lines.
 CONSOLIDATED_ACCOUNTS = (
@@ -29,42 +44,88 @@ INDIVIDUAL_ACCOUNTS = (
     "7.1.0.00.00-8", "7.3.0.00.00-6", "7.7.0.00.00-2", "7.9.0.00.00-0",
     "8.1.0.00.00-5", "8.3.0.00.00-3", "7.1.1.00.00-5",
 )
-LEGAL_FORMS = (" S.A.", " S/A", " Ltda.", " LTDA", "")
-
-
-def _cents() -> Column:
-    return F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
-
-
-def _percent(name: str) -> Column:
-    return F.floor(F.col(name) * 100 + F.lit(0.5))
-
-
-def _month() -> Column:
-    return F.year("l_shipdate") * 100 + F.month("l_shipdate")
-
-
-def _quarter() -> Column:
-    return F.year("l_shipdate") * 100 + F.quarter("l_shipdate") * 3
-
-
-def _supplier_name(key: Column) -> Column:
-    return F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))
 
-
-def _group_name(key: Column) -> Column:
-    forms = F.array(*[F.lit(f) for f in LEGAL_FORMS])
-    return F.concat(
-        _supplier_name(key),
-        F.get(forms, (key % len(LEGAL_FORMS)).cast("int")),
-        F.lit(" - PRUDENCIAL"),
+# Integer building blocks in SQL: cents, and discount and tax in percent.
+CENTS = "floor(l_extendedprice * 100 + 0.5D)"
+DISCOUNT = "floor(l_discount * 100 + 0.5D)"
+TAX = "floor(l_tax * 100 + 0.5D)"
+QUANTITY = "cast(l_quantity as bigint)"
+MONTH = "year(l_shipdate) * 100 + month(l_shipdate)"
+QUARTER = "year(l_shipdate) * 100 + quarter(l_shipdate) * 3"
+
+SUMS = {
+    "price": f"sum({CENTS})",
+    "profit": f"sum({CENTS} * ({DISCOUNT} - 4))",
+    "equity": f"sum(if(l_returnflag = 'A' and {TAX} >= 7, {CENTS} * {TAX}, 0))",
+    "credit": f"sum(if(l_returnflag = 'A', {CENTS}, null))",
+    "funding": f"sum(if(l_returnflag = 'R', {CENTS}, null))",
+    "securities": f"sum(if(l_returnflag = 'N', {CENTS}, null))",
+    "liabilities": f"sum(if(l_linestatus = 'F', {CENTS}, 0))",
+    "quantity": f"sum({QUANTITY})",
+    "lines": "count(1)",
+    "pretax": f"sum({CENTS} * (5 - {TAX}))",
+    "tax": f"sum(if({TAX} >= 3, -{CENTS} * {DISCOUNT}, null))",
+    "files_1": f"max(if({DISCOUNT} = 0, 1, 0))",
+    "files_4": f"max(if({DISCOUNT} = 10, 1, 0))",
+    "files_5": f"max(if({QUANTITY} >= 48, 1, 0))",
+}
+MEAN = "cast(quantity as double) / cast(lines as double)"
+
+# Report: (indicator, line name, value) in filing order.
+LAYOUT = {
+    SUMMARY: [
+        (101, "Ativo Total", "price"),
+        (102, "Lucro Líquido", "profit"),
+        (103, "Patrimônio Líquido", "equity"),
+        (104, "Carteira de Crédito", "credit"),
+        (105, "Captações", "funding"),
+        (106, "Títulos e Valores Mobiliários", "securities"),
+        (107, "Passivo Exigível", "liabilities"),
+        (108, "Patrimônio de Referência para Comparação", "quantity"),
+    ],
+    INCOME: [
+        (401, "Resultado antes da Tributação, Lucro e Participação", "pretax"),
+        (402, "Imposto de Renda e CSLL", "tax"),
+        (403, "Participação nos Lucros", "profit"),
+        (404, "Ativo Total", "price"),
+    ],
+    CAPITAL: [
+        (501, "Índice de Basileia", f"{MEAN} * 0.005D"),
+        (502, "Índice de Basileia Amplo", f"{MEAN} * 0.004D"),
+        (503, "Índice de Capital Principal", f"{MEAN} * 0.003D"),
+        (504, "Capital Nível I", f"{MEAN} * 0.0035D"),
+        (505, "Razão de Alavancagem", f"{MEAN} * 0.002D"),
+    ],
+}
+
+
+def _root(key: str) -> str:
+    return f"lpad(cast({key} as string), 8, '0')"
+
+
+def _supplier_name(key: str) -> str:
+    return f"concat('Supplier#', lpad(cast({key} as string), 9, '0'))"
+
+
+def _group_name(key: str) -> str:
+    """Supplier name under one of five legal forms, as a regulatory group."""
+    form = f"get(array(' S.A.', ' S/A', ' Ltda.', ' LTDA', ''), cast({key} % 5 as int))"
+    return f"concat({_supplier_name(key)}, {form}, ' - PRUDENCIAL')"
+
+
+def _pick(names: tuple[str, ...], position: str) -> str:
+    listed = ", ".join(f"'{name}'" for name in names)
+    return f"get(array({listed}), {position} - 1)"
+
+
+def _cell(report: str, position: int, code: int, name: str, value: str) -> str:
+    return (
+        f"if(files_{report} = 1, named_struct('relatorio', '{report}', "
+        f"'codigo_coluna', '{code}', 'nome_linha', '{name}', "
+        f"'valor_a', cast({value} as double), 'ordenacao', {position}), null)"
     )
 
 
-def _pick(names: tuple[str, ...], position: Column) -> Column:
-    return F.get(F.array(*[F.lit(n) for n in names]), position - 1)
-
-
 class LineitemFilings:
     """The six tables, computed from ``{sf_dir}/*.parquet`` on demand."""
 
@@ -72,123 +133,72 @@ class LineitemFilings:
         self.spark = spark
         self._dir = sf_dir
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+    def source(self, name: str) -> DataFrame:
+        """One of the given tables."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._dir}/{name}.parquet")
 
     @cached_property
     def _lines(self) -> DataFrame:
-        return self._read("lineitem")
+        return self.source("lineitem")
 
     @cached_property
     def cadastro(self) -> DataFrame:
-        active = self._lines.select(
-            F.col("l_suppkey").alias("s_suppkey"), _quarter().alias("ano_mes")
-        ).distinct()
+        active = self._lines.selectExpr("l_suppkey as s_suppkey", f"{QUARTER} as ano_mes")
         registered = (
-            self._read("supplier")
-            .where(F.col("s_acctbal") >= 0)
-            .join(self._read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            self.source("supplier").where("s_acctbal >= 0")
+            .join(self.source("nation").withColumnRenamed("n_nationkey", "s_nationkey"),
+                  "s_nationkey")
+            .join(self.source("region").withColumnRenamed("r_regionkey", "n_regionkey"),
+                  "n_regionkey")
         )
-        key = F.col("s_suppkey")
-        return active.join(registered, "s_suppkey").select(
+        return active.distinct().join(registered, "s_suppkey").selectExpr(
             "ano_mes",
-            key.cast("int").alias("cod_conglomerado"),
-            _group_name(key).alias("nome_conglomerado"),
-            key.cast("int").alias("cod_inst"),
-            F.col("s_name").alias("nome_inst"),
-            F.concat(F.lpad(key.cast("string"), 8, "0"), F.lit("000100")).alias("cnpj"),
-            F.concat(F.lit("S"), F.col("s_nationkey") % 5 + 1).alias("segmento"),
-            F.lit(1009).alias("tipo_instituicao"),
-            F.col("n_name").alias("cidade"),
-            F.left(F.col("r_name"), F.lit(2)).alias("uf"),
+            "cast(s_suppkey as int) as cod_conglomerado",
+            f"{_group_name('s_suppkey')} as nome_conglomerado",
+            "cast(s_suppkey as int) as cod_inst",
+            "s_name as nome_inst",
+            f"concat({_root('s_suppkey')}, '000100') as cnpj",
+            "concat('S', s_nationkey % 5 + 1) as segmento",
+            "1009 as tipo_instituicao",
+            "n_name as cidade",
+            "left(r_name, 2) as uf",
         )
 
     @cached_property
     def institution_mapping(self) -> DataFrame:
-        nation = F.col("s_nationkey") == F.col("n_nationkey")
-        return self._read("supplier").join(self._read("nation"), nation).select(
-            F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("cnpj8"),
-            F.col("s_name").alias("nome_inst"),
-            (F.lit(1_000_000_000) + F.col("s_nationkey")).alias("cod_conglomerado"),
-            F.col("n_name").alias("nome_conglomerado"),
+        nations = self.source("nation").withColumnRenamed("n_nationkey", "s_nationkey")
+        return self.source("supplier").join(nations, "s_nationkey").selectExpr(
+            f"{_root('s_suppkey')} as cnpj8",
+            "s_name as nome_inst",
+            "1000000000 + s_nationkey as cod_conglomerado",
+            "n_name as nome_conglomerado",
         )
 
+    @cached_property
+    def report_periods(self) -> DataFrame:
+        files_any = f"{DISCOUNT} in (0, 10) or {QUANTITY} >= 48"
+        return self._lines.where(files_any).selectExpr(f"{QUARTER} as ano_mes").distinct()
+
     def report_lines(self, *reports: str) -> DataFrame:
         """Report lines; naming reports computes only the sums those need."""
-        cents, discount, tax = _cents(), _percent("l_discount"), _percent("l_tax")
-        quantity = F.col("l_quantity").cast("long")
-        flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-        sums = self._lines.groupBy("l_suppkey", _quarter().alias("ano_mes")).agg(
-            F.sum(cents).alias("price"),
-            F.sum(cents * (discount - 4)).alias("profit"),
-            F.sum(F.when((flag == "A") & (tax >= 7), cents * tax).otherwise(0)).alias("equity"),
-            F.sum(F.when(flag == "A", cents)).alias("credit"),
-            F.sum(F.when(flag == "R", cents)).alias("funding"),
-            F.sum(F.when(flag == "N", cents)).alias("securities"),
-            F.sum(F.when(status == "F", cents).otherwise(0)).alias("liabilities"),
-            F.sum(quantity).alias("quantity"),
-            F.count(F.lit(1)).alias("lines"),
-            F.sum(cents * (5 - tax)).alias("pretax"),
-            F.sum(F.when(tax >= 3, -cents * discount)).alias("tax"),
-            F.max(F.when(discount == 0, 1)).alias("files_1"),
-            F.max(F.when(discount == 10, 1)).alias("files_4"),
-            F.max(F.when(quantity >= 48, 1)).alias("files_5"),
+        sums = self._lines.groupBy("l_suppkey", F.expr(QUARTER).alias("ano_mes")).agg(
+            *[F.expr(f"{total} as {name}") for name, total in SUMS.items()]
+        )
+        cells = ", ".join(
+            _cell(report, position, *line)
+            for report in (reports or tuple(LAYOUT))
+            for position, line in enumerate(LAYOUT[report], start=1)
         )
-
-        def amount(name: str) -> Column:
-            return F.col(name).cast("double")
-
-        mean = amount("quantity") / amount("lines")
-        layout = {
-            SUMMARY: [
-                (101, "Ativo Total", amount("price")),
-                (102, "Lucro Líquido", amount("profit")),
-                (103, "Patrimônio Líquido", amount("equity")),
-                (104, "Carteira de Crédito", amount("credit")),
-                (105, "Captações", amount("funding")),
-                (106, "Títulos e Valores Mobiliários", amount("securities")),
-                (107, "Passivo Exigível", amount("liabilities")),
-                (108, "Patrimônio de Referência para Comparação", amount("quantity")),
-            ],
-            INCOME: [
-                (401, "Resultado antes da Tributação, Lucro e Participação", amount("pretax")),
-                (402, "Imposto de Renda e CSLL", amount("tax")),
-                (403, "Participação nos Lucros", amount("profit")),
-                (404, "Ativo Total", amount("price")),
-            ],
-            CAPITAL: [
-                (501, "Índice de Basileia", mean * F.lit(0.005)),
-                (502, "Índice de Basileia Amplo", mean * F.lit(0.004)),
-                (503, "Índice de Capital Principal", mean * F.lit(0.003)),
-                (504, "Capital Nível I", mean * F.lit(0.0035)),
-                (505, "Razão de Alavancagem", mean * F.lit(0.002)),
-            ],
-        }
-        cells = [
-            F.when(
-                F.col(f"files_{report}") == 1,
-                F.struct(
-                    F.lit(report).alias("relatorio"),
-                    F.lit(str(code)).alias("codigo_coluna"),
-                    F.lit(name).alias("nome_linha"),
-                    value.alias("valor_a"),
-                    F.lit(position).alias("ordenacao"),
-                ),
-            )
-            for report in (reports or tuple(layout))
-            for position, (code, name, value) in enumerate(layout[report], start=1)
-        ]
-        key = F.col("l_suppkey")
         return (
-            sums.select(key, "ano_mes", F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .select(
+            sums.selectExpr("l_suppkey", "ano_mes", f"explode(array({cells})) as c")
+            .where("c is not null")
+            .selectExpr(
                 "ano_mes",
                 "c.relatorio",
-                key.cast("int").alias("cod_conglomerado"),
-                _group_name(key).alias("nome_conglomerado"),
+                "cast(l_suppkey as int) as cod_conglomerado",
+                f"{_group_name('l_suppkey')} as nome_conglomerado",
                 "c.codigo_coluna",
-                F.col("c.nome_linha").alias("nome_coluna"),
+                "c.nome_linha as nome_coluna",
                 "c.valor_a",
                 "c.nome_linha",
                 "c.ordenacao",
@@ -198,34 +208,25 @@ class LineitemFilings:
     def balances(self, documento: str | None = None) -> DataFrame:
         """One balance row per order line; several rows per account are summed
         by the queries, as they are for multi-branch filings."""
-        closed = F.col("l_linestatus") == "F"
         lines = self._lines
         if documento is not None:
-            lines = lines.where(closed if documento == "4040" else ~closed)
-        position = F.col("l_linenumber")
-        account = F.when(closed, _pick(CONSOLIDATED_ACCOUNTS, position)).otherwise(
-            _pick(INDIVIDUAL_ACCOUNTS, position)
+            lines = lines.where(f"l_linestatus {'=' if documento == '4040' else '<>'} 'F'")
+        rows = lines.selectExpr(
+            f"{MONTH} as ano_mes",
+            f"{_root('l_suppkey')} as cnpj8",
+            f"{_supplier_name('l_suppkey')} as nome_inst",
+            "if(l_linestatus = 'F', '4040', '4010') as documento",
+            f"if(l_linestatus = 'F', {_pick(CONSOLIDATED_ACCOUNTS, 'l_linenumber')}, "
+            f"{_pick(INDIVIDUAL_ACCOUNTS, 'l_linenumber')}) as conta",
+            "year(l_shipdate) as ano",
+            f"cast({CENTS} * (100 - {DISCOUNT}) as double) as amount",
         )
-        amount = (_cents() * (100 - _percent("l_discount"))).cast("double")
-        root = F.lpad(F.col("l_suppkey").cast("string"), 8, "0")
-        rows = lines.select(
-            _month().alias("ano_mes"),
-            F.concat(root, F.lit("000100")).alias("cnpj"),
-            root.alias("cnpj8"),
-            _supplier_name(F.col("l_suppkey")).alias("nome_inst"),
-            F.lit("A").alias("atributo"),
-            F.when(closed, "4040").otherwise("4010").alias("documento"),
-            account.alias("conta"),
-            F.year("l_shipdate").alias("ano"),
-            amount.alias("amount"),
-        )
-        return rows.select(
-            "ano_mes", "cnpj", "cnpj8", "nome_inst", "atributo", "documento", "conta",
+        return rows.selectExpr(
+            "ano_mes", "concat(cnpj8, '000100') as cnpj", "cnpj8", "nome_inst",
+            "'A' as atributo", "documento", "conta",
             # The name carries the year, so that "latest name" is not any name.
-            F.concat_ws(" ", F.lit("CONTA"), text.account_stem(F.col("conta")), "ano")
-            .alias("nome_conta"),
-            F.when(F.col("conta").startswith("8."), -F.col("amount"))
-            .otherwise(F.col("amount")).alias("saldo"),
+            "concat_ws(' ', 'CONTA', left(conta, length(conta) - 2), ano) as nome_conta",
+            "if(startswith(conta, '8.'), -amount, amount) as saldo",
         )
 
     @cached_property
@@ -238,7 +239,4 @@ class LineitemFilings:
     def fetch_log(self) -> DataFrame:
         return self.report_lines().groupBy("ano_mes", "relatorio").agg(
             F.count(F.lit(1)).cast("int").alias("row_count")
-        ).select(
-            "ano_mes", "relatorio",
-            F.lit(None).cast("timestamp").alias("fetched_at"), "row_count",
-        )
+        ).selectExpr("ano_mes", "relatorio", "cast(null as timestamp) as fetched_at", "row_count")

@@ -99,7 +99,7 @@ def rejected_lines(f: LineitemFilings) -> DataFrame:
 
 def _individual_text(f: LineitemFilings) -> DataFrame:
     """Lines of individual files; short, commented and empty ones included."""
-    rows = f._read("lineitem").where(F.col("l_linestatus") == "O")
+    rows = f.source("lineitem").where(F.col("l_linestatus") == "O")
     cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
     amount = F.translate(F.format_number(cents / F.lit(100.0), 2), ",.", ".,")
     period = F.year("l_shipdate") * 100 + F.month("l_shipdate")
@@ -147,7 +147,7 @@ def parsed_consolidated(f: LineitemFilings) -> DataFrame:
 def parsed_mapping(f: LineitemFilings) -> DataFrame:
     """Individual registry of customers, many per nation: the first one stays."""
     balance = F.col("c_acctbal")
-    entries = f._read("customer").select(
+    entries = f.source("customer").select(
         F.col("c_nationkey").cast("string").alias("c0"),
         F.col("c_name").alias("c2"),
         F.when(balance < 0, F.lit(" ")).otherwise((F.col("c_custkey") % 7).cast("string"))
@@ -164,7 +164,7 @@ def assembled_reports(f: LineitemFilings) -> DataFrame:
     Entity 0 is the aggregate and skipped; group 2 overwrites indicator 101.
     """
     quantity = F.col("l_quantity").cast("long")
-    sums = f._read("lineitem").groupBy(
+    sums = f.source("lineitem").groupBy(
         (F.year("l_shipdate") * 100 + F.quarter("l_shipdate") * 3).alias("ano_mes"),
         F.col("l_suppkey").cast("int").alias("e"),
     ).agg(
@@ -204,7 +204,7 @@ def assembled_reports(f: LineitemFilings) -> DataFrame:
 
 def target_members(f: LineitemFilings) -> DataFrame:
     """Institutions whose group has customers with a negative balance."""
-    codes = f._read("customer").where(F.col("c_acctbal") < 0).select(
+    codes = f.source("customer").where(F.col("c_acctbal") < 0).select(
         (F.lit(1_000_000_000) + F.col("c_nationkey")).alias("cod_conglomerado")
     )
     return registry_files.of_groups(f.institution_mapping, codes)
