@@ -48,7 +48,7 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     Numbering needs the order inside a file, so a file is one row; individual
     files are small. White space around the whole text does not count.
     """
-    content = F.decode(F.col("content"), F.lit("ISO-8859-1"))
+    content = F.decode(F.col("content"), "ISO-8859-1")
     lines = F.split(text.strip(content), _LINE_END)
     return spark.read.format("binaryFile").load(path).select(
         "path", F.posexplode(lines).alias("line_no", "line"),
