@@ -194,13 +194,13 @@ def _top(equity: DataFrame, n: int) -> DataFrame:
 
 def top50(filings: Filings, ano_mes: Period = None) -> DataFrame:
     """The stored top 50 of a period."""
-    stored = filings.balancetes_top50
-    return _in_period(stored, ano_mes, of=stored).orderBy("ano_mes", "rank")
+    rows = _in_period(filings.balancetes_top50, ano_mes, of=filings.top50_periods)
+    return rows.orderBy("ano_mes", "rank")
 
 
 def top50_periods(filings: Filings) -> DataFrame:
     """Periods of the top-50 table, newest first."""
-    return distinct_periods(filings.balancetes_top50)
+    return distinct_periods(filings.top50_periods)
 
 
 def equity_trend(filings: Filings, cnpj8: Sequence[str] | str | None = None) -> DataFrame:
@@ -226,10 +226,9 @@ KPI_LINES = {
 
 def top50_kpis(filings: Filings, ano_mes: Period = None) -> DataFrame:
     """Top 50 with four summary lines of the same period."""
-    stored = filings.balancetes_top50
-    top = _in_period(stored, ano_mes, of=stored)
+    top = _in_period(filings.balancetes_top50, ano_mes, of=filings.top50_periods)
     lines = filings.report_lines(SUMMARY).where(F.col("nome_linha").isin(*KPI_LINES.values()))
-    lines = _in_period(lines, ano_mes, of=stored)
+    lines = _in_period(lines, ano_mes, of=filings.top50_periods)
     kpis = lines.groupBy("cod_conglomerado", "ano_mes").agg(
         *[max_where(F.col("nome_linha") == line).alias(k) for k, line in KPI_LINES.items()]
     )
@@ -271,9 +270,9 @@ ENRICHMENTS = {
 
 def top50_enriched(filings: Filings, ano_mes: Period = None) -> DataFrame:
     """Top 50 with report lines of the closest quarter not after the period."""
-    stored = filings.balancetes_top50
     top = with_closest_period(
-        _in_period(stored, ano_mes, of=stored), filings.report_periods, "ifdata_periodo"
+        _in_period(filings.balancetes_top50, ano_mes, of=filings.top50_periods),
+        filings.report_periods, "ifdata_periodo",
     )
     matches = {
         name: (F.col("relatorio") == report) & line_like(pattern)

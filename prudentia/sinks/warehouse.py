@@ -58,6 +58,10 @@ class Warehouse:
         loaded = F.col("relatorio").isin(*REPORT_NAMES) & (F.col("row_count") > 0)
         return self.fetch_log.where(loaded).select("ano_mes").distinct()
 
+    @property
+    def top50_periods(self) -> DataFrame:
+        return self.balancetes_top50.select("ano_mes").distinct()
+
     def report_lines(self, *reports: str) -> DataFrame:
         lines = self.read("report_values")
         return lines.where(F.col("relatorio").isin(*reports)) if reports else lines

@@ -112,12 +112,13 @@ def consolidated_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def consolidated_fields(lines: DataFrame) -> DataFrame:
-    """Fields of consolidated lines; the first line of a file is its header."""
+    """Fields of consolidated lines; the first line of a file is its header.
+
+    Generated, not projected, for the same reason as in ``parse_individual``.
+    """
     fields = F.from_csv("line", F.lit(FIELDS_DDL), {"sep": ";"})
-    return (
-        lines.where(F.col("error").isNull() & (F.col("line_no") > 0))
-        .select(period_of_file(F.col("path")).alias("ano_mes"), fields.alias("f"))
-        .select("ano_mes", "f.*")
+    return lines.where(F.col("error").isNull() & (F.col("line_no") > 0)).select(
+        period_of_file(F.col("path")).alias("ano_mes"), F.inline(F.array(fields))
     )
 
 
@@ -150,7 +151,12 @@ def parse_individual(lines: DataFrame) -> DataFrame:
         & (F.col("line_no") >= METADATA_LINES)
         & (text.strip(line) != "")
         & ~line.startswith("#")
-    ).select(period_of_file(F.col("path")).alias("ano_mes"), F.split(line, ";").alias("f"))
+    ).select(
+        period_of_file(F.col("path")).alias("ano_mes"),
+        # As a generated column the fields are split once; filters on a projected
+        # one would be pushed below it and split the line again for each test.
+        F.explode(F.array(F.split(line, ";"))).alias("f"),
+    )
 
     def field(position: int) -> Column:
         return text.strip(F.get("f", F.lit(position)))

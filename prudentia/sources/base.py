@@ -12,7 +12,7 @@ class Filings(Protocol):
 
     ``report_lines`` and ``balances`` are methods so that a query names the
     reports or documents it needs and only those are read. ``report_periods``
-    answers "which periods exist" without scanning the report lines.
+    and ``top50_periods`` answer "which periods exist" without the tables' rows.
     """
 
     spark: SparkSession
@@ -32,6 +32,9 @@ class Filings(Protocol):
     @property
     def report_periods(self) -> DataFrame: ...
 
+    @property
+    def top50_periods(self) -> DataFrame: ...
+
     def report_lines(self, *reports: str) -> DataFrame: ...
 
     def balances(self, documento: str | None = None) -> DataFrame: ...

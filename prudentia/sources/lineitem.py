@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudentia.constants import CAPITAL, INCOME, SUMMARY
+from prudentia.constants import CAPITAL, EQUITY, INCOME, SUMMARY
 
 # Given schemas spare a job per read that would open a file to infer them.
 SCHEMAS = {
@@ -179,6 +179,10 @@ class LineitemFilings:
         files_any = f"{DISCOUNT} in (0, 10) or {QUANTITY} >= 48"
         return self._lines.where(files_any).selectExpr(f"{QUARTER} as ano_mes").distinct()
 
+    @cached_property
+    def top50_periods(self) -> DataFrame:
+        return self.balances().where(F.col("conta") == EQUITY).select("ano_mes").distinct()
+
     def report_lines(self, *reports: str) -> DataFrame:
         """Report lines; naming reports computes only the sums those need."""
         sums = self._lines.groupBy("l_suppkey", F.expr(QUARTER).alias("ano_mes")).agg(

@@ -97,6 +97,14 @@ def rejected_lines(f: LineitemFilings) -> DataFrame:
 # --- files derived from order lines ---
 
 
+def _as_lines(rows: DataFrame, path: Column, line_no: Column, line: Column) -> DataFrame:
+    """Lines as readers give them: generated, so that each is written once."""
+    return rows.select(
+        path.alias("path"), line_no.alias("line_no"), F.explode(F.array(line)).alias("line"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
 def _individual_text(f: LineitemFilings) -> DataFrame:
     """Lines of individual files; short, commented and empty ones included."""
     rows = f.source("lineitem").where(F.col("l_linestatus") == "O")
@@ -116,11 +124,11 @@ def _individual_text(f: LineitemFilings) -> DataFrame:
     first = F.when(F.col("l_quantity") == 50, fields[0]).otherwise(F.lit("BASE"))
     complete = F.concat_ws(";", first, *fields[1:])
     short = F.concat_ws(";", first, *fields[1:-1])
-    return rows.select(
-        F.concat(F.lit("/landing/"), period, F.lit("-4010-"), root, F.lit(".csv")).alias("path"),
-        F.col("l_linenumber").alias("line_no"),
-        F.when(F.col("l_quantity") == 49, short).otherwise(complete).alias("line"),
-        F.lit(None).cast("string").alias("error"),
+    return _as_lines(
+        rows,
+        F.concat(F.lit("/landing/"), period, F.lit("-4010-"), root, F.lit(".csv")),
+        F.col("l_linenumber"),
+        F.when(F.col("l_quantity") == 49, short).otherwise(complete),
     )
 
 
@@ -132,14 +140,12 @@ def parsed_consolidated(f: LineitemFilings) -> DataFrame:
     """Consolidated file lines written from all balances and read back."""
     rows = f.balances()
     amount = F.translate(F.format_number(F.col("saldo") / F.lit(100.0), 2), ",.", ".,")
-    lines = rows.select(
-        F.concat(F.lit("/landing/b"), "ano_mes", F.lit(".csv")).alias("path"),
-        F.lit(1).alias("line_no"),
+    lines = _as_lines(
+        rows, F.concat(F.lit("/landing/b"), "ano_mes", F.lit(".csv")), F.lit(1),
         F.concat_ws(
             ";", "cnpj", F.concat(F.lit('"BANCO; '), "nome_inst", F.lit('"')), "atributo",
             "documento", "conta", "nome_conta", amount, F.lit("extra"),
-        ).alias("line"),
-        F.lit(None).cast("string").alias("error"),
+        ),
     )
     return balance_files.parse_consolidated(balance_files.consolidated_fields(lines))
 

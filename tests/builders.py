@@ -61,6 +61,10 @@ class SmallFilings:
     def report_periods(self):
         return self._lines.select("ano_mes").distinct()
 
+    @property
+    def top50_periods(self):
+        return self.balancetes_top50.select("ano_mes").distinct()
+
     @property
     def balancetes_top50(self):
         return top_by_balances(self)
