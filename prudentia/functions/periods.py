@@ -31,6 +31,10 @@ def annualisation_factor(period: Column) -> Column:
     return F.try_divide(F.lit(12.0), months_into_semester(period))
 
 
+# The same factor of a column named ano_mes, for formulas written as SQL text.
+ANNUALISATION_SQL = "try_divide(12.0D, (ano_mes % 100 - 1) % 6 + 1)"
+
+
 def semester(period: Column) -> Column:
     """Running number of the fiscal semester a period belongs to."""
     return year(period) * 2 + (month(period) >= 7).cast("int")

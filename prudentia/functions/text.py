@@ -77,16 +77,13 @@ def income_order(account: Column) -> Column:
     )
 
 
-def matches_like(text: Column, pattern: str) -> Column:
-    """LIKE with cheap substring tests first.
+def like_sql(column: str, pattern: str) -> str:
+    """LIKE as SQL text, with cheap substring tests first.
 
     ``%a%b%`` runs a regex per row; testing the literal pieces beforehand lets
-    nearly all rows fail on a byte search instead.
+    nearly all rows fail on a byte search instead. A pattern with one piece is
+    already turned into a prefix, suffix or contains test by Catalyst.
     """
-    pieces = [p for p in re.split("[%_]", pattern) if p]
-    test = text.like(pattern)
-    if len(pieces) < 2:
-        return test  # Catalyst already turns it into a prefix, suffix or contains test
-    for piece in sorted(pieces, key=len):
-        test = text.contains(piece) & test
-    return test
+    pieces = sorted((p for p in re.split("[%_]", pattern) if p), key=len, reverse=True)
+    tests = [f"contains({column}, '{p}')" for p in pieces] if len(pieces) > 1 else []
+    return " and ".join([*tests, f"{column} like '{pattern}'"])

@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prudentia.constants import PEER_GROUPS
-from prudentia.functions.text import matches_like
+from prudentia.functions.text import like_sql
+
+
+def line_like_sql(include: str, exclude: str | None = None) -> str:
+    """Line name matching one LIKE pattern and not another, as SQL text."""
+    test = like_sql("nome_linha", include)
+    return f"{test} and nome_linha not like '{exclude}'" if exclude else test
 
 
 def line_like(include: str, exclude: str | None = None) -> Column:
-    """Line name matching one LIKE pattern and not another."""
-    name = F.col("nome_linha")
-    test = matches_like(name, include)
-    return test & ~name.like(exclude) if exclude else test
+    return F.expr(line_like_sql(include, exclude))
 
 
 def line_regex(include: str, exclude: str | None = None) -> Column:

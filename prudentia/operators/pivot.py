@@ -1,16 +1,27 @@
-"""Long to wide with known columns."""
+"""Long to wide with known columns.
+
+Cells are SQL text: a table of a hundred columns is then a hundred short
+strings parsed by the JVM instead of several hundred calls into it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Cell = Callable[[str], str]  # condition to aggregate
+
 
-def first_by_order(value: str, order: str = "ordenacao") -> Callable[[Column], Column]:
+def first_by_order(value: str, order: str = "ordenacao") -> Cell:
     """First value in filing order; both buffers are numbers, so hash-aggregated."""
-    return lambda keep: F.min_by(F.col(value), F.when(keep, F.col(order)))
+    return lambda keep: f"min_by({value}, if({keep}, {order}, null))"
+
+
+def only(value: str) -> Cell:
+    """The single value of a cell, for rows unique per key and column."""
+    return lambda keep: f"max(if({keep}, {value}, null))"
 
 
 def pivot(
@@ -18,13 +29,13 @@ def pivot(
     keys: Sequence[str],
     on: str,
     values: Sequence[int],
-    pick: Callable[[Column], Column],
-    prefix: str = "",
+    cell: Cell,
+    prefix: str,
 ) -> DataFrame:
     """One row per ``keys``, one column per entry of ``values``.
 
     Conditional aggregates need a single shuffle on ``keys``; the built-in
     pivot first groups by ``keys`` and ``on`` and shuffles twice.
     """
-    cells = [pick(F.col(on) == v).alias(f"{prefix}{v}") for v in values]
+    cells = [F.expr(f"{cell(f'{on} = {v}')} as {prefix}{v}") for v in values]
     return rows.groupBy(*keys).agg(*cells)

@@ -22,7 +22,7 @@ from prudentia.functions.display import code_text
 from prudentia.operators.lines import line_like, max_where
 from prudentia.operators.periods import at_period, distinct_periods, with_closest_period
 from prudentia.operators.ranking import share_of_period, top_per_period
-from prudentia.plans.ratios import RATIO_NAMES, input_aggregates, ratio
+from prudentia.plans.ratios import RATIOS, input_aggregates
 from prudentia.schemas import BALANCETES_TOP50
 from prudentia.sources.base import Filings
 
@@ -84,19 +84,19 @@ def ratio_ranking(
     The ratio is aggregated before the registry is joined: the aggregate is one
     row per entity and period, and the registry only adds the segment.
     """
-    if name not in RATIO_NAMES:
+    if name not in RATIOS:
         return filings.spark.createDataFrame(
             [], "ano_mes int, cod_conglomerado int, nome_conglomerado string, "
             "segmento string, valor double"
         )
-    wanted = ratio(name)
+    wanted = RATIOS[name]
     lines = _in_period(
         filings.report_lines(wanted.report), ano_mes, of=filings.report_periods
     )
     values = (
         lines.groupBy("ano_mes", "cod_conglomerado", "nome_conglomerado")
         .agg(*input_aggregates(wanted.inputs))
-        .withColumn("valor", wanted.formula)
+        .withColumn("valor", F.expr(wanted.formula))
         .where(F.col("valor").isNotNull())
     )
     segments = filings.cadastro.select("cod_conglomerado", "ano_mes", "segmento").distinct()

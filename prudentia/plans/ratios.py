@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from prudentia.constants import CAPITAL, INCOME, SUMMARY
 from prudentia.functions import periods
 from prudentia.functions.display import ratio_text
-from prudentia.operators.lines import line_like, max_where
-from prudentia.operators.pivot import pivot
+from prudentia.operators.lines import line_like_sql
+from prudentia.operators.pivot import only, pivot
 from prudentia.sources.base import Filings
 
 # Input name: (report, LIKE pattern of the line, LIKE pattern to leave out).
@@ -34,85 +34,76 @@ INPUTS: dict[str, tuple[str, str, str | None]] = {
 }
 
 
+YEARLY_PROFIT = f"lucro * {periods.ANNUALISATION_SQL}"
+
+
+def _share(top: str, bottom: str) -> str:
+    """Percentage; NULL for a zero or missing divisor."""
+    return f"try_divide({top}, {bottom}) * 100"
+
+
 @dataclass(frozen=True)
 class Ratio:
+    """A named formula over the inputs, as SQL text."""
+
     name: str
     label: str
     unit: str
     group: str
     inputs: tuple[str, ...]
-    formula: Column
+    formula: str
 
     @property
     def report(self) -> str:
         return INPUTS[self.inputs[0]][0]
 
-
-def _per(top: Column, bottom: str) -> Column:
-    """Division that is NULL for a zero or missing divisor."""
-    return F.try_divide(top, F.col(bottom))
-
-
-def _catalogue() -> dict[str, Ratio]:
-    yearly_profit = F.col("lucro") * periods.annualisation_factor(F.col("ano_mes"))
-
-    def share(top: str, bottom: str) -> Column:
-        return _per(F.col(top), bottom) * 100
-
-    rows = [
-        ("roe", "ROE", "%", "Rentabilidade", ("lucro", "pl"), _per(yearly_profit, "pl") * 100),
-        ("roa", "ROA", "%", "Rentabilidade", ("lucro", "ativo"),
-         _per(yearly_profit, "ativo") * 100),
-        ("loan_to_deposit", "Loan-to-Deposit", "%", "Estrutura", ("carteira", "captacoes"),
-         share("carteira", "captacoes")),
-        ("credit_intensity", "Credit Intensity", "%", "Estrutura", ("carteira", "ativo"),
-         share("carteira", "ativo")),
-        ("securities_share", "Securities Share", "%", "Estrutura", ("tvm", "ativo"),
-         share("tvm", "ativo")),
-        ("leverage", "Alavancagem", "x", "Estrutura", ("ativo", "pl"),
-         _per(F.col("ativo"), "pl")),
-        ("debt_equity", "Debt/Equity", "x", "Estrutura", ("passivo", "pl"),
-         _per(F.col("passivo"), "pl")),
-        ("funding_dependency", "Funding Dependency", "%", "Estrutura", ("captacoes", "ativo"),
-         share("captacoes", "ativo")),
-        ("pr_coverage", "PR / Ativo", "%", "Capital", ("pr", "ativo"), share("pr", "ativo")),
-        ("basileia", "Basileia", "%", "Capital", ("basileia_linha",),
-         F.col("basileia_linha") * 100),
-        ("capital_principal", "Capital Principal (CET1)", "%", "Capital", ("principal_linha",),
-         F.col("principal_linha") * 100),
-        ("capital_nivel1", "Capital Nível I", "%", "Capital", ("nivel1_linha",),
-         F.col("nivel1_linha") * 100),
-        ("capital_excess", "Capital Excess", "ppts", "Capital", ("basileia_linha",),
-         (F.col("basileia_linha") - F.lit(0.105)) * 100),
-        ("razao_alavancagem", "Razão de Alavancagem", "%", "Capital", ("razao_linha",),
-         F.col("razao_linha") * 100),
-        ("tax_rate", "Taxa Efetiva IR", "%", "DRE", ("ir", "antes_trib"),
-         share("ir", "antes_trib")),
-    ]
-    return {row[0]: Ratio(*row) for row in rows}
-
-
-RATIO_NAMES = (
-    "roe", "roa", "loan_to_deposit", "credit_intensity", "securities_share", "leverage",
-    "debt_equity", "funding_dependency", "pr_coverage", "basileia", "capital_principal",
-    "capital_nivel1", "capital_excess", "razao_alavancagem", "tax_rate",
+    @property
+    def column(self) -> Column:
+        return F.expr(f"{self.formula} as {self.name}")
+
+
+CATALOGUE = (
+    Ratio("roe", "ROE", "%", "Rentabilidade", ("lucro", "pl"), _share(YEARLY_PROFIT, "pl")),
+    Ratio("roa", "ROA", "%", "Rentabilidade", ("lucro", "ativo"),
+          _share(YEARLY_PROFIT, "ativo")),
+    Ratio("loan_to_deposit", "Loan-to-Deposit", "%", "Estrutura", ("carteira", "captacoes"),
+          _share("carteira", "captacoes")),
+    Ratio("credit_intensity", "Credit Intensity", "%", "Estrutura", ("carteira", "ativo"),
+          _share("carteira", "ativo")),
+    Ratio("securities_share", "Securities Share", "%", "Estrutura", ("tvm", "ativo"),
+          _share("tvm", "ativo")),
+    Ratio("leverage", "Alavancagem", "x", "Estrutura", ("ativo", "pl"),
+          "try_divide(ativo, pl)"),
+    Ratio("debt_equity", "Debt/Equity", "x", "Estrutura", ("passivo", "pl"),
+          "try_divide(passivo, pl)"),
+    Ratio("funding_dependency", "Funding Dependency", "%", "Estrutura", ("captacoes", "ativo"),
+          _share("captacoes", "ativo")),
+    Ratio("pr_coverage", "PR / Ativo", "%", "Capital", ("pr", "ativo"), _share("pr", "ativo")),
+    Ratio("basileia", "Basileia", "%", "Capital", ("basileia_linha",), "basileia_linha * 100"),
+    Ratio("capital_principal", "Capital Principal (CET1)", "%", "Capital", ("principal_linha",),
+          "principal_linha * 100"),
+    Ratio("capital_nivel1", "Capital Nível I", "%", "Capital", ("nivel1_linha",),
+          "nivel1_linha * 100"),
+    Ratio("capital_excess", "Capital Excess", "ppts", "Capital", ("basileia_linha",),
+          "(basileia_linha - 0.105D) * 100"),
+    Ratio("razao_alavancagem", "Razão de Alavancagem", "%", "Capital", ("razao_linha",),
+          "razao_linha * 100"),
+    Ratio("tax_rate", "Taxa Efetiva IR", "%", "DRE", ("ir", "antes_trib"),
+          _share("ir", "antes_trib")),
 )
+RATIOS = {ratio.name: ratio for ratio in CATALOGUE}
 HEADLINE_RATIOS = (
     "roe", "roa", "loan_to_deposit", "basileia", "capital_principal", "leverage",
 )
 
 
-def ratio(name: str) -> Ratio:
-    return _catalogue()[name]
-
-
 def input_aggregates(names: tuple[str, ...]) -> list[Column]:
     """Largest matching line per input, to be used inside one aggregation."""
     cells = []
     for name in names:
         report, include, exclude = INPUTS[name]
-        of_report = F.col("relatorio") == report
-        cells.append(max_where(of_report & line_like(include, exclude)).alias(name))
+        test = f"relatorio = '{report}' and {line_like_sql(include, exclude)}"
+        cells.append(F.expr(f"max(if({test}, valor_a, null)) as {name}"))
     return cells
 
 
@@ -128,7 +119,7 @@ def financial_ratios(filings: Filings, cod_conglomerado: int | None = None) -> D
     inputs = lines.groupBy("cod_conglomerado", "ano_mes").agg(*input_aggregates(tuple(INPUTS)))
     ratios = inputs.select(
         "cod_conglomerado", "ano_mes",
-        *[ratio.formula.alias(name) for name, ratio in _catalogue().items()],
+        *[ratio.column for ratio in CATALOGUE],
     )
     return ratios if cod_conglomerado is None else ratios.orderBy("ano_mes")
 
@@ -154,18 +145,13 @@ def ratio_series(filings: Filings, name: str, cod_conglomerado: int | None = Non
 
 def _long_ratios(filings: Filings, cod_conglomerado: int | None) -> DataFrame:
     """Ratios as rows, with label, unit and group beside each value."""
-    entries = [
-        F.struct(
-            F.lit(position).alias("posicao"),
-            F.lit(r.group).alias("grupo"),
-            F.lit(f"{r.label} ({r.unit})").alias("indicador"),
-            F.lit(r.unit).alias("unidade"),
-            F.col(r.name).alias("valor"),
-        )
-        for position, r in enumerate(_catalogue().values(), start=1)
-    ]
+    entries = ", ".join(
+        f"struct({position} as posicao, '{r.group}' as grupo, "
+        f"'{r.label} ({r.unit})' as indicador, '{r.unit}' as unidade, {r.name} as valor)"
+        for position, r in enumerate(CATALOGUE, start=1)
+    )
     ratios = financial_ratios(filings, cod_conglomerado)
-    return ratios.select("cod_conglomerado", "ano_mes", F.inline(F.array(*entries)))
+    return ratios.selectExpr("cod_conglomerado", "ano_mes", f"inline(array({entries}))")
 
 
 def ratio_table(
@@ -175,7 +161,7 @@ def ratio_table(
     table = pivot(
         _long_ratios(filings, cod_conglomerado),
         ["cod_conglomerado", "posicao", "grupo", "indicador"], "ano_mes", periods_shown,
-        lambda keep: F.max(F.when(keep, F.col("valor"))), prefix="p",
+        only("valor"), "p",
     )
     return table if cod_conglomerado is None else table.orderBy("posicao")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prudentia.functions import periods, text
 from prudentia.functions.display import cell_text, change_text
-from prudentia.operators.pivot import first_by_order, pivot
+from prudentia.operators.pivot import first_by_order, only, pivot
 from prudentia.operators.series import (
     change_on_previous_period,
     change_on_previous_year,
@@ -30,7 +30,7 @@ def report_table(
     lines = LINES_OF_REPORT[relatorio](filings, cod_conglomerado)
     return pivot(
         lines, ["cod_conglomerado", "nome_linha"], "ano_mes", periods_shown,
-        first_by_order("valor_a"), prefix="p",
+        first_by_order("valor_a"), "p",
     )
 
 
@@ -45,17 +45,12 @@ def report_cells(
     )
 
 
-def _only(keep: Column) -> Column:
-    """The single value of a cell: rows are unique per account and period."""
-    return F.max(F.when(keep, F.col("saldo")))
-
-
 def detailed_income_table(
     filings: Filings, periods_shown: list[int], cod_conglomerado: int | None = None
 ) -> DataFrame:
     """All income accounts by period."""
     rows = detailed_income(filings, cod_conglomerado)
-    table = pivot(rows, [GROUP, "conta", "nome_conta"], "ano_mes", periods_shown, _only, "p")
+    table = pivot(rows, [GROUP, "conta", "nome_conta"], "ano_mes", periods_shown, only("saldo"), "p")
     label = F.concat_ws(" - ", "conta", "nome_conta").alias("indicador")
     shown = table.select(GROUP, label, *[f"p{p}" for p in periods_shown])
     return shown if cod_conglomerado is None else shown.orderBy("indicador")
@@ -71,11 +66,8 @@ def income_table(filings: Filings, cod_conglomerado: int | None = None) -> DataF
     ranked = recent_period_rank(
         income_with_subtotals(filings, cod_conglomerado), [GROUP], "recencia"
     )
-    months = [
-        F.max(F.when(F.col("recencia") == i, F.col("saldo"))).alias(f"m{i}")
-        for i in range(1, 14)
-    ]
-    trailing = F.sum(F.when(F.col("recencia") <= 12, F.col("saldo")))
+    months = [F.expr(f"max(if(recencia = {i}, saldo, null)) as m{i}") for i in range(1, 14)]
+    trailing = F.expr("sum(if(recencia <= 12, saldo, null))")
     is_subtotal = F.col("conta").startswith("RESULTADO")
     label = F.when(is_subtotal, F.col("nome_conta")).otherwise(
         F.concat_ws(" - ", "conta", "nome_conta")
@@ -96,8 +88,7 @@ def _year_grid(series: DataFrame, value: str) -> DataFrame:
     period = F.col("ano_mes")
     dated = series.withColumns({"ano": periods.year(period), "mes": periods.month(period)})
     return pivot(
-        dated, ["cod_conglomerado", "nome_linha", "ano"], "mes", QUARTERS,
-        lambda keep: F.max(F.when(keep, F.col(value))), prefix="q",
+        dated, ["cod_conglomerado", "nome_linha", "ano"], "mes", QUARTERS, only(value), "q"
     )
 
 

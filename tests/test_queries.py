@@ -259,7 +259,7 @@ def _ratio_row(spark, lines):
 
 def test_ratios(spark):
     row = _ratio_row(spark, ratio_lines(1, 202406) + capital_ratio_lines(1, 202406) + tax_lines(1, 202406))
-    got = {n: row[n] for n in ratios.RATIO_NAMES}
+    got = {n: row[n] for n in ratios.RATIOS}
     assert got == pytest.approx({
         "roe": 30.0, "roa": 3.0, "loan_to_deposit": 60.0, "credit_intensity": 6.0,
         "securities_share": 20.0, "leverage": 10.0, "debt_equity": 9.0, "funding_dependency": 10.0,
