@@ -1,0 +1,23 @@
+"""Joining facts with a lookup table whose size is not known beforehand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+MAX_LOCAL_ROWS = 100_000
+
+
+def settle(lookup: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """Compute a lookup that comes out of an aggregation, before it is joined.
+
+    Spark plans a join with an aggregate of unknown size as a shuffle of both
+    sides, and learns that the lookup was tiny only after shuffling the facts.
+    Up to ``max_rows`` rows are therefore fetched and become a local table,
+    whose size Spark knows and which it broadcasts by its own threshold. A
+    larger lookup stays as it is: joined by shuffle, hot keys split at run time.
+    """
+    rows = lookup.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return lookup
+    # From Arrow it is a local relation; from a list it would be an RDD of unknown size.
+    return lookup.sparkSession.createDataFrame(rows, lookup.schema)

@@ -314,3 +314,14 @@ def bridged_institutions(filings: Filings, ano_mes: Period = None) -> DataFrame:
             ).alias("label"),
         )
     )
+
+
+def top50_options(filings: Filings, ano_mes: Period = None) -> DataFrame:
+    """Top-50 institutions to choose from: root and ``1. NAME (C0000001)``."""
+    label = F.concat(
+        F.col("rank"), F.lit(". "), "nome_inst",
+        F.lit(" ("), code_text(F.col("cod_conglomerado")), F.lit(")"),
+    )
+    return top50(filings, ano_mes).select(
+        "ano_mes", "rank", F.col("cnpj8").alias("value"), label.alias("label")
+    )

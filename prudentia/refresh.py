@@ -207,10 +207,7 @@ def refresh_individual(
             return 0
         members = store.institution_mapping
         if not every_institution:
-            codes = spark.createDataFrame(
-                [(c,) for c in PEER_GROUPS[peer_group]], "cod_conglomerado int"
-            )
-            members = registry_files.of_groups(members, codes)
+            members = members.where(F.col("cod_conglomerado").isin(*PEER_GROUPS[peer_group]))
         names = [f"{p}-4010-*.{ext}" for p in missing for ext in ("zip", "ZIP")]
         root = F.regexp_extract("path", r"-4010-(\w+)\.[^.]+$", 1)
         archives = _archives(spark, landing, names).withColumn("cnpj8", root).join(

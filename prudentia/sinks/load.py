@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prudentia.operators.accounts import digit_repair_map, has_zero_digit, repair_accounts
+from prudentia.operators.lookup import settle
 from prudentia.operators.quality import is_valid, require_unique
 from prudentia.plans.rankings import top_by_balances, top_by_reports
 from prudentia.schemas import (
@@ -279,7 +280,7 @@ def repair_stored_accounts(store: Warehouse) -> int:
     all periods since the digits were dropped is rebuilt in one job.
     """
     balances = store.balances()
-    repairs = digit_repair_map(store.spark, balances)
+    repairs = settle(digit_repair_map(store.spark, balances))
     changed = (
         balances.where(has_zero_digit(F.col("conta")))
         .join(repairs, F.col("conta") == F.col("zero_conta"), "left_semi")

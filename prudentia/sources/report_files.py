@@ -187,7 +187,9 @@ def assemble_reports(columns: DataFrame, values: DataFrame, registry: DataFrame)
         .join(names, ["ano_mes", "e"], "left")
         .join(F.broadcast(registered), "ano_mes", "left")  # one row per calendar month
         .where(F.col("nome_registro").isNotNull() | F.col("has_registry").isNull())
-        .join(layouts, "ano_mes")
+        # At most three layouts of a few dozen columns per calendar month; a
+        # shuffle on the period alone would send a whole period to one task.
+        .join(F.broadcast(layouts), "ano_mes")
         .withColumn("used", used)
         .where(F.size("used") > 0)
         .select(

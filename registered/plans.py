@@ -225,6 +225,8 @@ QUERIES: dict[str, Query] = {
     "list_institutions": institutions.list_institutions,
     "list_institutions_segment": lambda f: institutions.list_institutions(f, segmento="S1"),
     "entity_details": institutions.institution_details,
+    "institution_options": institutions.institution_options,
+    "institution_cards": institutions.institution_card,
     "target_members": target_members,
     # report lines
     "institution_lines": report_lines.institution_lines,
@@ -271,6 +273,7 @@ QUERIES: dict[str, Query] = {
     "top50_enriched": lambda f: rankings.top50_enriched(f, ALL_PERIODS),
     "top50_enriched_table": rankings.top50_enriched_table,
     "bridged_institutions": lambda f: rankings.bridged_institutions(f, ALL_PERIODS),
+    "top50_options": lambda f: rankings.top50_options(f, ALL_PERIODS),
     # balances
     "account_trend": balances.account_trend,
     "asset_trend": _asset_trend,

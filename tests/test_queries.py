@@ -37,6 +37,19 @@ def test_details(spark):
     assert institutions.institution_details(f).count() == 2
 
 
+def test_options_and_cards(spark):
+    f = two_entities(spark)
+    labels = [r.label for r in institutions.institution_options(f, "S1", "ALL").collect()]
+    assert labels == ["BANCO 1 (C0000001)"]
+    assert institutions.institution_options(f, peer_group="PEERS").count() == 0
+    card = institutions.institution_card(f, 1).first()
+    assert (card.nome_comercial, card.localizacao) == ("BANCO 1", "SP/SP")
+    nowhere = SmallFilings(spark, [institution(1, 10, 202403) | {"uf": ""}])
+    assert institutions.institution_card(nowhere, 1).first().localizacao == "N/D"
+    top = [r.label for r in rankings.top50_options(combined_filings(spark)).collect()]
+    assert top[0] == "1. BANCO 11111111 (C0000001)" and top[2] == "3. BANCO 33333333 (-)"
+
+
 def test_peer_group(spark):
     rows = spark.createDataFrame([(1000085317,), (1,)], "cod_conglomerado int")
     assert in_peer_group(rows, "PEERS").count() == 1
