@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from prudentia.constants import INDIVIDUAL_TYPE, PEER_GROUPS, PRUDENTIAL_TYPE, REPORT_NAMES
@@ -152,10 +152,22 @@ def _archives(spark: SparkSession, landing: str, names: Sequence[str]) -> DataFr
     )
 
 
-def _reject_archives(store: Warehouse, lines: DataFrame) -> None:
-    bad = balance_files.archive_errors(lines)
-    if not bad.isEmpty():
-        load.quarantine(store, "archives", bad)
+def _load_archives(
+    store: Warehouse, archives: DataFrame,
+    parse: Callable[[DataFrame], DataFrame],
+    into: Callable[[Warehouse, DataFrame], load.Loaded],
+) -> int:
+    """Unpack, parse and load; archives are opened again only if some failed."""
+    lines, unreadable = balance_files.unpack_lines(archives), Observation()
+    watched = lines.observe(unreadable, F.count("error").alias("archives"))
+    rows = into(store, parse(watched)).rows
+    if load.observed(unreadable, "archives"):
+        load.quarantine(store, "archives", balance_files.archive_errors(lines))
+    return rows
+
+
+def _consolidated(lines: DataFrame) -> DataFrame:
+    return balance_files.parse_consolidated(balance_files.consolidated_fields(lines))
 
 
 def refresh_balances(
@@ -174,10 +186,8 @@ def refresh_balances(
             return 0
         names = [f"{prefix}{p}.{ext}" for p in missing for prefix in ("", "b")
                  for ext in ("zip", "ZIP")]
-        lines = balance_files.unpack_lines(_archives(spark, landing, names))
-        _reject_archives(store, lines)
-        rows = balance_files.parse_consolidated(balance_files.consolidated_fields(lines))
-        return load.load_balances(store, rows).rows
+        archives = _archives(spark, landing, names)
+        return _load_archives(store, archives, _consolidated, load.load_balances)
 
     return [_run("balances", balances)]
 
@@ -213,10 +223,9 @@ def refresh_individual(
         archives = _archives(spark, landing, names).withColumn("cnpj8", root).join(
             members.select("cnpj8"), "cnpj8", "left_semi"
         )
-        lines = balance_files.unpack_lines(archives)
-        _reject_archives(store, lines)
-        rows = balance_files.parse_individual(lines)
-        return load.load_individual_balances(store, rows).rows
+        return _load_archives(
+            store, archives, balance_files.parse_individual, load.load_individual_balances
+        )
 
     return [_run("mapping", mapping), _run("individual balances", balances)]
 

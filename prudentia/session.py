@@ -30,9 +30,3 @@ def build_session(
     for key, value in {**REQUIRED_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def scratch_dir(spark: SparkSession, fallback: str) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder,
-    or ``fallback`` where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback

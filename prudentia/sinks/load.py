@@ -96,12 +96,12 @@ def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> li
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*spec.partition_by).parquet(store.path(spec))
     )
-    if _observed(checked, "rejected"):
+    if observed(checked, "rejected"):
         quarantine(store, spec.name, typed.where(~valid))
-    return _observed(seen, "partitions") or []
+    return observed(seen, "partitions") or []
 
 
-def _observed(observation: Observation, name: str) -> Any:
+def observed(observation: Observation, name: str) -> Any:
     """A metric of a finished write; None when the write had no task to run,
     in which case Spark reports no metrics at all."""
     try:
