@@ -119,6 +119,18 @@ def line_options(filings: Filings, cod_conglomerado: int | None = None) -> DataF
     return options.orderBy("priority", "label")
 
 
+def matching_lines(
+    filings: Filings,
+    relatorio: str,
+    include: str,
+    exclude: str | None = None,
+    cod_conglomerado: int | None = None,
+) -> DataFrame:
+    """Lines whose name is found by one regex and not by another."""
+    rows = LINES_OF_REPORT[relatorio](filings, cod_conglomerado)
+    return rows.where(line_regex(include, exclude))
+
+
 def line_series(
     filings: Filings,
     relatorio: str,
@@ -127,9 +139,8 @@ def line_series(
     cod_conglomerado: int | None = None,
 ) -> DataFrame:
     """Largest matching line per period, also as a percentage."""
-    rows = LINES_OF_REPORT[relatorio](filings, cod_conglomerado)
     series = (
-        rows.where(line_regex(include, exclude))
+        matching_lines(filings, relatorio, include, exclude, cod_conglomerado)
         .groupBy("cod_conglomerado", "ano_mes")
         .agg(F.max("valor_a").alias("valor_a"))
         .withColumn("valor_pct", F.col("valor_a") * 100)

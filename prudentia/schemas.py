@@ -111,11 +111,21 @@ BALANCETES_TOP50 = TableSpec(
     required=("ano_mes", "rank", "cnpj8", "nome_inst", "patrimonio_liquido"),
 )
 
+# Distinct accounts of every stored balance partition, kept by the loads: what
+# they need to know about the whole history without reading it.
+ACCOUNT_INDEX = TableSpec(
+    "account_index",
+    _struct("ano_mes INT, documento STRING, conta STRING"),
+    partition_by=("ano_mes", "documento"),
+    sort_by=("conta",),
+    required=("ano_mes", "documento", "conta"),
+)
+
 TABLES = {
     spec.name: spec
     for spec in (
         CADASTRO, REPORT_VALUES, FETCH_LOG, BALANCETES_RAW,
-        INSTITUTION_MAPPING, BALANCETES_TOP50,
+        INSTITUTION_MAPPING, BALANCETES_TOP50, ACCOUNT_INDEX,
     )
 }
 

@@ -23,6 +23,7 @@ from prudentia.operators.lookup import settle
 from prudentia.operators.quality import is_valid, require_unique
 from prudentia.plans.rankings import top_by_balances, top_by_reports
 from prudentia.schemas import (
+    ACCOUNT_INDEX,
     BALANCETES_RAW,
     BALANCETES_TOP50,
     CADASTRO,
@@ -196,8 +197,27 @@ def load_report_values(store: Warehouse, rows: DataFrame) -> Loaded:
     return Loaded(_log(store, counts), tuple(tuple(k) for k in keys))
 
 
-def _repaired(store: Warehouse, rows: DataFrame) -> DataFrame:
-    return repair_accounts(rows, digit_repair_map(store.spark, store.balances()))
+def _index_accounts(store: Warehouse, balances: DataFrame) -> None:
+    """Record the accounts of some partitions, given with all their rows."""
+    accounts = balances.select(*ACCOUNT_INDEX.schema.names).distinct()
+    replace_partitions(store, ACCOUNT_INDEX, accounts)
+
+
+def _known_accounts(store: Warehouse) -> DataFrame:
+    """Accounts seen in any stored balance. The index is built from the balances
+    when there is none yet; afterwards no load reads the history again."""
+    if store.read(ACCOUNT_INDEX.name).isEmpty():
+        _index_accounts(store, store.balances())
+    return store.read(ACCOUNT_INDEX.name)
+
+
+def _replace_balances(store: Warehouse, rows: DataFrame) -> list[Row]:
+    """Repair accounts, replace the partitions and index their accounts."""
+    repairs = digit_repair_map(store.spark, _known_accounts(store))
+    keys = replace_partitions(store, BALANCETES_RAW, repair_accounts(rows, repairs))
+    if keys:
+        _index_accounts(store, store.balances().where(_in_partitions(BALANCETES_RAW, keys)))
+    return keys
 
 
 def load_balances(store: Warehouse, rows: DataFrame, scope: str = "period") -> Loaded:
@@ -208,7 +228,7 @@ def load_balances(store: Warehouse, rows: DataFrame, scope: str = "period") -> L
     """
     if scope not in ("period", "document"):
         raise ValueError(f"scope must be 'period' or 'document', not {scope!r}")
-    keys = replace_partitions(store, BALANCETES_RAW, _repaired(store, rows))
+    keys = _replace_balances(store, rows)
     if not keys:
         return NOTHING
     periods = sorted({k.ano_mes for k in keys})
@@ -216,7 +236,8 @@ def load_balances(store: Warehouse, rows: DataFrame, scope: str = "period") -> L
     if scope == "period":
         present = {(r.ano_mes, r.documento) for r in counts.collect()}
         brought = {(k.ano_mes, k.documento) for k in keys}
-        clear_partitions(store, BALANCETES_RAW, sorted(present - brought))
+        for spec in (BALANCETES_RAW, ACCOUNT_INDEX):
+            clear_partitions(store, spec, sorted(present - brought))
         counts = _stored_counts(store, BALANCETES_RAW, periods)
     rebuild_top50(store, periods)
     stored = _log(
@@ -230,7 +251,7 @@ def load_balances(store: Warehouse, rows: DataFrame, scope: str = "period") -> L
 def load_individual_balances(store: Warehouse, rows: DataFrame) -> Loaded:
     """Replace the individual balances of the periods; the top 50 stays."""
     individual = rows.where(F.col("documento") == INDIVIDUAL)
-    keys = replace_partitions(store, BALANCETES_RAW, _repaired(store, individual))
+    keys = _replace_balances(store, individual)
     if not keys:
         return NOTHING
     counts = _stored_counts(store, BALANCETES_RAW, [k.ano_mes for k in keys]).where(
@@ -276,8 +297,9 @@ def rebuild_top50(
 def repair_stored_accounts(store: Warehouse) -> int:
     """Repair zero check digits in everything stored; returns the rows changed.
 
-    Only partitions with such rows are written again. Afterwards the top 50 of
-    all periods since the digits were dropped is rebuilt in one job.
+    Only partitions with such rows are written again, and all accounts indexed
+    anew. Afterwards the top 50 of all periods since the digits were dropped is
+    rebuilt in one job.
     """
     balances = store.balances()
     repairs = settle(digit_repair_map(store.spark, balances))
@@ -290,6 +312,7 @@ def repair_stored_accounts(store: Warehouse) -> int:
     if changed:
         affected = balances.where(_in_partitions(BALANCETES_RAW, changed))
         replace_partitions(store, BALANCETES_RAW, repair_accounts(affected, repairs))
+        _index_accounts(store, store.balances())
     since = store.balances().where(F.col("ano_mes") >= FIRST_ZERO_DIGIT_PERIOD)
     periods = [r.ano_mes for r in since.select("ano_mes").distinct().collect()]
     if periods:

@@ -242,6 +242,7 @@ QUERIES: dict[str, Query] = {
     "report_periods": report_lines.report_periods,
     "report_lines": lambda f: report_lines.report_line_names(f, CAPITAL),
     "line_options": report_lines.line_options,
+    "matching_lines": lambda f: report_lines.matching_lines(f, SUMMARY, "(?iu)ATIVO TOTAL|crédito"),
     "capital_series": lambda f: report_lines.line_series(
         f, CAPITAL, "(?iu)basileia", "(?iu)amplo"
     ),

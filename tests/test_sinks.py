@@ -137,6 +137,21 @@ def test_zero_digits_are_repaired_on_load(spark, store):
     assert rankings.top50(store, 202501).count() == 1
 
 
+def test_account_index_follows_the_balances(spark, store):
+    def indexed() -> set:
+        return {tuple(r) for r in store.read("account_index").collect()}
+
+    raw = [balance(A, 1.0, 202412, "7.1.0.00.00-8", "4010")]
+    load.replace_partitions(  # stored before there was an index
+        store, schemas.BALANCETES_RAW, frame(spark, schemas.BALANCETES_RAW, raw)
+    )
+    new = [balance(A, 2.0, 202501, "7.1.0.00.00-0", "4010")]
+    load.load_individual_balances(store, frame(spark, schemas.BALANCETES_RAW, new))
+    assert indexed() == {(202412, "4010", "7.1.0.00.00-8"), (202501, "4010", "7.1.0.00.00-8")}
+    load.load_balances(store, frame(spark, schemas.BALANCETES_RAW, [balance(A, 5e6, 202412)]))
+    assert indexed() == {(202412, "4040", "6.0.0.00.00-2"), (202501, "4010", "7.1.0.00.00-8")}
+
+
 def test_fallback_repairs_without_history(spark, store):
     rows = [balance(A, 6e6, conta="6.0.0.00.00-0"), balance(A, 1.0, conta="7.1.0.00.00-0")]
     load.load_balances(store, frame(spark, schemas.BALANCETES_RAW, rows))
