@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def top_per_period(
-    rows: DataFrame, order: Sequence[Column], n: int | None, rank: str = "rank"
+    rows: DataFrame, order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
     """Number the rows of each period and keep the first ``n``.
 
@@ -17,8 +17,7 @@ def top_per_period(
     the shuffle, so even a period holding most rows sends few of them.
     """
     window = Window.partitionBy("ano_mes").orderBy(*order)
-    ranked = rows.withColumn(rank, F.row_number().over(window))
-    return ranked if n is None else ranked.where(F.col(rank) <= n)
+    return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
 def share_of_period(rows: DataFrame, value: str, share: str) -> DataFrame:

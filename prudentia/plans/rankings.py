@@ -43,6 +43,16 @@ def _with_segment(filings: Filings, rows: DataFrame) -> DataFrame:
     return rows.join(registry, ["cod_conglomerado", "ano_mes"], "left")
 
 
+def _ranked(
+    rows: DataFrame, order: Sequence[Column], ano_mes: Period, top_n: int | None
+) -> DataFrame:
+    """Rows in order, or the top n. All entities of all periods stay unnumbered:
+    numbering them would bring each period to one task."""
+    if ano_mes == ALL_PERIODS:
+        return rows if top_n is None else top_per_period(rows, order, top_n)
+    return rows.orderBy(*order) if top_n is None else rows.orderBy(*order).limit(top_n)
+
+
 def _segment_or_blank() -> Column:
     return F.coalesce("segmento", F.lit(""))
 
@@ -58,7 +68,7 @@ def segment_ranking(
     """Entities by one line, largest first.
 
     The newest period is that of all reports, so the ranking is empty when that
-    period lacks this report. With ``ano_mes="all"`` every period is ranked.
+    period lacks this report. With ``ano_mes="all"`` all periods are answered.
     """
     lines = filings.report_lines(relatorio).where(
         (F.col("nome_linha") == line) & F.col("valor_a").isNotNull()
@@ -71,9 +81,7 @@ def segment_ranking(
         _segment_or_blank().alias("segmento"), "valor_a",
     )
     order = [F.desc("valor_a"), F.asc("cod_conglomerado")]
-    if ano_mes == ALL_PERIODS:
-        return top_per_period(rows, order, top_n)
-    return rows.orderBy(*order) if top_n is None else rows.orderBy(*order).limit(top_n)
+    return _ranked(rows, order, ano_mes, top_n)
 
 
 def ratio_ranking(
@@ -105,9 +113,7 @@ def ratio_ranking(
         _segment_or_blank().alias("segmento"), "valor",
     )
     order = [F.desc("valor"), F.asc("cod_conglomerado"), F.asc("segmento")]
-    if ano_mes == ALL_PERIODS:
-        return top_per_period(rows, order, top_n)
-    return rows.orderBy(*order) if top_n is None else rows.orderBy(*order).limit(top_n)
+    return _ranked(rows, order, ano_mes, top_n)
 
 
 def market_share(filings: Filings, ano_mes: Period = None, top_n: int = 20) -> DataFrame:
@@ -121,9 +127,7 @@ def market_share(filings: Filings, ano_mes: Period = None, top_n: int = 20) -> D
     )
     shares = share_of_period(rows, "pl_value", "market_share_pct")
     order = [F.desc("pl_value"), F.asc("cod_conglomerado"), F.asc("segmento")]
-    if ano_mes == ALL_PERIODS:
-        return top_per_period(shares, order, top_n)
-    return shares.orderBy(*order).limit(top_n)
+    return _ranked(shares, order, ano_mes, top_n)
 
 
 # --- the top-50 table ---

@@ -1,7 +1,7 @@
 """Quarterly report files: period index, layouts, indicators and values.
 
 All periods are assembled in one job. Layout and indicator files hold a few
-dozen rows per period; only the entity values grow, and they are shuffled once.
+dozen rows per period; only the entity values grow.
 """
 
 from __future__ import annotations
@@ -155,13 +155,29 @@ def read_values(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     )
 
 
-def entity_groups(values: DataFrame) -> DataFrame:
-    """One row per period and entity with its value arrays in overwrite order.
+def entity_values(values: DataFrame, columns: DataFrame) -> DataFrame:
+    """One row per period and entity: its last value of each group and indicator.
 
-    An entity has one array per value group, a handful, so the list is short.
+    Indicators no report shows are folded into one NULL entry per group, which
+    still tells that the entity filed the group. So what is collected is bounded
+    by the layouts, however often a file repeats an entity.
     """
-    return values.groupBy("ano_mes", "e").agg(
-        F.array_sort(F.collect_list(F.struct("grupo", "pos", "v"))).alias("parts")
+    shown = columns.select("ano_mes", F.col("lid").alias("i")).distinct().withColumn(
+        "is_shown", F.lit(True)
+    )
+    entries = values.select(
+        "ano_mes", "grupo", "e", "pos", F.posexplode_outer("v").alias("at", "entry")
+    ).select(
+        "ano_mes", "grupo", "e", "entry.i", "entry.v",
+        (F.col("pos").cast("long") * F.lit(2**32) + F.coalesce("at", F.lit(0))).alias("turn"),
+    )
+    return (
+        # A few dozen indicators per calendar month.
+        entries.join(F.broadcast(shown), ["ano_mes", "i"], "left")
+        .groupBy("ano_mes", "e", "grupo", F.when(F.col("is_shown"), F.col("i")).alias("i"))
+        .agg(F.max_by("v", "turn").alias("v"))
+        .groupBy("ano_mes", "e")
+        .agg(F.array_sort(F.collect_list(F.struct("grupo", "i", "v"))).alias("parts"))
     )
 
 
@@ -170,8 +186,9 @@ def assemble_reports(columns: DataFrame, values: DataFrame, registry: DataFrame)
 
     ``columns`` comes with ``relatorio``. Columns travel as one array per period
     and report and are expanded beside each entity, so nothing is cross-joined;
-    a column without a value stays as NULL. A period without a registry keeps
-    all entities, named by their code.
+    a column without a value stays as NULL, and a later group overwrites an
+    earlier one. A period without a registry keeps all entities, named by their
+    code.
     """
     layouts = columns.groupBy("ano_mes", "relatorio").agg(
         F.array_sort(F.collect_list(F.struct("pos", "nome", "lid", "ordenacao"))).alias("cells"),
@@ -181,36 +198,31 @@ def assemble_reports(columns: DataFrame, values: DataFrame, registry: DataFrame)
         F.max("nome_conglomerado").alias("nome_registro")
     )
     registered = registry.select("ano_mes").distinct().withColumn("has_registry", F.lit(True))
-    used = F.filter("parts", lambda part: F.array_contains(F.col("groups"), part["grupo"]))
     entities = (
-        entity_groups(values)
+        entity_values(values, columns)
         .join(names, ["ano_mes", "e"], "left")
         .join(F.broadcast(registered), "ano_mes", "left")  # one row per calendar month
         .where(F.col("nome_registro").isNotNull() | F.col("has_registry").isNull())
         # At most three layouts of a few dozen columns per calendar month; a
         # shuffle on the period alone would send a whole period to one task.
         .join(F.broadcast(layouts), "ano_mes")
-        .withColumn("used", used)
+        .withColumn(
+            "used",
+            F.filter("parts", lambda part: F.array_contains(F.col("groups"), part["grupo"])),
+        )
         .where(F.size("used") > 0)
         .select(
-            "ano_mes", "relatorio", "e", "nome_registro", "cells",
-            F.flatten(F.transform("used", lambda part: part["v"])).alias("values"),
+            "ano_mes", "relatorio", "e", "nome_registro", "used", F.explode("cells").alias("cell")
         )
     )
+    matching = F.filter("used", lambda part: part["i"] == F.col("cell.lid"))
     cell = F.col("cell")
-    last = F.try_element_at(
-        F.filter("values", lambda v: v["i"] == F.col("cell.lid")), F.lit(-1)
-    )
-    return (
-        entities.withColumn("cell", F.explode("cells"))
-        .select(
-            "ano_mes", "relatorio", F.col("e").alias("cod_conglomerado"),
-            F.coalesce("nome_registro", F.col("e").cast("string")).alias("nome_conglomerado"),
-            cell["lid"].cast("string").alias("codigo_coluna"),
-            cell["nome"].alias("nome_coluna"),
-            last["v"].alias("valor_a"),
-            cell["nome"].alias("nome_linha"),
-            cell["ordenacao"].alias("ordenacao"),
-        )
-        .select(*REPORT_VALUES.schema.names)
-    )
+    return entities.select(
+        "ano_mes", "relatorio", F.col("e").alias("cod_conglomerado"),
+        F.coalesce("nome_registro", F.col("e").cast("string")).alias("nome_conglomerado"),
+        cell["lid"].cast("string").alias("codigo_coluna"),
+        cell["nome"].alias("nome_coluna"),
+        F.try_element_at(matching, F.lit(-1))["v"].alias("valor_a"),
+        cell["nome"].alias("nome_linha"),
+        cell["ordenacao"].alias("ordenacao"),
+    ).select(*REPORT_VALUES.schema.names)

@@ -247,6 +247,20 @@ def test_reports_join_layout_values_and_registry(spark, tmp_path):
     assert one.nome_conglomerado == "BANCO 100"
 
 
+def test_repeated_entities_are_reduced_before_they_are_collected(spark):
+    """One entity repeated 20,000 times keeps one value per shown indicator."""
+    entry = F.struct(F.lit(101).cast("long").alias("i"), F.col("id").cast("double").alias("v"))
+    other = F.struct((F.col("id") + 1000).alias("i"), F.lit(1.0).alias("v"))
+    values = spark.range(20_000).select(
+        F.lit(202412).alias("ano_mes"), F.lit(1).alias("grupo"), F.col("id").cast("int").alias("pos"),
+        F.lit(100).alias("e"), F.array(entry, other).alias("v"),
+    )
+    columns = _columns(spark, (202412, "1", 0, "Ativo Total", 101, 1, 9))
+    row = report_files.entity_values(values, columns).first()
+    assert [(p.grupo, p.i, p.v) for p in row.parts if p.i] == [(1, 101, 19_999.0)]
+    assert len(row.parts) == 2
+
+
 def test_period_without_registry_keeps_all(spark, tmp_path):
     _values(spark, tmp_path, 1, [(100, [(101, 1.0)]), (999, [(101, 2.0)])])
     registry = frame(spark, CADASTRO, [institution(100, 100, 202409)])
