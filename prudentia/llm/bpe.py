@@ -48,9 +48,14 @@ class PrefixEncoder:
             self.pairs.setdefault((left, right), rank)
             if self.rank[whole] < 0:
                 self.rank[whole], self.halves[whole] = rank, (left, right)
+        # a token whose halves or whose border another merge takes first never comes out of merging
+        reached = {i for i in symbols.values() if i not in self.halves}
+        for i in sorted(self.halves, key=self.rank.__getitem__):
+            if reached.issuperset(self.halves[i]) and self._side_by_side(*self.halves[i], self.rank[i]):
+                reached.add(i)
         self.automaton = ahocorasick.Automaton()
         for text, i in symbols.items():
-            if text and (len(text) == 1 or (i in self.halves and self._side_by_side(*self.halves[i], self.rank[i]))):
+            if text and i in reached and (len(text) == 1 or i in self.halves):
                 self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
         self._known: dict[tuple[int, int], bool] = {}

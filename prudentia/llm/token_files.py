@@ -36,7 +36,7 @@ END_ID = 0
 DICTIONARY_DOCS = 2000
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-MEMO_PIECES = 700_000
+MEMO_PIECES = 500_000
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 _TAIL = "<QQQ8s"
 _TAIL_BYTES = struct.calcsize(_TAIL)
