@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from prudentia.constants import CREDIT, DEPOSITS, EQUITY, EXPENSES, REVENUE, TOTAL_ASSETS
 from prudentia.functions import text
-from prudentia.operators.lookup import settle
 
 FALLBACK_ACCOUNTS = (EQUITY, TOTAL_ASSETS, REVENUE, EXPENSES, CREDIT, DEPOSITS)
 
@@ -40,11 +39,12 @@ def digit_repair_map(spark: SparkSession, balances: DataFrame) -> DataFrame:
 def repair_accounts(balances: DataFrame, repair_map: DataFrame) -> DataFrame:
     """Replace zero-digit accounts found in the map; leave the rest unchanged.
 
-    The map has one row per account and is computed first: with its size known
-    the balances are not shuffled, however many of them share one account.
+    A lazy left join: the map has one row per account, and whether it is
+    broadcast or the balances are shuffled, hot accounts split at run time, is
+    left to Spark.
     """
     return (
-        balances.join(settle(repair_map), F.col("conta") == F.col("zero_conta"), "left")
+        balances.join(repair_map, F.col("conta") == F.col("zero_conta"), "left")
         .withColumn("conta", F.coalesce("standard_conta", "conta"))
         .select(*balances.columns)
     )

@@ -24,18 +24,26 @@ def only(value: str) -> Cell:
     return lambda keep: f"max(if({keep}, {value}, null))"
 
 
+def values_present(rows: DataFrame, on: str) -> list[int]:
+    """The values of a calendar column, in order: one row per period comes to the driver."""
+    return [r[0] for r in rows.select(on).distinct().where(F.col(on).isNotNull()).sort(on).collect()]
+
+
 def pivot(
     rows: DataFrame,
     keys: Sequence[str],
     on: str,
-    values: Sequence[int],
+    values: Sequence[int] | None,
     cell: Cell,
     prefix: str,
 ) -> DataFrame:
-    """One row per ``keys``, one column per entry of ``values``.
+    """One row per ``keys``, one column per entry of ``values``, or per value present.
 
     Conditional aggregates need a single shuffle on ``keys``; the built-in
-    pivot first groups by ``keys`` and ``on`` and shuffles twice.
+    pivot first groups by ``keys`` and ``on`` and shuffles twice. Without
+    ``values`` the columns are looked up first, in a job that reads ``on`` only.
     """
+    if values is None:
+        values = values_present(rows, on)
     cells = [F.expr(f"{cell(f'{on} = {v}')} as {prefix}{v}") for v in values]
-    return rows.groupBy(*keys).agg(*cells)
+    return rows.groupBy(*keys).agg(*cells) if cells else rows.select(*keys).distinct()

@@ -11,7 +11,7 @@ from prudentia.constants import CAPITAL, INCOME, SUMMARY
 from prudentia.functions import periods
 from prudentia.functions.display import ratio_text
 from prudentia.operators.lines import line_like_sql
-from prudentia.operators.pivot import only, pivot
+from prudentia.operators.pivot import only, pivot, values_present
 from prudentia.sources.base import Filings
 
 # Input name: (report, LIKE pattern of the line, LIKE pattern to leave out).
@@ -155,9 +155,14 @@ def _long_ratios(filings: Filings, cod_conglomerado: int | None) -> DataFrame:
 
 
 def ratio_table(
-    filings: Filings, periods_shown: list[int], cod_conglomerado: int | None = None
+    filings: Filings, periods_shown: list[int] | None = None, cod_conglomerado: int | None = None
 ) -> DataFrame:
-    """Ratios by period, one row per entity and ratio."""
+    """Ratios by period, one row per entity and ratio; all periods filed by default."""
+    if periods_shown is None:
+        lines = filings.report_lines(SUMMARY, INCOME, CAPITAL)
+        if cod_conglomerado is not None:
+            lines = lines.where(F.col("cod_conglomerado") == cod_conglomerado)
+        periods_shown = values_present(lines, "ano_mes")
     table = pivot(
         _long_ratios(filings, cod_conglomerado),
         ["cod_conglomerado", "posicao", "grupo", "indicador"], "ano_mes", periods_shown,

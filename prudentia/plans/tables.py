@@ -23,10 +23,10 @@ COMPARISONS = ("abs", "yoy", "qoq")
 
 
 def report_table(
-    filings: Filings, relatorio: str, periods_shown: list[int],
+    filings: Filings, relatorio: str, periods_shown: list[int] | None = None,
     cod_conglomerado: int | None = None,
 ) -> DataFrame:
-    """Lines of a report by period, first value in filing order."""
+    """Lines of a report by period, first value in filing order; all periods filed by default."""
     lines = LINES_OF_REPORT[relatorio](filings, cod_conglomerado)
     return pivot(
         lines, ["cod_conglomerado", "nome_linha"], "ano_mes", periods_shown,
@@ -46,13 +46,14 @@ def report_cells(
 
 
 def detailed_income_table(
-    filings: Filings, periods_shown: list[int], cod_conglomerado: int | None = None
+    filings: Filings, periods_shown: list[int] | None = None, cod_conglomerado: int | None = None
 ) -> DataFrame:
-    """All income accounts by period."""
+    """All income accounts by period; all periods filed by default."""
     rows = detailed_income(filings, cod_conglomerado)
-    table = pivot(rows, [GROUP, "conta", "nome_conta"], "ano_mes", periods_shown, only("saldo"), "p")
+    keys = [GROUP, "conta", "nome_conta"]
+    table = pivot(rows, keys, "ano_mes", periods_shown, only("saldo"), "p")
     label = F.concat_ws(" - ", "conta", "nome_conta").alias("indicador")
-    shown = table.select(GROUP, label, *[f"p{p}" for p in periods_shown])
+    shown = table.select(GROUP, label, *[c for c in table.columns if c not in keys])
     return shown if cod_conglomerado is None else shown.orderBy("indicador")
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prudentia.operators.accounts import digit_repair_map, has_zero_digit, repair_accounts
-from prudentia.operators.lookup import settle
 from prudentia.operators.quality import is_valid, require_unique
 from prudentia.plans.rankings import top_by_balances, top_by_reports
 from prudentia.schemas import (
@@ -302,7 +301,11 @@ def repair_stored_accounts(store: Warehouse) -> int:
     rebuilt in one job.
     """
     balances = store.balances()
-    repairs = settle(digit_repair_map(store.spark, balances))
+    # Stored beside the tables and read back: Spark then knows its size from the files.
+    folder = f"{store.root}/_digit_repairs"
+    learned = digit_repair_map(store.spark, balances)
+    learned.write.mode("overwrite").parquet(folder)
+    repairs = store.spark.read.schema(learned.schema).parquet(folder)
     changed = (
         balances.where(has_zero_digit(F.col("conta")))
         .join(repairs, F.col("conta") == F.col("zero_conta"), "left_semi")

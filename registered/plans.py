@@ -18,10 +18,6 @@ from prudentia.schemas import REPORT_VALUES
 from prudentia.sources import balance_files, registry_files, report_files
 from prudentia.sources.lineitem import LineitemFilings
 
-# Quarters of the order calendar, the columns of the wide tables.
-QUARTERS = [year * 100 + month for year in range(1995, 2002) for month in (3, 6, 9, 12)]
-MONTHS = [year * 100 + month for year in range(1995, 2002) for month in range(1, 13)]
-
 Query = Callable[[LineitemFilings], DataFrame]
 
 
@@ -283,7 +279,7 @@ QUERIES: dict[str, Query] = {
     "financial_ratios": ratios.financial_ratios,
     "latest_ratios": ratios.latest_ratios,
     "ratio_series": lambda f: ratios.ratio_series(f, "roe"),
-    "ratios_pivot": lambda f: ratios.ratio_table(f, QUARTERS),
+    "ratios_pivot": ratios.ratio_table,
     "ratio_texts": ratios.ratio_texts,
     # income statements
     "cosif_dre": income.detailed_income,
@@ -293,9 +289,9 @@ QUERIES: dict[str, Query] = {
     "dre_12m": income.trailing_income,
     "dre_recent": income.recent_income,
     # tables
-    "report_pivot": lambda f: tables.report_table(f, CAPITAL, QUARTERS),
+    "report_pivot": lambda f: tables.report_table(f, CAPITAL),
     "report_cells": lambda f: tables.report_cells(f, CAPITAL),
-    "dre_pivot": lambda f: tables.detailed_income_table(f, MONTHS),
+    "dre_pivot": tables.detailed_income_table,
     "dre_table": tables.income_table,
     "year_quarter_pivot": lambda f: tables.year_quarter_table(f, CAPITAL, "abs"),
     "yoy": lambda f: tables.year_quarter_table(f, SUMMARY, "yoy"),

@@ -8,9 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from prudentia import schemas
-from prudentia.operators.lookup import settle
-from prudentia.plans import income, rankings, ratios, report_lines
+from prudentia.plans import income, rankings, ratios, report_lines, tables
 from prudentia.sinks import load
+from registered import plans as registered
 from tests.builders import A, balance, frame, institution, line, mapping
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(query(spark, SF_DIR)) for name, query in entry.queries().items()}
+    return {name: plan(query(spark, SF_DIR)) for name, query in registered.registered().items()}
 
 
 def test_no_nested_loops_and_no_python(plans):
@@ -95,11 +95,19 @@ def test_newest_period_is_a_partition_filter(stored):
     assert ratios.financial_ratios(stored, 1).count() == 2
 
 
-def test_settled_lookup_is_broadcast_only_when_small(spark):
-    facts = spark.range(100_000).selectExpr("id % 7 as k")
-    lookup = spark.range(1000).withColumnRenamed("id", "k").groupBy("k").count()
-    small = plan(facts.join(settle(lookup), "k", "left"))
-    assert "BroadcastHashJoin" in small
-    large = settle(lookup, max_rows=10)
-    assert large is lookup
-    assert facts.join(large, "k", "left").count() == 100_000
+def test_account_repair_starts_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("repair", "planning only")
+    try:
+        entry.queries()["repaired_accounts"](spark, SF_DIR)
+        assert not tracker.getJobIdsForGroup("repair")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_wide_tables_have_the_periods_present(spark, store):
+    filed = [line(1, 1.0, "Ativo Total", p, "1") for p in (198903, 202406)]
+    load.load_report_values(store, frame(spark, schemas.REPORT_VALUES, filed))
+    assert tables.report_table(store, "1").columns[2:] == ["p198903", "p202406"]
+    assert ratios.ratio_table(store).columns[4:] == ["p198903", "p202406"]
+    assert tables.report_table(store, "5").columns == ["cod_conglomerado", "nome_linha"]
