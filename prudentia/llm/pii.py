@@ -147,11 +147,11 @@ def revealing(found: DataFrame, docs: DataFrame, least_docs: int = LEAST_DOCS, t
     holding = found.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(_TERM_SQL), F.lit(0)))
     spread = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = found.agg(F.count("*").alias("n"))
-    known = pairs.join(holding, "entity").join(spread, "term").join(F.broadcast(n))  # one row
+    n = F.lit(found.count())
+    known = pairs.join(holding, "entity").join(spread, "term")
     both, of_entity = F.col("n_both"), F.col("n_entity")
-    share = F.log2(F.col("n") * both / (F.greatest("n_term", both) * of_entity)) / F.log2(F.col("n") / of_entity)
-    return known.where("n > n_entity").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    share = F.log2(n * both / (F.greatest("n_term", both) * of_entity)) / F.log2(n / of_entity)
+    return known.where(n > of_entity).select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def sanitise_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, threshold: float = GENERALISE) -> DataFrame:
