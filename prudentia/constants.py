@@ -79,19 +79,6 @@ MONTH_NAMES = (
     "Jul", "Ago", "Set", "Out", "Nov", "Dez",
 )
 
-# --- fixed values: segments of the prudential regulation ---
-SEGMENTS = {
-    "S1": "Porte >= 10%",
-    "S2": "Porte >= 1%",
-    "S3": "Porte >= 0.1%",
-    "S4": "Porte < 0.1%",
-    "S5": "Não bancário",
-}
-
-# --- fixed values: regulatory minima in percent ---
-MINIMUM_CAPITAL_RATIO = 10.5
-MINIMUM_CORE_CAPITAL = 4.5
-
 # --- fixed values: group codes of the default peer group ---
 PEER_GROUPS = {
     "PEERS": (
