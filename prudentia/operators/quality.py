@@ -32,7 +32,15 @@ def split_valid(rows: DataFrame, required: Sequence[str]) -> tuple[DataFrame, Da
     return rows.where(good), rows.where(~good)
 
 
-class KeyViolation(ValueError):
+class Incomplete(ValueError):
+    """Something was left out of a load; ``rows`` were stored all the same."""
+
+    def __init__(self, message: str, rows: int = 0) -> None:
+        super().__init__(message)
+        self.rows = rows
+
+
+class KeyViolation(Incomplete):
     """A table would get the same key twice."""
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,13 @@ from prudentia.constants import (
 from prudentia.functions import periods, text
 from prudentia.functions.display import code_text
 from prudentia.operators.lines import line_like, max_where
-from prudentia.operators.periods import at_period, distinct_periods, with_closest_period
-from prudentia.operators.ranking import share_of_period, top_per_period
+from prudentia.operators.periods import (
+    at_period,
+    distinct_periods,
+    latest_period,
+    with_closest_period,
+)
+from prudentia.operators.ranking import share_of_period, top_per_period, top_shares
 from prudentia.plans.ratios import RATIOS, input_aggregates
 from prudentia.schemas import BALANCETES_TOP50
 from prudentia.sources.base import Filings
@@ -125,9 +132,11 @@ def market_share(filings: Filings, ano_mes: Period = None, top_n: int = 20) -> D
         "ano_mes", "cod_conglomerado", "nome_conglomerado",
         _segment_or_blank().alias("segmento"), F.col("valor_a").alias("pl_value"),
     )
-    shares = share_of_period(rows, "pl_value", "market_share_pct")
     order = [F.desc("pl_value"), F.asc("cod_conglomerado"), F.asc("segmento")]
-    return _ranked(shares, order, ano_mes, top_n)
+    if top_n is None:
+        return _ranked(share_of_period(rows, "pl_value", "market_share_pct"), order, ano_mes, None)
+    shares = top_shares(rows, "pl_value", "market_share_pct", order, top_n)
+    return shares if ano_mes == ALL_PERIODS else shares.drop("rank").orderBy(*order)
 
 
 # --- the top-50 table ---
@@ -282,9 +291,15 @@ def top50_enriched(filings: Filings, ano_mes: Period = None) -> DataFrame:
         name: (F.col("relatorio") == report) & line_like(pattern)
         for name, (report, pattern) in ENRICHMENTS.items()
     }
+    lines = filings.report_lines(SUMMARY, INCOME, CAPITAL).where(reduce(or_, matches.values()))
+    if ano_mes != ALL_PERIODS:
+        # One quarter is enough; as a scalar subquery it filters partitions.
+        wanted = latest_period(filings.top50_periods) if ano_mes is None else F.lit(ano_mes)
+        lines = at_period(
+            lines, None, of=filings.report_periods.where(F.col("ano_mes") <= wanted)
+        )
     indicators = (
-        filings.report_lines(SUMMARY, INCOME, CAPITAL)
-        .groupBy("cod_conglomerado", F.col("ano_mes").alias("ifdata_periodo"))
+        lines.groupBy("cod_conglomerado", F.col("ano_mes").alias("ifdata_periodo"))
         .agg(*[max_where(test).alias(name) for name, test in matches.items()])
     )
     return (

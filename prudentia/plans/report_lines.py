@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prudentia.constants import CAPITAL, INCOME, INCOME_RENAMES, LINE_ASSETS, SUMMARY
@@ -47,15 +47,20 @@ def summary_lines(filings: Filings, cod_conglomerado: int | None = None) -> Data
     )
 
 
-def income_lines(filings: Filings, cod_conglomerado: int | None = None) -> DataFrame:
-    """Income lines under today's names, without the repeated total assets."""
-    lines = filings.report_lines(INCOME).where(F.col("nome_linha") != LINE_ASSETS)
+def _income_name() -> Column:
+    """Today's name of an income line."""
     name = F.col("nome_linha")
     renamed = name
     for old, new in INCOME_RENAMES.items():
         renamed = F.when(name == old, new).otherwise(renamed)
+    return renamed
+
+
+def income_lines(filings: Filings, cod_conglomerado: int | None = None) -> DataFrame:
+    """Income lines under today's names, without the repeated total assets."""
+    lines = filings.report_lines(INCOME).where(F.col("nome_linha") != LINE_ASSETS)
     return _for_entity(lines, cod_conglomerado).select(
-        "cod_conglomerado", "ano_mes", renamed.alias("nome_linha"), "valor_a", "ordenacao"
+        "cod_conglomerado", "ano_mes", _income_name().alias("nome_linha"), "valor_a", "ordenacao"
     )
 
 
@@ -84,7 +89,9 @@ def latest_comparison(
     """The compared entities in their newest common table period, by value."""
     rows = compare_institutions(filings, codes, line, relatorio)
     newest = rows.select(F.max("ano_mes")).scalar()
-    return rows.where(F.col("ano_mes") == newest).orderBy(F.asc_nulls_last("valor_a"))
+    return rows.where(F.col("ano_mes") == newest).orderBy(
+        F.asc_nulls_last("valor_a"), "cod_conglomerado"
+    )
 
 
 def report_periods(filings: Filings) -> DataFrame:
@@ -102,18 +109,24 @@ def report_line_names(filings: Filings, relatorio: str) -> DataFrame:
 def line_options(filings: Filings, cod_conglomerado: int | None = None) -> DataFrame:
     """Selectable lines: capital first, then summary, then income."""
     choices = [(CAPITAL, "Capital"), (SUMMARY, "Resumo"), (INCOME, "DRE")]
-    parts = [
-        LINES_OF_REPORT[report](filings, cod_conglomerado)
-        .select("cod_conglomerado", "nome_linha").distinct()
-        .select(
-            "cod_conglomerado",
-            F.lit(priority).alias("priority"),
-            F.concat(F.lit(f"[{label}] "), "nome_linha").alias("label"),
-            F.concat(F.lit(f"{report}|"), "nome_linha").alias("value"),
-        )
-        for priority, (report, label) in enumerate(choices, start=1)
-    ]
-    options = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    report, is_income = F.col("relatorio"), F.col("relatorio") == INCOME
+    lines = filings.report_lines(*[code for code, _ in choices])
+    if cod_conglomerado is not None:
+        lines = lines.where(F.col("cod_conglomerado") == cod_conglomerado)
+    names = lines.where(~is_income | (F.col("nome_linha") != LINE_ASSETS)).select(
+        "cod_conglomerado", "relatorio",
+        F.when(is_income, _income_name()).otherwise(F.col("nome_linha")).alias("nome_linha"),
+    ).distinct()
+    priority, label = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for number, (code, short) in enumerate(choices, start=1):
+        priority = F.when(report == code, number).otherwise(priority)
+        label = F.when(report == code, short).otherwise(label)
+    options = names.select(
+        "cod_conglomerado",
+        priority.alias("priority"),
+        F.concat(F.lit("["), label, F.lit("] "), "nome_linha").alias("label"),
+        F.concat(report, F.lit("|"), "nome_linha").alias("value"),
+    )
     if cod_conglomerado is None:
         return options
     return options.orderBy("priority", "label")
@@ -160,37 +173,36 @@ HEADLINES = {
 
 
 def latest_values(
-    lines: DataFrame, wanted: dict[str, tuple[str, str | None]]
+    lines: DataFrame, wanted: dict[str, tuple[str, str, str | None]]
 ) -> DataFrame:
-    """First matching line of each entity's newest period in ``lines``.
+    """First matching line of each entity's newest period of the value's report.
 
-    The newest period counts over all lines: when it lacks the wanted one, the
-    value is NULL rather than an older value. Both steps keep numeric buffers,
-    so they hash-aggregate and combine before the shuffle.
+    The newest period counts over all lines of a report: when it lacks the wanted
+    one, the value is NULL rather than an older value. Both steps keep numeric
+    buffers, so they hash-aggregate and combine before the shuffle.
     """
+    report_is = {report: F.col("relatorio") == report for report, _, _ in wanted.values()}
     cells = [
-        F.min_by("valor_a", F.when(line_regex(include, exclude), F.col("ordenacao"))).alias(name)
-        for name, (include, exclude) in wanted.items()
+        F.min_by(
+            "valor_a",
+            F.when(report_is[report] & line_regex(include, exclude), F.col("ordenacao")),
+        ).alias(name)
+        for name, (report, include, exclude) in wanted.items()
+    ]
+    per_period = lines.groupBy("cod_conglomerado", "relatorio", "ano_mes").agg(*cells)
+    newest = [
+        F.max_by(name, F.when(report_is[report], F.col("ano_mes"))).alias(name)
+        for name, (report, _, _) in wanted.items()
     ]
-    per_period = lines.groupBy("cod_conglomerado", "ano_mes").agg(*cells)
-    newest = [F.max_by(name, "ano_mes").alias(name) for name in wanted]
-    return per_period.groupBy("cod_conglomerado").agg(F.max("ano_mes").alias("ano_mes"), *newest)
+    return per_period.groupBy("cod_conglomerado").agg(*newest)
 
 
 def headline_values(filings: Filings, cod_conglomerado: int | None = None) -> DataFrame:
-    """Six headline values per entity, each from its report's newest period."""
-    sides = []
-    for report in (SUMMARY, CAPITAL):
-        wanted = {
-            name: (include, exclude)
-            for name, (source, include, exclude) in HEADLINES.items()
-            if source == report
-        }
-        lines = LINES_OF_REPORT[report](filings, cod_conglomerado)
-        sides.append(latest_values(lines, wanted).drop("ano_mes"))
-    return sides[0].join(sides[1], "cod_conglomerado", "full").select(
-        "cod_conglomerado", *HEADLINES
-    )
+    """Six headline values per entity; both reports are read at once."""
+    lines = filings.report_lines(SUMMARY, CAPITAL)
+    if cod_conglomerado is not None:
+        lines = lines.where(F.col("cod_conglomerado") == cod_conglomerado)
+    return latest_values(lines, HEADLINES)
 
 
 def first_per_period(lines: DataFrame) -> DataFrame:

@@ -5,23 +5,24 @@
     python -m prudentia.refresh individual --landing L --warehouse W [--months N] [--all] [--force]
 
 A refresh reads what the load log does not have yet. Steps are independent: one
-that fails is reported and the next one runs.
+that fails is reported and the next one runs. Periods are, too: what a period lacks
+or repeats is reported, and the others are loaded.
 """
 
 from __future__ import annotations
 
 import argparse
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from prudentia.constants import INDIVIDUAL_TYPE, PEER_GROUPS, PRUDENTIAL_TYPE, REPORT_NAMES
 from prudentia.functions.periods import monthly_periods
+from prudentia.operators.quality import Incomplete, KeyViolation
 from prudentia.plans.maintenance import pending
 from prudentia.session import build_session
 from prudentia.sinks import load
@@ -37,7 +38,7 @@ INDEX_FILES = ("relatorios2000a2024.json", "relatorios2025a2030.json")
 
 @dataclass(frozen=True)
 class Step:
-    """What one step did: rows loaded, or why it failed."""
+    """What one step did: rows loaded, and what failed."""
 
     name: str
     rows: int = 0
@@ -47,9 +48,9 @@ class Step:
 def _run(name: str, step: Callable[[], int]) -> Step:
     try:
         done = Step(name, step())
-    except (PySparkException, ValueError) as problem:
+    except Exception as problem:  # whatever it was, the next step runs
         logger.exception("%s failed", name)
-        return Step(name, error=str(problem))
+        return Step(name, getattr(problem, "rows", 0), str(problem))
     logger.info("%s loaded %d rows", name, done.rows)
     return done
 
@@ -66,19 +67,64 @@ def _pending(
 # --- quarterly reports ---
 
 
-def _paths(landing: str, found: DataFrame) -> list[str]:
-    """Paths of the files found, a handful per period."""
-    return [f"{landing}/{r.f}" for r in found.select("f").distinct().collect()]
+def _paths(landing: str, store: Warehouse, found: DataFrame) -> tuple[list[str], dict[int, str]]:
+    """Paths of the files found, a handful per period, and by period one that is not there."""
+    paths, absent = [], {}
+    for ano_mes, name in found.select("ano_mes", "f").distinct().orderBy("ano_mes", "f").collect():
+        system, path = store.file(f"{landing}/{name}")
+        if system.exists(path):
+            paths.append(f"{landing}/{name}")
+        else:
+            absent[ano_mes] = name
+    return paths, absent
+
+
+def _without(rows: DataFrame, periods: Iterable[int]) -> DataFrame:
+    return rows.where(~F.col("ano_mes").isin(*periods))
+
+
+def _report_indexes(spark: SparkSession, landing: str) -> tuple[list[DataFrame], list[Step]]:
+    """The index files that can be read, and a failed step for each other one."""
+    indexes: list[DataFrame] = []
+    failed = []
+    for name in INDEX_FILES:
+        def read(path: str = f"{landing}/{name}") -> int:
+            indexes.append(report_files.read_index(spark, path))
+            return 0
+
+        step = _run(f"index {name}", read)
+        if step.error:
+            failed.append(step)
+    return indexes, failed
 
 
 def refresh_reports(
     spark: SparkSession, landing: str, store: Warehouse,
     quarters: int = DEFAULT_QUARTERS, force: bool = False, tipo: int = PRUDENTIAL_TYPE,
+    only: Sequence[int] | None = None,
 ) -> list[Step]:
-    """Registry and the three reports of the newest periods in the index."""
-    index = report_files.period_index(spark, [f"{landing}/{name}" for name in INDEX_FILES])
-    newest = report_files.index_periods(index).limit(quarters)
-    periods = [r.ano_mes for r in newest.collect()]
+    """Registry and the three reports of the newest periods in the index.
+
+    ``only`` names the periods, which are then loaded again. A period with a missing
+    file, a repeated key or no line of an offered report is named in the step's error;
+    the others are loaded in the same job.
+    """
+    indexes, failed = _report_indexes(spark, landing)
+    if not indexes:
+        return failed
+    index = report_files.merge_indexes(indexes)
+    newest = report_files.index_periods(index)
+    newest = newest.limit(quarters) if only is None else newest.where(F.col("ano_mes").isin(*only))
+    force = force or only is not None
+    periods: list[int] = []
+
+    def listed() -> int:
+        periods.extend(r.ano_mes for r in newest.collect())
+        return len(periods)
+
+    listing = _run("index", listed)
+    if listing.error:
+        return [*failed, listing]
     wanted_files = index.where(F.col("ano_mes").isin(*periods))
 
     def of_period(before: str, after: str) -> Column:
@@ -90,10 +136,18 @@ def refresh_reports(
 
     def registry() -> int:
         missing = [r.ano_mes for r in _pending(store, newest, [load.REGISTRY_LOG], force)]
-        paths = _paths(landing, registry_files_found.where(F.col("ano_mes").isin(*missing)))
-        if not paths:
-            return 0
-        return load.load_registry(store, registry_files.read_registry(spark, paths)).rows
+        paths, absent = _paths(
+            landing, store, registry_files_found.where(F.col("ano_mes").isin(*missing))
+        )
+        problems, rows = [f"{name} is missing" for name in absent.values()], 0
+        if paths:
+            try:
+                rows = load.load_registry(store, registry_files.read_registry(spark, paths)).rows
+            except KeyViolation as problem:
+                problems, rows = [*problems, str(problem)], problem.rows
+        if problems:
+            raise Incomplete("; ".join(problems), rows)
+        return rows
 
     def reports() -> int:
         missing = _pending(store, newest, list(REPORT_NAMES), force)
@@ -105,10 +159,15 @@ def refresh_reports(
         layouts = report_files.layout_files(wanted_files, tipo).join(
             pairs, ["ano_mes", "relatorio"], "left_semi"
         )
-        layout_paths = _paths(landing, layouts)
+        offered = {(r.ano_mes, r.relatorio) for r in layouts.collect()}  # three a period
+        layout_paths, absent = _paths(landing, store, layouts)
         due = wanted_files.where(F.col("ano_mes").isin(*{r.ano_mes for r in missing}))
-        info_paths = _paths(landing, report_files.find_files(due, of_period("info", ".json")))
+        info_paths, without_info = _paths(
+            landing, store, report_files.find_files(due, of_period("info", ".json"))
+        )
+        absent |= without_info
         if not layout_paths or not info_paths:
+            _complain(absent, set(), 0)
             return 0
         columns = report_files.layout_columns(
             report_files.read_layouts(spark, layout_paths).join(
@@ -117,13 +176,18 @@ def refresh_reports(
             report_files.read_indicators(spark, info_paths),
         )
         groups = [r.grupo for r in columns.select("grupo").distinct().collect()]
-        value_paths = [
-            path for group in sorted(groups)
-            for path in _paths(
-                landing, report_files.find_files(due, of_period("dados", f"_{group}.json")))
-        ]
-        registry_paths = _paths(landing, registry_files_found)
+        value_paths: list[str] = []
+        for group in sorted(groups):
+            found, without_values = _paths(
+                landing, store,
+                report_files.find_files(due, of_period("dados", f"_{group}.json")),
+            )
+            value_paths += found
+            absent |= without_values
+        columns = _without(columns, absent)
+        registry_paths, _ = _paths(landing, store, registry_files_found)
         if not value_paths:
+            _complain(absent, set(), 0)
             return 0
         registered = (
             registry_files.read_registry(spark, registry_paths) if registry_paths
@@ -132,12 +196,25 @@ def refresh_reports(
         lines = report_files.assemble_reports(
             columns, report_files.read_values(spark, value_paths), registered
         )
-        return load.load_report_values(store, lines).rows
+        loaded = load.load_report_values(store, lines)
+        empty = {pair for pair in offered - set(loaded.partitions) if pair[0] not in absent}
+        _complain(absent, empty, loaded.rows)
+        return loaded.rows
 
     def top50() -> int:
         return load.rebuild_top50(store, periods, source="reports")
 
-    return [_run("registry", registry), _run("reports", reports), _run("top50", top50)]
+    return [
+        *failed, _run("registry", registry), _run("reports", reports), _run("top50", top50)
+    ]
+
+
+def _complain(absent: dict[int, str], empty: set[tuple[int, str]], rows: int) -> None:
+    """Raise if periods lack a file, or reports have no line."""
+    problems = [f"{name} is missing" for _, name in sorted(absent.items())]
+    problems += [f"no lines of report {report} in {ano_mes}" for ano_mes, report in sorted(empty)]
+    if problems:
+        raise Incomplete("; ".join(problems), rows)
 
 
 # --- monthly balances ---
@@ -162,7 +239,10 @@ def _load_archives(
     watched = lines.observe(unreadable, F.count("error").alias("archives"))
     rows = into(store, parse(watched)).rows
     if load.observed(unreadable, "archives"):
-        load.quarantine(store, "archives", balance_files.archive_errors(lines))
+        errors = balance_files.archive_errors(lines).withColumn(
+            "archive", F.substring_index("path", "/", -1)
+        )
+        load.quarantine(store, "archives", errors, ["archive"], "unreadable")
     return rows
 
 
@@ -220,9 +300,14 @@ def refresh_individual(
             members = members.where(F.col("cod_conglomerado").isin(*PEER_GROUPS[peer_group]))
         names = [f"{p}-4010-*.{ext}" for p in missing for ext in ("zip", "ZIP")]
         root = F.regexp_extract("path", r"-4010-(\w+)\.[^.]+$", 1)
-        archives = _archives(spark, landing, names).withColumn("cnpj8", root).join(
+        # Only the paths are joined; of the archives that nobody wants no byte is read.
+        wanted = _archives(spark, landing, names).select("path", root.alias("cnpj8")).join(
             members.select("cnpj8"), "cnpj8", "left_semi"
         )
+        paths = [r.path for r in wanted.select("path").collect()]  # one per month and institution
+        if not paths:
+            return 0
+        archives = spark.read.format("binaryFile").load(paths).select("path", "content")
         return _load_archives(
             store, archives, balance_files.parse_individual, load.load_individual_balances
         )

@@ -16,10 +16,9 @@ from typing import Any
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prudentia.operators.accounts import digit_repair_map, has_zero_digit, repair_accounts
-from prudentia.operators.quality import is_valid, require_unique
+from prudentia.operators.quality import KeyViolation, is_valid, key_violations, require_unique
 from prudentia.plans.rankings import top_by_balances, top_by_reports
 from prudentia.schemas import (
     ACCOUNT_INDEX,
@@ -33,9 +32,8 @@ from prudentia.schemas import (
     REPORT_VALUES,
     TableSpec,
 )
-from prudentia.sinks.warehouse import Warehouse
+from prudentia.sinks.warehouse import BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG, Warehouse
 
-BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG = "balancetes", "4010", "cadastro"
 INDIVIDUAL = "4010"
 FIRST_ZERO_DIGIT_PERIOD = 202501
 
@@ -78,7 +76,8 @@ def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> li
 
     Rebalancing gathers a partition's rows into well-sized files and, unlike a
     hash repartition, lets Spark split a partition that holds most of the rows.
-    Rows that break a not-null rule go to the quarantine instead.
+    Rows that break a not-null rule go to the quarantine instead; when there are
+    some, the input is read once more for them.
     """
     seen, checked = Observation(), Observation()
     typed = rows.select(
@@ -97,7 +96,7 @@ def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> li
         .partitionBy(*spec.partition_by).parquet(store.path(spec))
     )
     if observed(checked, "rejected"):
-        quarantine(store, spec.name, typed.where(~valid))
+        quarantine(store, spec.name, typed.where(~valid), spec.partition_by, "not null")
     return observed(seen, "partitions") or []
 
 
@@ -111,12 +110,11 @@ def observed(observation: Observation, name: str) -> Any:
 
 
 def clear_partitions(store: Warehouse, spec: TableSpec, keys: Sequence[tuple]) -> None:
-    """Empty some partitions by replacing their files with one empty file."""
-    data = [f for f in spec.schema.fields if f.name not in spec.partition_by]
-    empty = store.spark.createDataFrame([], T.StructType(data))
+    """Empty some partitions by deleting their folders; no job is run for it."""
     for key in keys:
         folder = "/".join(f"{c}={v}" for c, v in zip(spec.partition_by, key, strict=True))
-        empty.write.mode("overwrite").parquet(f"{store.path(spec)}/{folder}")
+        system, path = store.file(f"{store.path(spec)}/{folder}")
+        system.delete(path, True)
 
 
 def _in_partitions(spec: TableSpec, keys: Sequence[Row]) -> Column:
@@ -132,10 +130,18 @@ def _in_partitions(spec: TableSpec, keys: Sequence[Row]) -> Column:
     return reduce(or_, tests, F.lit(False))
 
 
-def quarantine(store: Warehouse, name: str, rows: DataFrame) -> None:
-    """Keep rejected rows beside the tables for inspection."""
-    rows.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(
-        f"{store.root}/_quarantine/{name}"
+def quarantine(
+    store: Warehouse, name: str, rows: DataFrame, partition_by: Sequence[str], reason: str
+) -> None:
+    """Keep rejected rows beside the tables for inspection.
+
+    Like the tables, rejects are replaced by partition and reason, so a repeated load
+    keeps them once. Those of a partition that is clean by now stay until removed.
+    """
+    (
+        rows.withColumns({"rejected_at": F.current_timestamp(), "reason": F.lit(reason)})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("reason", *partition_by).parquet(f"{store.root}/_quarantine/{name}")
     )
 
 
@@ -175,14 +181,34 @@ def is_loaded(store: Warehouse, ano_mes: int, relatorio: str) -> bool:
 
 
 def load_registry(store: Warehouse, rows: DataFrame) -> Loaded:
-    """Replace the registry of the periods in ``rows``."""
-    require_unique(rows, CADASTRO)
-    keys = replace_partitions(store, CADASTRO, rows)
-    if not keys:
-        return NOTHING
-    counts = _stored_counts(store, CADASTRO, [k.ano_mes for k in keys])
-    stored = _log(store, counts.withColumn("relatorio", F.lit(REGISTRY_LOG)))
-    return Loaded(stored, tuple(tuple(k) for k in keys))
+    """Replace the registry of the periods in ``rows``.
+
+    A period in which a key repeats goes to the quarantine as a whole; the others are
+    loaded before ``KeyViolation`` is raised. The input, a registry, is read once for
+    the keys and once for the rows.
+    """
+    repeated = (
+        key_violations(rows, CADASTRO.key).where(F.col("ano_mes").isNotNull())
+        .groupBy("ano_mes").agg(F.min(F.struct(*CADASTRO.key)).alias("example"))
+        .orderBy("ano_mes").collect()  # one row per calendar month
+    )
+    good = rows
+    if repeated:
+        bad = F.coalesce(F.col("ano_mes").isin(*[r.ano_mes for r in repeated]), F.lit(False))
+        quarantine(store, CADASTRO.name, rows.where(bad), CADASTRO.partition_by, "key repeats")
+        good = rows.where(~bad)
+    keys = replace_partitions(store, CADASTRO, good)
+    loaded = NOTHING
+    if keys:
+        counts = _stored_counts(store, CADASTRO, [k.ano_mes for k in keys])
+        stored = _log(store, counts.withColumn("relatorio", F.lit(REGISTRY_LOG)))
+        loaded = Loaded(stored, tuple(tuple(k) for k in keys))
+    if repeated:
+        examples = [tuple(r.example) for r in repeated]
+        raise KeyViolation(
+            f"{CADASTRO.name}: key {CADASTRO.key} repeats, e.g. {examples}", loaded.rows
+        )
+    return loaded
 
 
 def load_report_values(store: Warehouse, rows: DataFrame) -> Loaded:
@@ -261,13 +287,19 @@ def load_individual_balances(store: Warehouse, rows: DataFrame) -> Loaded:
 
 
 def load_mapping(store: Warehouse, rows: DataFrame) -> int:
-    """Replace the whole mapping; an empty one is ignored."""
+    """Replace the whole mapping; an empty one is ignored.
+
+    It is written beside the old one and then takes its place, so a load that fails
+    midway leaves the old mapping. The input is also read for its keys.
+    """
     if rows.isEmpty():
         return 0
     require_unique(rows, INSTITUTION_MAPPING)
-    rows.select(*INSTITUTION_MAPPING.schema.names).write.mode("overwrite").parquet(
-        store.path(INSTITUTION_MAPPING)
-    )
+    path = store.path(INSTITUTION_MAPPING)
+    rows.select(*INSTITUTION_MAPPING.schema.names).write.mode("overwrite").parquet(f"{path}_next")
+    system, old = store.file(path)
+    system.delete(old, True)
+    system.rename(store.file(f"{path}_next")[1], old)
     return store.institution_mapping.count()
 
 

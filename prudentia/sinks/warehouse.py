@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudentia.constants import REPORT_NAMES
 from prudentia.schemas import TABLES, TableSpec
 
+# Names in the load log that are not report codes.
+BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG = "balancetes", "4010", "cadastro"
+OTHER_LOADS = (BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG)
+
 
 class Warehouse:
     """Filings backed by stored tables.
@@ -25,6 +30,12 @@ class Warehouse:
     def path(self, spec: TableSpec) -> str:
         return f"{self.root}/{spec.name}"
 
+    def file(self, path: str) -> tuple[Any, Any]:
+        """The file system of a path and the path on it, for steps that need no job."""
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(context._jsc.hadoopConfiguration()), found
+
     def read(self, name: str) -> DataFrame:
         """A table in declared column order; empty when nothing was stored yet."""
         spec = TABLES[name]
@@ -54,8 +65,8 @@ class Warehouse:
 
     @property
     def report_periods(self) -> DataFrame:
-        """Loaded report periods, from the load log: a few rows, not the facts."""
-        loaded = F.col("relatorio").isin(*REPORT_NAMES) & (F.col("row_count") > 0)
+        """Periods with lines of any report, from the load log: a few rows, not the facts."""
+        loaded = ~F.col("relatorio").isin(*OTHER_LOADS) & (F.col("row_count") > 0)
         return self.fetch_log.where(loaded).select("ano_mes").distinct()
 
     @property

@@ -8,8 +8,10 @@ the not-null rules of the table instead of failing the whole job.
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,27 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def stripped(text_lines: Iterable[str]) -> Iterator[str]:
+    """Lines of a text without its outer white space, a line at a time.
+
+    Blank lines are held back until another one follows. The further line ends that
+    a published line may hold end lines, too.
+    """
+    last, blank = None, 0
+    for line in (part for text_line in text_lines for part in text_line.splitlines()):
+        if not line.strip():
+            blank += last is not None
+            continue
+        if last is None:
+            line = line.lstrip()
+        else:
+            yield last
+            yield from itertools.repeat("", blank)
+        last, blank = line, 0
+    if last is not None:
+        yield last.rstrip()
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines of the first CSV member of each archive; a bad archive gives one
     row with its error."""
@@ -66,18 +89,21 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     members = [n for n in archive.namelist() if n.lower().endswith(".csv")]
                     if not members:
                         raise ValueError("no CSV file in the archive")
-                    lines = archive.read(members[0]).decode("latin1").strip().splitlines()
-            except (ValueError, zipfile.BadZipFile) as problem:
+                    with archive.open(members[0]) as member:
+                        while member.read(1 << 20):  # a damaged archive gives no line at all
+                            pass
+                    with archive.open(members[0]) as member:
+                        lines = stripped(io.TextIOWrapper(member, "latin1"))
+                        numbered = enumerate(lines)
+                        while part := list(itertools.islice(numbered, LINES_PER_BATCH)):
+                            yield pd.DataFrame({
+                                "path": path, "line_no": [n for n, _ in part],
+                                "line": [line for _, line in part], "error": None,
+                            })
+            except (ValueError, zipfile.BadZipFile, zlib.error, EOFError) as problem:
                 yield pd.DataFrame(
                     {"path": [path], "line_no": [-1], "line": [None], "error": [str(problem)]}
                 )
-                continue
-            for start in range(0, len(lines), LINES_PER_BATCH):
-                part = lines[start:start + LINES_PER_BATCH]
-                yield pd.DataFrame({
-                    "path": path, "line_no": range(start, start + len(part)),
-                    "line": part, "error": None,
-                })
 
 
 def unpack_lines(archives: DataFrame) -> DataFrame:

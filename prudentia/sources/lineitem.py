@@ -31,6 +31,7 @@ SCHEMAS = {
         "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
         "c_mktsegment STRING"
     ),
+    "orders": "o_orderkey BIGINT, o_orderdate TIMESTAMP_NTZ",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
     "region": "r_regionkey INT, r_name STRING",
 }

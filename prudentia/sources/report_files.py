@@ -6,6 +6,9 @@ dozen rows per period; only the entity values grow.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,22 +29,28 @@ VALUES_DDL = "id INT, values ARRAY<STRUCT<e: INT, v: ARRAY<STRUCT<i: BIGINT, v:
 # --- period index ---
 
 
-def period_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of one index file: dt, files."""
+    return spark.read.schema(INDEX_DDL).option("multiLine", True).json(path)
+
+
+def merge_indexes(indexes: Sequence[DataFrame]) -> DataFrame:
     """Files of each period; a period in several indexes takes the last one's."""
     parts = [
-        spark.read.schema(INDEX_DDL).option("multiLine", True).json(path)
-        .select("dt", "files", F.lit(order).alias("source"))
-        for order, path in enumerate(paths)
+        index.where(F.col("dt").isNotNull()).select("dt", "files", F.lit(order).alias("source"))
+        for order, index in enumerate(indexes)
     ]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
     return (
-        merged.groupBy(F.col("dt").alias("ano_mes"))
+        reduce(DataFrame.unionByName, parts).groupBy(F.col("dt").alias("ano_mes"))
         .agg(F.max_by("files", "source").alias("files"))
     )
 
 
+def period_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The merged index of several files."""
+    return merge_indexes([read_index(spark, path) for path in paths])
+
+
 def index_periods(index: DataFrame) -> DataFrame:
     """Published periods, newest first."""
     return index.select("ano_mes").orderBy(F.desc("ano_mes"))

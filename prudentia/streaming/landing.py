@@ -1,4 +1,4 @@
-"""A file stream on the landing folder of balance archives.
+"""File streams on the landing folder.
 
 The stream only notices which periods got new files; each batch then reloads
 those periods from the folder. Batches that are replayed after a failure, and
@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prudentia.refresh import Step, refresh_balances, refresh_individual
+from prudentia.refresh import Step, refresh_balances, refresh_individual, refresh_reports
 from prudentia.sinks.warehouse import Warehouse
 from prudentia.sources.balance_files import FILE_COLUMNS, period_of_file
 
 CONSOLIDATED_NAMES = "{??????.zip,??????.ZIP,b??????.zip,b??????.ZIP}"
+REPORT_FILE_NAMES = "{relatorios,cadastro,info,trel,dados}*.json"
 INDIVIDUAL_NAMES = "{*-4010-*.zip,*-4010-*.ZIP}"
 
 
@@ -32,7 +33,7 @@ def new_files(spark: SparkSession, landing: str, names: str) -> DataFrame:
 
 
 def _watch(
-    files: DataFrame, checkpoint: str, reload: Callable[[list[int]], list[Step]]
+    files: DataFrame, checkpoint: str, reload: Callable[[list], list[Step]]
 ) -> StreamingQuery:
     def on_batch(batch: DataFrame, _: int) -> None:
         periods = [r.ano_mes for r in batch.select("ano_mes").distinct().collect()]
@@ -59,6 +60,34 @@ def watch_balances(
     )
 
 
+def watch_reports(
+    spark: SparkSession, landing: str, store: Warehouse, checkpoint: str
+) -> StreamingQuery:
+    """Load the quarterly files not seen before, then stop.
+
+    Periods with a new file are loaded again; a batch with one that is incomplete is
+    retried by the next run. A new index may name periods whose files came before it:
+    these are not in the load log yet and are loaded, too, as far as they are complete.
+    A file counts as new by its path, so an index that is replaced should come before
+    the files that it names.
+    """
+    period = F.regexp_extract("path", r"(\d{6})(?:_\d+)?\.json$", 1).try_cast("int")
+    files = (
+        spark.readStream.format("binaryFile").schema(FILE_COLUMNS)
+        .option("pathGlobFilter", REPORT_FILE_NAMES).option("recursiveFileLookup", True)
+        .load(landing).select("path", period.alias("ano_mes"))
+    )
+
+    def reload(periods: list[int | None]) -> list[Step]:
+        touched = [p for p in periods if p is not None]
+        steps = refresh_reports(spark, landing, store, only=touched) if touched else []
+        if None in periods:
+            refresh_reports(spark, landing, store)
+        return steps
+
+    return _watch(files, checkpoint, reload)
+
+
 def watch_individual(
     spark: SparkSession, landing: str, store: Warehouse, checkpoint: str,
     every_institution: bool = False,

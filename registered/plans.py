@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudentia.constants import CAPITAL, INCOME, KPI_ACCOUNTS, SUMMARY
+from prudentia.constants import CAPITAL, INCOME, KPI_ACCOUNTS, PEER_GROUPS, SUMMARY
 from prudentia.functions import display, periods, text
 from prudentia.operators.accounts import digit_repair_map
+from prudentia.operators.lines import in_peer_group
 from prudentia.operators.quality import key_violations, null_counts, split_valid
 from prudentia.plans import balances, income, institutions, maintenance, rankings
 from prudentia.plans import ratios, report_lines, tables
@@ -103,7 +104,7 @@ def _as_lines(rows: DataFrame, path: Column, line_no: Column, line: Column) -> D
 
 def _individual_text(f: LineitemFilings) -> DataFrame:
     """Lines of individual files; short, commented and empty ones included."""
-    rows = f.source("lineitem").where(F.col("l_linestatus") == "O")
+    rows = f.source("lineitem")
     cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
     amount = F.translate(F.format_number(cents / F.lit(100.0), 2), ",.", ".,")
     period = F.year("l_shipdate") * 100 + F.month("l_shipdate")
@@ -116,8 +117,9 @@ def _individual_text(f: LineitemFilings) -> DataFrame:
         F.concat(F.lit("CONTA "), F.col("l_linenumber")),
         F.when(F.col("l_discount") == 0, F.lit(" ")).otherwise(amount),
     ]
-    # Orders of 50 units are commented out, those of 49 lose their last field.
-    first = F.when(F.col("l_quantity") == 50, fields[0]).otherwise(F.lit("BASE"))
+    # Closed lines and those of 50 units are commented out, those of 49 lose their last field.
+    commented = (F.col("l_quantity") == 50) | (F.col("l_linestatus") != "O")
+    first = F.when(commented, fields[0]).otherwise(F.lit("BASE"))
     complete = F.concat_ws(";", first, *fields[1:])
     short = F.concat_ws(";", first, *fields[1:-1])
     return _as_lines(
@@ -204,6 +206,94 @@ def assembled_reports(f: LineitemFilings) -> DataFrame:
     return report_files.assemble_reports(columns, values, f.cadastro)
 
 
+# --- published indexes, layouts and registries derived from orders ---
+
+
+def _index(f: LineitemFilings) -> DataFrame:
+    """Two indexes, of the quarters of shipping and of ordering, merged: the second wins."""
+    quarter = F.col("dt")
+    selector, layout = "array<struct<id: int>>", "struct<id: int, n: string, s: array<struct<id: int>>>"
+
+    def file(*name: Column | str, trel: Column | None = None) -> Column:
+        parts = [F.lit(x) if isinstance(x, str) else x for x in name]
+        return F.struct(
+            F.concat(*parts).alias("f"),
+            (F.lit(None) if trel is None else trel).cast(layout).alias("trel"),
+        )
+
+    def offered(number: int, name: str, *kinds: int) -> Column:
+        ids = F.array(*[F.struct(F.lit(k).alias("id")) for k in kinds]).cast(selector)
+        return F.struct(F.lit(number).alias("id"), F.lit(name).alias("n"), ids.alias("s"))
+
+    def entries(table: str, day: str, folder: str) -> DataFrame:
+        # Capital is offered to the other type at the end of the year.
+        capital = F.when(quarter % 100 == 12, offered(106, "Informações de Capital", 1006)).otherwise(
+            offered(106, "Informações de Capital 4966", 1006, 1009))
+        files = F.array(
+            file(folder, "/cadastro", quarter, "_1009.json"),
+            file("copy/cadastro", quarter, "_1009.json"),
+            file(folder, "/trel", quarter, "_104.json", trel=offered(104, " Resumo ", 1009)),
+            file(folder, "/trel", quarter, "_105.json", trel=offered(105, "Resumo 2", 1009)),
+            file(folder, "/trel", quarter, "_106.json", trel=capital),
+        )
+        rows = f.source(table).select((F.year(day) * 100 + F.quarter(day) * 3).alias("dt"))
+        return rows.distinct().select("dt", files.alias("files"))
+
+    return report_files.merge_indexes(
+        [entries("lineitem", "l_shipdate", "old"), entries("orders", "o_orderdate", "new")]
+    )
+
+
+def published_periods(f: LineitemFilings) -> DataFrame:
+    """Every period of the merged index with its number of files and the first one."""
+    return _index(f).select(
+        "ano_mes", F.size("files").alias("n_files"), F.get("files", F.lit(0))["f"].alias("first_file")
+    )
+
+
+def period_files(f: LineitemFilings) -> DataFrame:
+    """The registry file of every period."""
+    suffix = F.concat(F.lit("cadastro"), F.col("ano_mes"), F.lit("_1009.json"))
+    return report_files.find_files(_index(f), suffix)
+
+
+def layout_columns(f: LineitemFilings) -> DataFrame:
+    """Layouts of every quarter, a column for each line number, with their indicators."""
+    number = F.col("l_linenumber")
+    quarter = F.year("l_shipdate") * 100 + F.quarter("l_shipdate") * 3
+    found = f.source("lineitem").groupBy(quarter.alias("ano_mes"), number.cast("int").alias("pos")).agg(
+        F.max(F.col("l_quantity").cast("int")).alias("o"))
+    layouts = found.select("ano_mes", F.lit(104).alias("trel_id"), "pos", F.col("pos").cast("long").alias("ifd"), "o")
+    name = F.when(F.col("pos") == 7, " \nsem nome").otherwise(F.concat(F.lit(" LINHA "), "pos", F.lit(" \nR$")))
+    indicators = found.select(
+        "ano_mes", F.col("pos").cast("long").alias("id"), name.alias("n"),
+        F.when(F.col("pos") != 6, F.col("pos") % 3).alias("a"), (F.col("pos") + 98).cast("long").alias("lid"),
+    )
+    return report_files.layout_columns(layouts, indicators)
+
+
+def parsed_registry(f: LineitemFilings) -> DataFrame:
+    """Registry entries of suppliers: codes that are no numbers, missing cities and file names."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    entries = f.source("supplier").select(
+        F.when(key % 10 == 0, F.concat(F.lit("C"), key)).otherwise(key.cast("string")).alias("c0"),
+        F.col("s_name").alias("c2"),
+        F.when(nation % 2 == 0, F.lit("SP")).alias("c10"),
+        F.when(key % 3 > 0, F.concat(F.lit("CIDADE "), nation)).alias("c11"),
+        F.when(nation % 5 > 0, F.concat(F.lit("S"), nation % 5)).alias("c12"),
+        F.when(nation == 24, F.lit("/landing/cadastro.json")).otherwise(
+            F.concat(F.lit("/landing/cadastro"), F.lit(202401) + nation % 12, F.lit("_1009.json"))).alias("path"),
+    )
+    return registry_files.registry(entries)
+
+
+def peer_balances(f: LineitemFilings) -> DataFrame:
+    """Customers dealt to the codes of one peer group and one code outside it."""
+    codes = [*PEER_GROUPS["PEERS"], 1]
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("c_custkey") % len(codes) + 1).cast("int"))
+    return in_peer_group(f.source("customer").select("c_custkey", code.alias("cod_conglomerado")), "PEERS")
+
+
 def target_members(f: LineitemFilings) -> DataFrame:
     """Institutions whose group has customers with a negative balance."""
     codes = f.source("customer").where(F.col("c_acctbal") < 0).select(
@@ -312,6 +402,12 @@ QUERIES: dict[str, Query] = {
     "parsed_individual": parsed_individual,
     "parsed_mapping": parsed_mapping,
     "assembled_reports": assembled_reports,
+    "parsed_registry": parsed_registry,
+    "published_periods": published_periods,
+    "period_files": period_files,
+    "report_layouts": lambda f: report_files.layout_files(_index(f)),
+    "layout_columns": layout_columns,
+    "peer_balances": peer_balances,
     # scalar functions
     "scalar_columns": scalar_columns,
     "period_columns": period_columns,

@@ -8,7 +8,7 @@ from datetime import date
 
 from prudentia.plans import rankings, ratios
 from prudentia.refresh import main, refresh_balances, refresh_individual, refresh_reports
-from prudentia.streaming.landing import watch_balances, watch_individual
+from prudentia.streaming.landing import watch_balances, watch_individual, watch_reports
 from tests.test_sources import CONSOLIDATED, index_entry
 
 
@@ -72,6 +72,67 @@ def test_a_failing_step_does_not_stop_the_next(spark, store, tmp_path):
     assert steps[1].rows > 0 and steps[1].error is None
 
 
+def test_a_bad_period_does_not_stop_the_others(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+    for period in (202412, 202503):
+        _publish(landing, period, 15.0)
+    _index(landing, 202412, 202503)
+    (landing / "x" / "202412" / "cadastro202412_1009.json").write_text(
+        json.dumps([{"c0": "100", "c2": "A"}, {"c0": "100", "c2": "A"}]))
+    (landing / "x" / "202503" / "dados202503_5.json").unlink()
+    registry, reports, top50 = refresh_reports(spark, str(landing), store)
+    assert registry.rows == 2 and "202412" in registry.error
+    assert {r.ano_mes for r in store.cadastro.collect()} == {202503}
+    assert spark.read.parquet(f"{store.root}/_quarantine/cadastro").count() == 2
+    assert reports.rows > 0 and "dados202503_5.json is missing" in reports.error
+    assert {r.ano_mes for r in store.report_lines().collect()} == {202412}
+    assert top50.error is None
+    # what was left out is still due
+    _publish(landing, 202503, 15.0)
+    _publish(landing, 202412, 15.0)
+    assert [s.error for s in refresh_reports(spark, str(landing), store)] == [None] * 3
+    assert {r.ano_mes for r in store.report_lines().collect()} == {202412, 202503}
+
+
+def test_an_unreadable_value_file_is_reported(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+    for period in (202412, 202503):
+        _publish(landing, period, 15.0)
+    _index(landing, 202412, 202503)
+    (landing / "x" / "202503" / "dados202503_5.json").write_text("{broken")
+    reports = refresh_reports(spark, str(landing), store)[1]
+    assert reports.error == "no lines of report 5 in 202503"
+    assert [r.ano_mes for r in store.report_lines("5").collect()] == [202412]
+
+
+def test_a_missing_index_is_one_failed_step(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+    _publish(landing, 202412, 15.0)
+    _index(landing, 202412)
+    (landing / "relatorios2025a2030.json").unlink()
+    steps = refresh_reports(spark, str(landing), store)
+    assert [bool(s.error) for s in steps] == [True, False, False, False]
+    assert store.report_lines().count() > 0
+    (landing / "relatorios2000a2024.json").unlink()
+    assert [bool(s.error) for s in refresh_reports(spark, str(landing), store)] == [True, True]
+
+
+def test_report_stream_reloads_touched_periods(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+    _publish(landing, 202412, 15.0)
+    _index(landing, 202412, 202503)
+
+    def roe() -> list[float]:
+        watch_reports(spark, str(landing), store, f"{tmp_path}/checks").awaitTermination()
+        return [r.roe for r in ratios.financial_ratios(store, 100).collect()]
+
+    assert roe() == [30.0]
+    log = store.fetch_log.collect()
+    assert roe() == [30.0] and store.fetch_log.collect() == log  # nothing new, nothing loaded
+    _publish(landing, 202503, 15.0)
+    assert roe() == [30.0, 60.0]
+
+
 def _zip(path, content: bytes) -> None:
     with zipfile.ZipFile(path, "w") as archive:
         archive.writestr("x.csv", content)
@@ -113,6 +174,19 @@ def test_individual_balances_of_a_peer_group(spark, store, tmp_path):
     assert steps[1].rows == 2
 
 
+def test_unwanted_archives_are_not_opened(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "cadastro202412_1006.json").write_text(json.dumps(
+        [{"c0": "11111111", "c2": "A", "c15": "85317"}, {"c0": "22222222", "c2": "B", "c15": "1"}]))
+    _zip(landing / "202501-4010-11111111.ZIP", _individual("11111111", 202501, "1,00"))
+    (landing / "202501-4010-22222222.ZIP").write_bytes(b"broken")
+    steps = refresh_individual(spark, str(landing), store, months=2, today=date(2025, 7, 20))
+    assert [(s.rows, s.error) for s in steps] == [(2, None), (1, None)]
+    assert not (tmp_path / "warehouse" / "_quarantine").exists()
+    assert refresh_individual(spark, str(landing), store, only=[202501], peer_group="?")[1].error
+
+
 def test_streams_reload_touched_periods(spark, store, tmp_path):
     landing, checks = tmp_path / "landing", tmp_path / "checks"
     landing.mkdir()

@@ -39,6 +39,22 @@ def test_registry_key_must_be_unique(spark, store):
     assert store.cadastro.count() == 0
 
 
+def test_other_periods_of_a_registry_are_loaded(spark, store):
+    rows = [institution(1, 10, 202403), institution(2, 10, 202403), institution(3, 30, 202406)]
+    for _ in range(2):
+        with pytest.raises(KeyViolation) as problem:
+            load.load_registry(store, frame(spark, schemas.CADASTRO, rows))
+        assert problem.value.rows == 1
+    assert [r.ano_mes for r in store.cadastro.collect()] == [202406]
+    assert spark.read.parquet(f"{store.root}/_quarantine/cadastro").count() == 2
+
+
+def test_periods_of_any_report_count(spark, store):
+    load.load_report_values(store, frame(spark, schemas.REPORT_VALUES, [line(1, 1.0, "X", 202406, "9")]))
+    load.load_registry(store, frame(spark, schemas.CADASTRO, [institution(1, 10, 202409)]))
+    assert [r.ano_mes for r in store.report_periods.collect()] == [202406]
+
+
 def test_empty_input_changes_nothing(spark, store):
     load.load_report_values(
         store, frame(spark, schemas.REPORT_VALUES, [line(1, 1.0, "X", 202403, "1")])
@@ -82,6 +98,7 @@ def test_rows_breaking_a_rule_are_quarantined(spark, store):
     bad = balance(A, None)
     rows = frame(spark, schemas.BALANCETES_RAW, [balance(A, 5.0), bad])
     assert load.load_balances(store, rows).rows == 1
+    assert load.load_balances(store, rows).rows == 1  # again: the reject is kept once
     kept = spark.read.parquet(f"{store.root}/_quarantine/balancetes_raw")
     assert kept.count() == 1
 

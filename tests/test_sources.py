@@ -156,6 +156,14 @@ def index_entry(dt: int, layouts: list[tuple[int, str]] = (), tipo: int = 1009)
     return {"dt": dt, "files": files}
 
 
+def test_lines_of_an_archive_lose_outer_blanks_only():
+    text = "\n \n  a \x85 b\n\n  \nc\r\n \n\n"
+    found = list(balance_files.stripped(text.splitlines(keepends=True)))
+    assert [line.strip() for line in found] == [line.strip() for line in text.strip().splitlines()]
+    assert (found[0], found[-1]) == ("a ", "c")
+    assert list(balance_files.stripped(["\n", " "])) == []
+
+
 def _index(spark, tmp_path, first, second):
     paths = []
     for name, entries in (("old.json", first), ("new.json", second)):
