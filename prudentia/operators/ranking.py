@@ -20,38 +20,6 @@ def top_per_period(
     return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
-def top_shares(
-    rows: DataFrame, value: str, share: str, order: Sequence[Column], n: int,
-    rank: str = "rank", parts: int = 64,
-) -> DataFrame:
-    """First ``n`` rows of each period and their percentage of the period's total.
-
-    Rows are read once: every part of a period, dealt by a hash of the row, is summed
-    and reduced to its own first ``n``, and only these candidates, the part's sum beside
-    the first of them, meet in their period.
-    """
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
-    of_part = Window.partitionBy("ano_mes", "_part")
-    candidates = (
-        rows.withColumn("_part", part)
-        .withColumns({
-            "_place": F.row_number().over(of_part.orderBy(*order)),
-            "_sum": F.sum(value).over(of_part),
-        })
-        .where(F.col("_place") <= n)
-    )
-    period = Window.partitionBy("ano_mes")
-    total = F.sum(F.when(F.col("_place") == 1, F.col("_sum"))).over(period)
-    return (
-        candidates.withColumns({
-            rank: F.row_number().over(period.orderBy(*order)),
-            share: F.try_divide(F.col(value), total) * 100,
-        })
-        .where(F.col(rank) <= n).drop("_part", "_place", "_sum")
-        .select(*rows.columns, share, rank)
-    )
-
-
 def share_of_period(rows: DataFrame, value: str, share: str) -> DataFrame:
     """Percentage of each row in its period's total.
 
