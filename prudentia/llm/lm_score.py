@@ -67,10 +67,12 @@ def count(docs: DataFrame, target: DataFrame, word_bits: int, pair_bits: int) ->
     """kind (0 word, 1 context, 2 pair), bucket, n_target, n_all over all documents.
 
     Each task adds up its part of the corpus and sends one row a bucket that it has
-    seen. The documents meet the target's ids in a join that Spark plans; target ids are unique.
+    seen. The documents meet the target's unique ids in a shuffled join at every size, as
+    these grow with the corpus; the hash table of a partition holds ids only and no text is sorted.
     """
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True)), "doc_id", "left")
+        target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True)).hint("shuffle_hash"),
+        "doc_id", "left")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(word_bits, pair_bits)
