@@ -40,14 +40,3 @@ def with_closest_period(rows: DataFrame, among: DataFrame, out: str) -> DataFram
         .withColumn(out, F.array_max(F.filter(known, lambda q: q <= F.col("ano_mes"))))
         .drop(known)
     )
-
-
-def period_list(table: DataFrame, limit: int = 2000) -> list[int]:
-    """Periods as plain numbers, oldest first, for use as pivot columns.
-
-    Refuses a table with more than ``limit`` of them instead of cutting it.
-    """
-    found = [r.ano_mes for r in table.select("ano_mes").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} distinct periods: not a period column")
-    return sorted(found)

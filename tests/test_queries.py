@@ -6,7 +6,7 @@ import pytest
 
 from prudentia.constants import DEPOSITS, KPI_ACCOUNTS, TOTAL_ASSETS
 from prudentia.operators.lines import in_peer_group
-from prudentia.operators.periods import period_list
+from prudentia.operators.pivot import values_present
 from prudentia.operators.quality import key_violations, null_counts
 from prudentia.plans import balances, income, institutions, rankings, ratios, report_lines, tables
 from prudentia.plans.rankings import ALL_PERIODS
@@ -95,9 +95,8 @@ def test_periods_and_names(spark):
     assert names == ["Indice de Basileia", "Patrimonio de Referencia"]
     options = [r.value for r in report_lines.line_options(f, 1).collect()]
     assert options == ["5|Indice de Basileia", "5|Patrimonio de Referencia", "1|Ativo Total"]
-    assert period_list(f.report_lines()) == [202403, 202406]
-    with pytest.raises(ValueError, match="more than 1"):
-        period_list(f.report_lines(), limit=1)
+    assert values_present(f.report_lines(), "ano_mes") == [202403, 202406]
+    assert values_present(nothing.report_lines(), "ano_mes") == []
 
 
 def test_headlines_come_from_the_newest_period(spark):
