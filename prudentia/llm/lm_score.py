@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prudentia.llm.common import WORD_PATTERN, rows, stored
+from prudentia.llm.common import WORD_PATTERN, stored
 
-#: The shared vocabulary: words and word pairs fall into so many buckets by hash. Bounds the models, not the corpus.
-WORD_BITS, PAIR_BITS = 18, 20
 #: Strength of the unigram distribution within a context, in tokens.
 PRIOR = 64.0
+#: Characters of text whose counts are added up together; parts grow in number, not in size.
+PART_CHARS = 8_000_000
 _WORD = re.compile(WORD_PATTERN)
 _START = 0
+_KINDS = ("word", "context", "pair")
 
 
 class Vocabulary:
-    """Bucket numbers of words; the table of known words is bounded."""
+    """Numbers of words and pairs: 64-bit hashes, or buckets if bits are given. The table of known words is bounded."""
 
-    def __init__(self, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS):
-        self.words, self.pairs, self.known = 1 << word_bits, np.uint64((1 << pair_bits) - 1), {}
+    def __init__(self, word_bits: int | None = None, pair_bits: int | None = None):
+        self.words = 1 << word_bits if word_bits else None
+        self.pairs = np.uint64((1 << pair_bits) - 1) if pair_bits else None
+        self.known: dict[str, int] = {}
 
     def ids(self, text: str) -> np.ndarray:
         known, found = self.known, _WORD.findall(text.lower())
@@ -34,127 +36,118 @@ class Vocabulary:
         if len(known) + len(missing) > 500_000:
             known.clear()
             missing = set(found)
-        for w in missing:  # bucket 0 is the start of a text
-            known[w] = 1 + xxhash.xxh32_intdigest(w) % (self.words - 1)
+        for w in missing:  # number 0 is the start of a text
+            known[w] = (1 + xxhash.xxh32_intdigest(w) % (self.words - 1)) if self.words else (
+                xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - 2**63 or 1)
         return np.array([known[w] for w in found], dtype=np.int64)
 
-    def pair_ids(self, ids: np.ndarray) -> np.ndarray:
-        before = np.concatenate(([_START], ids[:-1])).astype(np.uint64)
-        mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    def pair_ids(self, ids: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        if before is None:
+            before = np.concatenate(([_START], ids[:-1]))
+        mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed ^= mixed >> np.uint64(29)
-        return ((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) & self.pairs).astype(np.int64)
-
-
-@dataclass
-class Models:
-    """Counts of both models side by side; those of the background are scaled to the target's tokens."""
-
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
-
-    def __post_init__(self):
-        self.tokens = self.words.sum(axis=0, dtype=np.float64)
+        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
+        if self.pairs is not None:
+            return ((mixed >> np.uint64(32)) & self.pairs).astype(np.int64)
+        return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+class Part:
+    """The documents of one part, their tokens behind each other, and its counts per distinct word, context and pair."""
+
+    def __init__(self, table: pa.Table, vocabulary: Vocabulary):
+        chosen, listed = set(), []
+        for doc_id, text, target in zip(*(table[c].to_pylist() for c in ("doc_id", "text", "target")), strict=True):
+            if target:
+                chosen.add(doc_id)
+            else:
+                listed.append((doc_id, vocabulary.ids(text or "")))
+        self.doc_ids = [doc_id for doc_id, _ in listed]
+        self.sizes = np.array([len(i) for _, i in listed], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(listed)), self.sizes)
+        words = np.concatenate([np.array([], dtype=np.int64), *(i for _, i in listed)])
+        before = np.concatenate(([_START], words[:-1])) if len(words) else words
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = _START
+        flags = np.array([d in chosen for d in self.doc_ids], dtype=np.float64)[self.owner] if len(words) else np.array([])
+        self.keys, self.places, self.counts = [], [], []
+        for values in (words, before, vocabulary.pair_ids(words, before)):
+            keys, places = np.unique(values, return_inverse=True)
+            self.keys.append(keys)
+            self.places.append(places)
+            self.counts.append(np.stack([np.bincount(places, flags, len(keys)), np.bincount(places, minlength=len(keys))], axis=1))
+
+    def means(self, tokens: tuple[float, float], size: float) -> np.ndarray:
+        """Mean bits of a token per document under the target and the background model, the latter scaled to the target's tokens."""
+        scale = np.array([1.0, tokens[0] / tokens[1] if tokens[0] and tokens[1] else 1.0])
+        word, context, pair = (c * scale for c in self.counts)
+        result = np.zeros((len(self.doc_ids), 2))
+        for model in (0, 1):
+            unigram = (word[:, model] + 1) / (tokens[model] * scale[model] + size)
+            bits = np.log2(context[:, model] + PRIOR)[self.places[1]] - np.log2(
+                pair[:, model][self.places[2]] + PRIOR * unigram[self.places[0]])
+            result[:, model] = np.bincount(self.owner, bits, len(self.doc_ids)) / np.maximum(self.sizes, 1)
+        return result
+
+
+def _parts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """part, doc_id, text, target: the documents, and beside them the target's ids as rows without text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("target"))
+    chars = own.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    n = max(math.ceil(chars / PART_CHARS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    both = own.unionByName(ids.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("target")))
+    part = F.pmod(F.coalesce(F.xxhash64("doc_id", F.lit(1)), F.lit(0)), F.lit(n))
+    alone = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(n))
+    return both.select(F.when(F.col("doc_id").isNull(), alone).otherwise(part).alias("part"), "doc_id", "text", "target")
+
+
+def count(parts: DataFrame, word_bits: int | None, pair_bits: int | None) -> DataFrame:
+    """part, kind, key, n_target, n_all, first: the corpus's counts of the words of every part, and of what stands in several parts.
+
+    A part sends one row a word, context or pair that it has, so that a hot one has no
+    more rows than there are parts. A pair of one part only has its whole count there and
+    does not come back. ``first`` marks one row of each key.
+    """
 
-    def bits(self, ids: np.ndarray, pair_ids: np.ndarray) -> np.ndarray:
-        """Mean bits of a token under the target and the background model."""
-        unigram = (self.words[ids].astype(np.float64) + 1) / (self.tokens + len(self.words))
-        before = np.concatenate(([_START], ids[:-1]))
-        return -np.log2((self.pairs[pair_ids] + PRIOR * unigram) / (self.contexts[before] + PRIOR)).mean(axis=0)
+    def counted(key: tuple, table: pa.Table) -> pa.Table:
+        own = Part(table, Vocabulary(word_bits, pair_bits))
+        sizes = [len(k) for k in own.keys]
+        counts = np.concatenate(own.counts).astype(np.int64)
+        return pa.table({"part": np.full(sum(sizes), key[0].as_py(), dtype=np.int64), "kind": np.repeat(np.arange(3, dtype=np.int32), sizes),
+                         "key": np.concatenate(own.keys), "n_target": counts[:, 0].copy(), "n_all": counts[:, 1].copy()})
 
+    sent = parts.groupBy("part").applyInArrow(counted, "part long, kind int, key long, n_target long, n_all long")
+    same = Window.partitionBy("kind", "key")
+    return sent.select("part", "kind", "key", F.sum("n_target").over(same).alias("n_target"), F.sum("n_all").over(same).alias("n_all"),
+                       (F.col("part") == F.min("part").over(same)).alias("first"), F.count("*").over(same).alias("parts")).where(
+        "kind = 0 or parts > 1").drop("parts")
 
-def count(docs: DataFrame, target: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
-    """kind (0 word, 1 context, 2 pair), bucket, n_target, n_all over all documents.
 
-    Each task adds up its part of the corpus and sends one row a bucket that it has
-    seen. The documents meet the target's unique ids in a shuffled join at every size, as
-    these grow with the corpus; the hash table of a partition holds ids only and no text is sorted.
-    """
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True)).hint("shuffle_hash"),
-        "doc_id", "left")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(word_bits, pair_bits)
-        sizes = (1 << word_bits, 1 << word_bits, 1 << pair_bits)
-        totals = [np.zeros((n, 2), dtype=np.int64) for n in sizes]
-        for texts, flags in rows(batches, "text", "target"):
-            for column, chosen in ((0, [t for t, f in zip(texts, flags, strict=True) if f and t]), (1, [t for t in texts if t])):
-                for part in _parts(chosen, vocabulary):
-                    for total, values in zip(totals, part, strict=True):
-                        ids, n = np.unique(values, return_counts=True)
-                        total[ids, column] += n
-        for kind, total in enumerate(totals):
-            at = np.flatnonzero(total[:, 1])
-            for begin in range(0, len(at), 100_000):
-                some = at[begin:begin + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), kind, dtype=np.int32)), pa.array(some.astype(np.int32)),
-                     pa.array(total[some, 0]), pa.array(total[some, 1])], ["kind", "bucket", "n_target", "n_all"])
-
-    return flagged.select("text", "target").mapInArrow(counted, "kind int, bucket int, n_target long, n_all long").groupBy(
-        "kind", "bucket").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
-
-
-def _parts(texts: list[str], vocabulary: Vocabulary, most: int = 200_000) -> Iterator[tuple[np.ndarray, ...]]:
-    """Words, contexts and pairs of several texts together, about ``most`` tokens at a time."""
-    kept: list[np.ndarray] = []
-    held = 0
-
-    def together() -> tuple[np.ndarray, ...]:
-        return (np.concatenate(kept), np.concatenate([np.concatenate(([_START], i[:-1])) for i in kept]),
-                np.concatenate([vocabulary.pair_ids(i) for i in kept]))
-
-    for text in texts:
-        ids = vocabulary.ids(text)
-        if len(ids):
-            kept.append(ids)
-            held += len(ids)
-        if held >= most:
-            yield together()
-            kept, held = [], 0
-    if kept:
-        yield together()
-
-
-def train(docs: DataFrame, target: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Models:
-    """The two models; their size is fixed by the bits, so the counts may come to the driver."""
-    table = stored(count(docs, target, word_bits, pair_bits), "ngrams").toArrow()
-    kind, bucket = table["kind"].to_numpy(), table["bucket"].to_numpy()
-    both = np.stack([table["n_target"].to_numpy(), table["n_all"].to_numpy()], axis=1).astype(np.float64)
-    arrays = []
-    for k, n in enumerate((1 << word_bits, 1 << word_bits, 1 << pair_bits)):
-        array = np.zeros((n, 2))
-        array[bucket[kind == k]] = both[kind == k]
-        arrays.append(array)
-    tokens = arrays[0].sum(axis=0)
-    scale = np.array([1.0, tokens[0] / tokens[1] if tokens[0] and tokens[1] else 1.0])
-    return Models(*((a * scale).astype(np.float32) for a in arrays))
-
-
-def score(docs: DataFrame, target: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, word_bits: int | None = None, pair_bits: int | None = None) -> DataFrame:
     """doc_id, n_tokens, target_bits, background_bits, difference (per token) of every row of ``docs``.
 
     ``target`` names the documents (doc_id) of the target model; all documents make the
     background. A negative difference means closer to the target. Both are bigram
-    models backed by unigrams over one hashed vocabulary, with equal smoothing, the
-    background scaled to the target's size. Texts without a word (NULL too) have zero
-    bits. An empty target leaves its model uniform. Rows without doc_id count as background only.
+    models backed by unigrams over one vocabulary, with equal smoothing, the
+    background scaled to the target's size. The counts are a table keyed by 64-bit hashes
+    that grows with the corpus; given bits, words and pairs fall into so many buckets. Texts without a word
+    (NULL too) have zero bits. An empty target leaves its model uniform. Rows without doc_id count as background only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, target, word_bits, pair_bits))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, vocabulary = shared.value, Vocabulary(word_bits, pair_bits)
-        for doc_ids, texts in rows(batches, "doc_id", "text"):
-            n, bits = [], []
-            for text in texts:
-                ids = vocabulary.ids(text or "")
-                n.append(len(ids))
-                bits.append(models.bits(ids, vocabulary.pair_ids(ids)) if len(ids) else np.zeros(2))
-            both = np.array(bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()),
-                 pa.array(both[:, 0] - both[:, 1])], ["doc_id", "n_tokens", "target_bits", "background_bits", "difference"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    parts = _parts(docs, target)
+    counts = stored(count(parts, word_bits, pair_bits), "ngrams")
+    words, *tokens = counts.where("kind = 0 and first").agg(F.count("*"), F.sum("n_target"), F.sum("n_all")).first()
+    tokens, size = tuple(float(t or 0) for t in tokens), float(1 << word_bits if word_bits else max(words, 1))
+
+    def scored(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
+        own = Part(table, Vocabulary(word_bits, pair_bits))
+        kinds, keys = known["kind"].to_numpy(), known["key"].to_numpy()
+        both = np.stack([known["n_target"].to_numpy(), known["n_all"].to_numpy()], axis=1)
+        for kind in range(len(_KINDS)):
+            some = kinds == kind
+            own.counts[kind][np.searchsorted(own.keys[kind], keys[some])] = both[some]
+        means = own.means(tokens, size)
+        return pa.table([pa.array(own.doc_ids, pa.int64()), pa.array(own.sizes), pa.array(means[:, 0].copy()), pa.array(means[:, 1].copy()),
+                         pa.array(means[:, 0] - means[:, 1])], ["doc_id", "n_tokens", "target_bits", "background_bits", "difference"])
+
+    return parts.groupBy("part").cogroup(counts.select("part", "kind", "key", "n_target", "n_all").groupBy("part")).applyInArrow(
         scored, "doc_id long, n_tokens long, target_bits double, background_bits double, difference double")
