@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prudentia.llm.common import rows, stored, text_of
+from prudentia.llm.common import rows, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term belongs to the context of an entity within so many terms before and after it.
 WINDOW = 5
-#: Fewest documents in which a term must stand by an entity to count.
-LEAST_DOCS = 3
+#: Log-likelihood ratio from which a term and an entity stand together more often than by chance: odds of one in a thousand.
+SIGNIFICANCE = 6.9
 #: Shares of an entity's information that a term may give: above the first it is generalised, above the second removed.
 GENERALISE = 0.9
 REMOVE = 0.99
@@ -28,9 +33,13 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+#: Bits of the table that tells most terms apart from revealing ones before the exact join; its size bears on speed only.
+FILTER_BITS = 22
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_TERM_SQL = r"[\p{L}\p{M}]{3,}"
-_CONTEXT = "array<struct<entity: string, term: string, start: int, end: int>>"
+#: Combining marks, read as a letter where terms are cut.
+_MARKS = dict.fromkeys((c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"), "a")
+_MARK_SET = frozenset(map(chr, _MARKS))
+_CONTEXT = "array<struct<entity: string, term: string>>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -83,22 +92,41 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:" + (value.lower() if kind == 0 else value if kind == 1 else re.sub("[^0-9+]", "", value))
 
 
+def entities(kind: int, value: str) -> list[str]:
+    """What a found value stands for: itself, those of its domain or first digits, and its kind."""
+    name = entity(kind, value)
+    bare = name.partition(":")[2]
+    family = (bare.partition("@")[2], ".".join(bare.split(".")[:2]), bare[:6], bare[:4])[kind]
+    return [name, f"{KINDS[kind]} of {family}", KINDS[kind]]
+
+
+def terms(text: str) -> list[tuple[int, int]]:
+    """Spans of the terms: three letters or more, with their combining marks."""
+    bare = text if text.isascii() or _MARK_SET.isdisjoint(text) else text.translate(_MARKS)
+    return [m.span() for m in _TERM.finditer(bare)]
+
+
+def outside(text: str, spans: list[tuple[int, int, int]], found: list[tuple[int, int]]) -> list[bool]:
+    """Whether each found term lies outside all spans."""
+    covered = bytearray(len(text))
+    for _, start, end in spans:
+        covered[start:end] = b"\1" * (end - start)
+    return [1 not in covered[a:b] for a, b in found]
+
+
 def context(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[dict]:
     """The terms around each span on its line, outside all spans."""
-    found = []
+    listed, found = terms(text), []
+    free, starts, ends = outside(text, spans, listed), [a for a, _ in listed], [b for _, b in listed]
     for kind, start, end in spans:
-        name = entity(kind, text[start:end])
+        names = entities(kind, text[start:end])
         line = text.rfind("\n", 0, start) + 1
         stop = text.find("\n", end)
-        before = [m.span() for m in _TERM.finditer(text, max(line, start - 40 * window), start)][-window:]
-        after = []
-        for m in _TERM.finditer(text, end, stop if stop >= 0 else len(text)):
-            if len(after) == window:
-                break
-            after.append(m.span())
-        for a, b in before + after:
-            if not any(a < e and b > s for _, s, e in spans):
-                found.append({"entity": name, "term": text[a:b].lower(), "start": a, "end": b})
+        before, after = bisect.bisect_right(ends, start), bisect.bisect_left(starts, end)
+        for i in (*range(max(0, before - window), before), *range(after, min(len(listed), after + window))):
+            a, b = listed[i]
+            if free[i] and a >= line and (stop < 0 or b <= stop):
+                found += [{"entity": name, "term": text[a:b].lower()} for name in names]
     return found
 
 
@@ -110,7 +138,7 @@ def find(docs: DataFrame) -> DataFrame:
     """Base spans of every row: doc_id, key (of the text), the four counts, base_sha256, base_spans, context."""
     names = ["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans", "context"]
     schema = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string, context " + _CONTEXT
-    item = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    item = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
     types = [pa.int64()] * 6 + [pa.string()] * 2 + [item]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,42 +158,100 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(found, schema)
 
 
-def revealing(found: DataFrame, docs: DataFrame, least_docs: int = LEAST_DOCS, threshold: float = GENERALISE) -> DataFrame:
-    """entity, term, disclosure: the terms that give more than ``threshold`` of an entity's information.
+def term_counts(docs: DataFrame) -> DataFrame:
+    """term, n_term: the number of documents that hold a term; a task sends partial sums."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in rows(batches, "text"):
+            seen = Counter()
+            for text in texts:
+                seen.update({text[a:b].lower() for a, b in terms(text or "")})
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n_term"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(counted, "term string, n_term long").groupBy("term").agg(
+        F.sum("n_term").alias("n_term"))
+
 
+def revealing(found: DataFrame, docs: DataFrame, significance: float = SIGNIFICANCE, threshold: float = GENERALISE) -> DataFrame:
+    """term, disclosure: the terms that give more than ``threshold`` of an entity's information.
+
+    An entity is a single value, the values of one domain or number prefix, or a kind.
     With N documents, n(t) holding a term, n(e) an entity and n(t,e) both side by side,
     the pointwise mutual information log2(N n(t,e) / (n(t) n(e))) is put in relation to
     the information of the entity, log2(N / n(e)): 1 means that who reads the term knows
-    the entity. All documents count for n(t). Pairs exist only within the window, so
-    their number follows that of the entities found; counts are partial sums, and a
-    frequent entity or term sends one row a task.
+    the entity. Against chance counts the log-likelihood ratio n(t,e) ln(n(t,e) / x) - n(t,e) + x
+    with x = n(t) n(e) / N, so that a single meeting counts if both are rare. All documents count for n(t). Pairs exist only within
+    the window, so their number follows that of the entities found; counts are partial
+    sums, and a frequent entity or term sends one row a task.
     """
-    near = found.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(
-        c["entity"].alias("entity"), c["term"].alias("term"))))).alias("x")).select("x.*")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_docs)
+    near = found.select(F.explode(F.array_distinct("context")).alias("x")).select("x.*")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     named = F.array_distinct(F.transform("context", lambda c: c["entity"]))
-    holding = found.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(_TERM_SQL), F.lit(0)))
-    spread = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # Both sides are stored: a kind stands with very many terms, and Spark splits only joins of plain shuffles.
+    holding = stored(found.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    pairs = stored(pairs, "pairs")
     n = F.lit(found.count())
-    known = pairs.join(holding, "entity").join(spread, "term")
+    known = pairs.join(holding, "entity").join(term_counts(docs), "term")
     both, of_entity = F.col("n_both"), F.col("n_entity")
-    share = F.log2(n * both / (F.greatest("n_term", both) * of_entity)) / F.log2(n / of_entity)
-    return known.where(n > of_entity).select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    chance = F.col("n_term") * of_entity / n
+    share = F.log2(both / chance) / F.log2(n / of_entity)
+    sure = both * F.log(both / chance) - both + chance
+    return known.where((n > of_entity) & (sure >= significance)).select("term", share.alias("disclosure")).where(
+        F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, key, start, end, disclosure of every place outside base spans where a term of ``wanted`` stands, in all texts.
+
+    A table of bits lets through the revealing terms and a few others; the join by term is exact.
+    """
 
+    def bucket(term: str) -> int:
+        return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) & ((1 << FILTER_BITS) - 1)
 
-def sanitise_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, threshold: float = GENERALISE) -> DataFrame:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (listed,) in rows(batches, "term"):
+            yield pa.RecordBatch.from_arrays([pa.array({bucket(t) for t in listed}, pa.int32())], ["bucket"])
+
+    set_bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    set_bits[wanted.select("term").mapInArrow(dealt, "bucket int").distinct().toArrow()["bucket"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(set_bits))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = np.unpackbits(shared.value).view(bool), {}
+        for doc_ids, texts in rows(batches, "doc_id", "text"):
+            out: list[tuple] = []
+            for doc_id, text in zip(doc_ids, texts, strict=True):
+                found = []
+                for a, b in terms(text or ""):
+                    term = text[a:b].lower()
+                    if (hit := known.get(term)) is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        hit = known[term] = bool(bits[bucket(term)])
+                    if hit:
+                        found.append((a, b, term))
+                if found:
+                    key = xxhash.xxh3_64_intdigest(text) - 2**63
+                    free = outside(text, base_spans(text), [x[:2] for x in found])
+                    out += [(doc_id, key, *x) for x, f in zip(found, free, strict=True) if f]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["doc_id", "key", "start", "end", "term"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        placed, "doc_id long, key long, start int, end int, term string").join(wanted, "term").drop("term").distinct()
+
+
+def sanitise_spans(docs: DataFrame, significance: float = SIGNIFICANCE, threshold: float = GENERALISE) -> DataFrame:
     """Per row doc_id, key, counts, base_sha256, spans, n_term, and terms (start, end, disclosure).
 
-    The base spans stay; the terms that reveal an entity of the same line are added.
+    The base spans stay; the revealing terms are added wherever they stand, with or without an entity.
     NULL and empty texts have no spans. Rows are told apart by doc_id (NULL too) and
     text, so repeated rows have equal results; each row counts as a document.
     """
     found = stored(find(docs), "pii")
-    pairs = stored(revealing(found, docs, least_docs, threshold), "revealing")
-    marked = (found.where(F.size("context") > 0).select("doc_id", "key", F.explode("context").alias("c"))
-              .select("doc_id", "key", "c.*").distinct().join(pairs, ["entity", "term"])
-              .groupBy("doc_id", "key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    wanted = stored(revealing(found, docs, significance, threshold), "revealing")
+    marked = (occurrences(docs, wanted)
               .groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
               .withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
     both = found.drop("context").join(
@@ -177,9 +263,9 @@ def sanitise_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, threshold: flo
         "n_term", F.coalesce(F.size("terms"), F.lit(0)).cast("long")).drop("base_spans")
 
 
-def sanitised(docs: DataFrame, least_docs: int = LEAST_DOCS, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitised(docs: DataFrame, significance: float = SIGNIFICANCE, threshold: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, text: base spans replaced by their kind, revealing terms by ``<term>`` or nothing."""
-    marked = sanitise_spans(docs, least_docs, threshold).select("doc_id", "key", "spans", "terms").distinct()
+    marked = sanitise_spans(docs, significance, threshold).select("doc_id", "key", "spans", "terms").distinct()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, texts, spans, terms in rows(batches, "doc_id", "text", "spans", "terms"):
