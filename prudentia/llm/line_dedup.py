@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: A line goes if more than this share of its site's pages have it, and at least so many.
 RATIO = 0.3
 LEAST_PAGES = 5
+#: Where sites are as broad as a source label: the share, and the part of a text's characters that may go.
+SOURCE_RATIO = 0.02
+MOST_LOST = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -23,16 +26,19 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, site: Column, text: Column, ratio: float = RATIO,
-                least_pages: int = LEAST_PAGES) -> DataFrame:
+                least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """site, keys: per site the lines on more than ``ratio`` of its pages and on ``least_pages`` at least.
 
     A page counts once for a line, however often it has it: its lines are made distinct
     within the row. Counts are partial sums keyed by site and line, so neither a hot
     site nor a hot line gathers rows. A site's array is bounded by its mean number of
-    lines a page divided by ``ratio``.
+    lines a page divided by ``ratio``. Without ``copies`` pages of equal text count as one.
     """
-    lines = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k.isNotNull()))
-    pages = docs.select(site.alias("site"), lines.alias("lines"))
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _key), lambda k: k.isNotNull()))
+    pages = docs.select(site.alias("site"), text.alias("text"))
+    if not copies:
+        pages = pages.distinct()
+    pages = pages.select("site", lines.alias("lines"))
     total = pages.groupBy("site").agg(F.count("*").alias("pages"))
     counted = (pages.select("site", F.explode("lines").alias("key")).groupBy("site", "key")
                .agg(F.count("*").alias("n")).where(F.col("n") >= least_pages))
@@ -41,20 +47,25 @@ def boilerplate(docs: DataFrame, site: Column, text: Column, ratio: float = RATI
 
 
 def drop_repeated_lines(docs: DataFrame, site: Column, text: str = "text", ratio: float = RATIO,
-                        least_pages: int = LEAST_PAGES) -> DataFrame:
+                        least_pages: int = LEAST_PAGES, copies: bool = True, most_lost: float | None = None) -> DataFrame:
     """``docs`` without the lines that their site repeats, and ``lines_dropped`` (long) added.
 
     Lines end at a line feed and are compared without outer blanks; blank lines are no
     boilerplate. Rows without a site form a site of their own. A NULL text stays NULL, a
     text that loses every line becomes empty, and no row goes. Repeated rows count as
-    pages of their own. ``lines_dropped`` replaces a column of that name.
+    pages of their own unless ``copies`` is false. With ``most_lost`` a text that would lose more than
+    this part of its characters stays whole: it is a copy, which is for near-dedup to drop.
+    ``lines_dropped`` replaces a column of that name.
     """
     content = F.col(text).cast("string")
-    repeated = boilerplate(docs, site, content, ratio, least_pages).withColumnsRenamed({"site": "_site", "keys": "_keys"})
+    repeated = boilerplate(docs, site, content, ratio, least_pages, copies).withColumnsRenamed({"site": "_site", "keys": "_keys"})
     lines = F.split(content, "\n")
     kept = F.when(F.col("_keys").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_keys"), _key(x)), F.lit(False))))
     joined = docs.withColumn("_own", site).join(repeated, F.col("_own").eqNullSafe(F.col("_site")), "left")
     split = joined.withColumn("_kept", kept)
+    if most_lost is not None:
+        whole = F.char_length(F.array_join("_kept", "\n")) < F.lit(1 - most_lost) * F.char_length(content)
+        split = split.withColumn("_kept", F.when(whole, lines).otherwise(F.col("_kept")))
     columns = [F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "lines_dropped"]
     return split.select(*columns, F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias("lines_dropped"))
