@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prudentia.llm import bpe, line_dedup, lm_score, mixing, pii, quality, simhash, sql, token_files, topk, toxicity
+from prudentia.llm import (bpe, divergence, licences, line_dedup, lm_score, mixing, pii, quality, simhash, sql, token_files, topk,
+                           toxicity, variants)
 from prudentia.llm.common import let_workers_import
 
 
@@ -64,6 +65,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and places; the spans as label:first:last."""
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first"].cast("string"), s["last"].cast("string")))
+    return licences.licences(_table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(spans, ","))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -85,6 +85,48 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 20
 """
 
+SOURCE_DIVERGENCE = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), used AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM doc
+), kept AS (
+    SELECT lang, term, count(*) AS lang_n FROM used GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), size AS (
+    SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), grp AS (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total
+    FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN size USING (lang)
+), cell AS (  -- every group and kept term
+    SELECT g.lang, g.source, k.term, k.lang_n, g.v, g.lang_total, coalesce(c.n, 0) AS n
+    FROM grp g JOIN kept k USING (lang)
+    LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM used GROUP BY lang, source, term) c
+        ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), total AS (
+    SELECT lang, source, sum(n) AS total FROM cell GROUP BY lang, source
+), share AS (
+    SELECT lang, source, term, n,
+           CAST(1 + (1000000000::HUGEINT * (n + 5)) // (total::HUGEINT + 5 * v) AS BIGINT) AS p,
+           CAST(1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total::HUGEINT + 5 * v) AS BIGINT) AS q
+    FROM cell JOIN total USING (lang, source)
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), valued AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM share WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+    FROM valued
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def registered() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP, "op6_mixing": MIXING, "op10_topk": TOP_PRODUCTS}
+    return {"op12_source_divergence": SOURCE_DIVERGENCE, "op2_line_dedup": LINE_DEDUP, "op6_mixing": MIXING, "op10_topk": TOP_PRODUCTS}
