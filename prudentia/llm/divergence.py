@@ -1,43 +1,100 @@
 """How the sources of a language differ in the words they use.
 
-Documents become exact sparse count vectors (CountVectorizer with a least document
-frequency and no limit on the vocabulary), vectors are summed by group, and the groups
-of a language are compared in blocks of terms.
+Documents become exact sparse count vectors over each language's vocabulary, which is
+fitted by a least document frequency without a limit on its size. Vectors are summed by
+group, and the groups of a language are compared in blocks of terms.
+
+The steps are those of a count vectorizer, but vocabulary and vectors stay distributed:
+pyspark.ml's CountVectorizer gives the same rows, holds the vocabulary in the driver and
+needs two passes over the tokens.
 """
 
 from __future__ import annotations
 
-import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prudentia.llm.common import stored
+from prudentia.llm.common import rows, stored
+from prudentia.llm.licences import lowered
 
 LEAST_DOCS = 30
 #: Added to every count; shares are whole billionths.
 SMOOTHING = 5
 UNIT = 1_000_000_000
 TOP_TERMS = 50
-MOST_TERMS = 2**31 - 1
-#: Distinct terms (of any frequency) whose vocabulary is fitted at a time; further ones make further slices.
-SLICE_TERMS = 4_000_000
 #: Terms and sources of one block of the comparison.
 BLOCK_TERMS = 2_048
 BLOCK_SOURCES = 256
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_MARK = "\0"
-
-
-def terms_of(text: Column) -> Column:
-    """Array of the runs of letters (beyond ASCII: of anything) of a text, A-Z in lower case."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.array_remove(F.split(low, _BETWEEN), "")
+#: Tokens made into vectors at a time, and distinct terms and group sums that a task holds before it sends them.
+CHUNK = 200_000
+HELD_TERMS = 500_000
+HELD_SUMS = 2_000_000
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+class Numbers(dict):
+    """A number for each thing asked for, in the order in which they first are."""
+
+    def __missing__(self, thing: object) -> int:
+        self[thing] = number = len(self)
+        return number
+
+
+def count_vectors(texts: list[list[str]], terms: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sparse count vectors of texts given as lists of terms: row, term number and count of each entry."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    number = terms.__getitem__
+    found = np.concatenate([np.empty(0, dtype=np.int64), *(np.fromiter(map(number, t), np.int64, len(t)) for t in texts)])
+    entries, counts = np.unique(np.repeat(np.arange(len(texts), dtype=np.int64), sizes) << 32 | found, return_counts=True)
+    return entries >> 32, entries & 0xFFFFFFFF, counts
+
+
+class GroupSums:
+    """Sums of count vectors by group: occurrences and documents of each (group, term)."""
+
+    def __init__(self) -> None:
+        self.groups, self.terms = Numbers(), Numbers()
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.texts: list[list[str]] = []
+        self.owners: list[int] = []
+        self.tokens = 0
+
+    def add(self, group: tuple[str, str], text: str) -> None:
+        self.texts.append(TERM.findall(lowered(text)))
+        self.owners.append(self.groups[group])
+        self.tokens += len(self.texts[-1])
+        if self.tokens >= CHUNK:
+            self.take()
+
+    def take(self) -> None:
+        row, term, count = count_vectors(self.texts, self.terms)
+        self.parts.append(self._summed([(np.array(self.owners, dtype=np.int64)[row] << 32 | term, count, np.ones_like(count))]))
+        self.texts, self.owners, self.tokens = [], [], 0
+        if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts) > HELD_SUMS:
+            self.parts = [self._summed(self.parts)]
+
+    def full(self) -> bool:
+        return len(self.terms) > HELD_TERMS or sum(len(p[0]) for p in self.parts) > HELD_SUMS
+
+    @staticmethod
+    def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, *(np.bincount(place, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2))
+
+    def sent(self) -> pa.RecordBatch:
+        """lang, source, term, n, docs of all sums so far, which start anew."""
+        self.take()
+        keys, n, docs = self._summed(self.parts)
+        group, listed = pa.array(keys >> 32), list(self.groups)
+        columns = [pa.array([g[k] for g in listed], pa.string()).take(group) for k in (0, 1)]
+        columns.append(pa.array(list(self.terms), pa.string()).take(pa.array(keys & 0xFFFFFFFF)))
+        self.parts, self.groups, self.terms = [], Numbers(), Numbers()
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -45,45 +102,31 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("lang", "source", "text")])
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """lang, source, terms; each term behind its language and a mark that no term has, so that one fit serves all languages."""
-    prefix = F.concat("lang", F.lit(_MARK))
-    return docs.select("lang", "source", F.transform(terms_of(F.col("text")), lambda t: F.concat(prefix, t)).alias("terms"))
+def group_counts(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n, docs: occurrences in a group and documents of it, of every term.
 
+    ``docs`` has lang, source and text without NULL. Vectors are summed in the tasks, so that a
+    hot group or term has a row a task and flush.
+    """
 
-def _slice(terms: Column, number: int, slices: int) -> Column:
-    return F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == number)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = GroupSums()
+        for langs, sources, texts in rows(batches, "lang", "source", "text"):
+            for lang, source, text in zip(langs, sources, texts, strict=True):
+                sums.add((lang, source), text)
+                if not sums.tokens and sums.full():
+                    yield sums.sent()
+        yield sums.sent()
 
+    return docs.mapInArrow(counted, "lang string, source string, term string, n long, docs long").groupBy(
+        "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
-def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(lang, term, id) of each language's kept terms and (lang, source, id, n) of each group's counts above zero.
 
-    ``docs`` has lang, source and text without NULL. Terms are dealt into slices by hash, as
-    many as their estimated number asks for: the vocabulary of a slice, which the driver
-    holds and the tasks get, is bounded by ``slice_terms`` whatever the corpus. Every slice
-    is fitted over all documents, and no term is left out.
-    """
-    spark, marked = docs.sparkSession, _marked(docs)
-    distinct = marked.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
-    slices = max(1, math.ceil(1.1 * distinct / slice_terms))
-    vocabularies, counts = [], []
-    for number in range(slices):
-        part = marked if slices == 1 else marked.withColumn("terms", _slice(F.col("terms"), number, slices))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(part)
-        listed = [(*t.rpartition(_MARK)[::2], i * slices + number) for i, t in enumerate(model.vocabulary)]
-        table = pa.table(dict(zip(("lang", "term", "id"), map(list, zip(*listed, strict=True)), strict=True)) if listed else
-                         {"lang": [], "term": [], "id": []}, schema=pa.schema([("lang", pa.string()), ("term", pa.string()), ("id", pa.int64())]))
-        vocabularies.append(stored(spark.createDataFrame(table), "terms"))
-        vector = F.unwrap_udt("vector")
-        entries = model.transform(part).select("lang", "source", F.explode(F.arrays_zip(
-            vector["indices"].alias("i"), vector["values"].alias("n"))).alias("x"))
-        counts.append(stored(entries.groupBy("lang", "source", F.col("x.i").alias("i")).agg(
-            F.sum(F.col("x.n").cast("long")).alias("n")).select(
-            "lang", "source", (F.col("i").cast("long") * slices + number).alias("id"), "n"), "counts"))
-    terms, summed = vocabularies[0], counts[0]
-    for more_terms, more in zip(vocabularies[1:], counts[1:], strict=True):
-        terms, summed = terms.unionByName(more_terms), summed.unionByName(more)
-    return terms, summed
+def vocabulary(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """lang, term, lang_n, id: each language's terms in at least ``least_docs`` of its documents, numbered."""
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(
+        F.col("docs") >= least_docs)
+    return stored(kept.select("lang", "term", "lang_n", F.monotonically_increasing_id().alias("id")), "vocabulary")
 
 
 def _share(count: Column, tokens: Column, kept: Column) -> Column:
@@ -162,7 +205,7 @@ def pair_values(groups: DataFrame, shares: DataFrame, block_terms: int = BLOCK_T
         "lang", "source", "item", (F.col("value") + (F.col("kept") - F.col("either")) * F.col("zeros")).alias("value"))
 
 
-def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS, slice_terms: int = SLICE_TERMS,
+def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TERMS,
                block_terms: int = BLOCK_TERMS, block_sources: int = BLOCK_SOURCES) -> DataFrame:
     """lang, source, part, item, value, rank: sources of a language against each other and against the language.
 
@@ -177,23 +220,21 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = T
     """
     own = _own(docs)
     groups = stored(own.select("lang", "source").distinct(), "groups")
-    terms, counts = group_counts(own, least_docs, slice_terms)
-    kept = terms.groupBy("lang").agg(F.count("*").alias("kept"))
-    by_lang = counts.groupBy("lang", "id").agg(F.sum("n").alias("lang_n"))
+    counts = stored(group_counts(own), "counts")
+    terms = vocabulary(counts, least_docs)
+    kept = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_tokens"))
+    counts = stored(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "counts")
     tokens = counts.groupBy("lang", "source").agg(F.sum("n").alias("tokens"))
-    lang_tokens = counts.groupBy("lang").agg(F.sum("n").alias("lang_tokens"))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     zero = F.lit(0).cast("long")
-    sized = groups.join(tokens, ["lang", "source"], "left").join(kept, "lang", "left").join(lang_tokens, "lang", "left").select(
+    sized = groups.join(tokens, ["lang", "source"], "left").join(kept, "lang", "left").select(
         "lang", "source", number.cast("long").alias("number"), F.count("*").over(Window.partitionBy("lang")).alias("sources"),
         *[F.coalesce(c, zero).alias(c) for c in ("tokens", "kept", "lang_tokens")])
     sized = stored(sized.withColumn("zero", F.coalesce(_share(zero, F.col("tokens"), F.col("kept")), zero)), "groups")
-    shares = stored(counts.join(sized, ["lang", "source"]).select(
-        "lang", "source", "id", _share(F.col("n"), F.col("tokens"), F.col("kept")).alias("p"), "kept", "lang_tokens"), "shares")
-    above = shares.join(by_lang, ["lang", "id"]).withColumn(
-        "value", F.col("p") - _share(F.col("lang_n"), F.col("lang_tokens"), F.col("kept"))).where("value > 0")
-    above = above.join(terms.select("id", F.col("term").alias("item")), "id").select(
-        "lang", "source", F.lit("term").alias("part"), "item", "value")
+    shares = counts.join(sized, ["lang", "source"]).select(
+        "lang", "source", "term", "id", _share(F.col("n"), F.col("tokens"), F.col("kept")).alias("p"), "lang_n", "kept", "lang_tokens")
+    above = shares.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (
+        F.col("p") - _share(F.col("lang_n"), F.col("lang_tokens"), F.col("kept"))).alias("value")).where("value > 0")
     pairs = pair_values(sized, shares.select("lang", "source", "id", "p"), block_terms, block_sources).select(
         "lang", "source", F.lit("pair").alias("part"), "item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")

@@ -42,11 +42,32 @@ def drawn(n, seed=3):
 
 def test_equals_counting_by_hand(documents):
     rows = drawn(150)
-    for slices, terms, sources in ((4_000_000, 2_048, 256), (15, 3, 2)):
-        got = divergence.divergence(documents(rows), least_docs=4, top_terms=5, slice_terms=slices, block_terms=terms, block_sources=sources)
+    for terms, sources in ((2_048, 256), (3, 2)):
+        got = divergence.divergence(documents(rows), least_docs=4, top_terms=5, block_terms=terms, block_sources=sources)
         assert sorted(tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()) == slow_divergence(rows, 4, 5)
 
 
+def test_sums_are_sent_in_parts(monkeypatch):
+    rows = drawn(120)
+    monkeypatch.setattr(divergence, "CHUNK", 7)
+    monkeypatch.setattr(divergence, "HELD_SUMS", 20)
+    monkeypatch.setattr(divergence, "HELD_TERMS", 9)
+    sums, found, docs, sent = divergence.GroupSums(), collections.Counter(), collections.Counter(), 0
+    for _, text, lang, source in [*rows, (0, None, None, None)]:
+        sums.add((lang or "", source or ""), text or "")
+        if sums.full() or text is None:
+            for r in sums.sent().to_pylist():
+                found[r["lang"], r["source"], r["term"]] += r["n"]
+                docs[r["lang"], r["source"], r["term"]] += r["docs"]
+            sent += 1
+    slow, slow_docs = collections.Counter(), collections.Counter()
+    for _, text, lang, source in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        slow.update((lang or "", source or "", t) for t in terms)
+        slow_docs.update((lang or "", source or "", t) for t in set(terms))
+    assert (found, docs) == (slow, slow_docs) and sent > 5
+
+
 def test_odd_rows(odd):
     for docs in odd:
         got = sorted(tuple(r) for r in divergence.divergence(docs).collect())
