@@ -28,7 +28,7 @@ from prudentia.operators.periods import (
     latest_period,
     with_closest_period,
 )
-from prudentia.operators.ranking import share_of_period, top_per_period
+from prudentia.operators.ranking import share_of_period, top_per_period, top_share_per_period
 from prudentia.plans.ratios import RATIOS, input_aggregates
 from prudentia.schemas import BALANCETES_TOP50
 from prudentia.sources.base import Filings
@@ -123,7 +123,9 @@ def ratio_ranking(
     return _ranked(rows, order, ano_mes, top_n)
 
 
-def market_share(filings: Filings, ano_mes: Period = None, top_n: int = 20) -> DataFrame:
+def market_share(
+    filings: Filings, ano_mes: Period = None, top_n: int | None = 20
+) -> DataFrame:
     """Equity share of the largest entities in the total of all of them."""
     lines = filings.report_lines(SUMMARY).where(
         line_like("%atrim%nio L%", "%efer%") & F.col("valor_a").isNotNull()
@@ -132,9 +134,11 @@ def market_share(filings: Filings, ano_mes: Period = None, top_n: int = 20) -> D
         "ano_mes", "cod_conglomerado", "nome_conglomerado",
         _segment_or_blank().alias("segmento"), F.col("valor_a").alias("pl_value"),
     )
-    shares = share_of_period(rows, "pl_value", "market_share_pct")
     order = [F.desc("pl_value"), F.asc("cod_conglomerado"), F.asc("segmento")]
-    return _ranked(shares, order, ano_mes, top_n)
+    if top_n is None:
+        return _ranked(share_of_period(rows, "pl_value", "market_share_pct"), order, ano_mes, None)
+    top = top_share_per_period(rows, "pl_value", order, top_n, "market_share_pct")
+    return top if ano_mes == ALL_PERIODS else top.orderBy("rank").drop("rank")
 
 
 # --- the top-50 table ---

@@ -11,7 +11,7 @@ from prudentia.constants import CAPITAL, INCOME, SUMMARY
 from prudentia.functions import periods
 from prudentia.functions.display import ratio_text
 from prudentia.operators.lines import line_like_sql
-from prudentia.operators.pivot import only, pivot, values_present
+from prudentia.operators.pivot import CELLS, only, pivot
 from prudentia.sources.base import Filings
 
 # Input name: (report, LIKE pattern of the line, LIKE pattern to leave out).
@@ -154,19 +154,35 @@ def _long_ratios(filings: Filings, cod_conglomerado: int | None) -> DataFrame:
     return ratios.selectExpr("cod_conglomerado", "ano_mes", f"inline(array({entries}))")
 
 
+def _folded_ratios(filings: Filings, cod_conglomerado: int | None) -> DataFrame:
+    """The ratio table with its cells as one array: an entity's periods are gathered once
+    and then expanded to its ratios, instead of shuffling a row for each ratio and period."""
+    names = [ratio.name for ratio in CATALOGUE]
+    history = financial_ratios(filings, cod_conglomerado).groupBy("cod_conglomerado").agg(
+        F.array_sort(F.collect_list(F.struct("ano_mes", *names))).alias("history")
+    )
+    entries = ", ".join(
+        f"struct({position} as posicao, '{r.group}' as grupo, '{r.label} ({r.unit})' as indicador, "
+        f"transform(history, p -> struct(p.ano_mes as ano_mes, p.{r.name} as valor)) as {CELLS})"
+        for position, r in enumerate(CATALOGUE, start=1)
+    )
+    return history.selectExpr("cod_conglomerado", f"inline(array({entries}))")
+
+
 def ratio_table(
     filings: Filings, periods_shown: list[int] | None = None, cod_conglomerado: int | None = None
 ) -> DataFrame:
-    """Ratios by period, one row per entity and ratio; all periods filed by default."""
-    if periods_shown is None:
-        lines = filings.report_lines(SUMMARY, INCOME, CAPITAL)
-        if cod_conglomerado is not None:
-            lines = lines.where(F.col("cod_conglomerado") == cod_conglomerado)
-        periods_shown = values_present(lines, "ano_mes")
-    table = pivot(
-        _long_ratios(filings, cod_conglomerado),
-        ["cod_conglomerado", "posicao", "grupo", "indicador"], "ano_mes", periods_shown,
-        only("valor"), "p",
+    """Ratios by period, one row per entity and ratio.
+
+    A column for each of ``periods_shown``, or all periods that the entity filed as one array.
+    """
+    table = (
+        _folded_ratios(filings, cod_conglomerado) if periods_shown is None
+        else pivot(
+            _long_ratios(filings, cod_conglomerado),
+            ["cod_conglomerado", "posicao", "grupo", "indicador"], "ano_mes", periods_shown,
+            only("valor"), "p",
+        )
     )
     return table if cod_conglomerado is None else table.orderBy("posicao")
 

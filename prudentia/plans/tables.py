@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prudentia.functions import periods, text
 from prudentia.functions.display import cell_text, change_text
-from prudentia.operators.pivot import first_by_order, only, pivot
+from prudentia.operators.pivot import first_by_order, folded, only, pivot
 from prudentia.operators.series import (
     change_on_previous_period,
     change_on_previous_year,
@@ -26,12 +26,15 @@ def report_table(
     filings: Filings, relatorio: str, periods_shown: list[int] | None = None,
     cod_conglomerado: int | None = None,
 ) -> DataFrame:
-    """Lines of a report by period, first value in filing order; all periods filed by default."""
+    """Lines of a report by period, first value in filing order.
+
+    A column for each of ``periods_shown``, or all periods filed as one array (``folded``).
+    """
     lines = LINES_OF_REPORT[relatorio](filings, cod_conglomerado)
-    return pivot(
-        lines, ["cod_conglomerado", "nome_linha"], "ano_mes", periods_shown,
-        first_by_order("valor_a"), "p",
-    )
+    keys = ["cod_conglomerado", "nome_linha"]
+    if periods_shown is None:
+        return folded(lines, keys, "ano_mes", "valor_a", order="ordenacao")
+    return pivot(lines, keys, "ano_mes", periods_shown, first_by_order("valor_a"), "p")
 
 
 def report_cells(
@@ -48,10 +51,13 @@ def report_cells(
 def detailed_income_table(
     filings: Filings, periods_shown: list[int] | None = None, cod_conglomerado: int | None = None
 ) -> DataFrame:
-    """All income accounts by period; all periods filed by default."""
+    """All income accounts by period: a column for each of ``periods_shown``, or all as one array."""
     rows = detailed_income(filings, cod_conglomerado)
     keys = [GROUP, "conta", "nome_conta"]
-    table = pivot(rows, keys, "ano_mes", periods_shown, only("saldo"), "p")
+    table = (
+        folded(rows, keys, "ano_mes", "saldo") if periods_shown is None
+        else pivot(rows, keys, "ano_mes", periods_shown, only("saldo"), "p")
+    )
     label = F.concat_ws(" - ", "conta", "nome_conta").alias("indicador")
     shown = table.select(GROUP, label, *[c for c in table.columns if c not in keys])
     return shown if cod_conglomerado is None else shown.orderBy("indicador")

@@ -11,6 +11,7 @@ from prudentia.constants import CAPITAL, INCOME, KPI_ACCOUNTS, PEER_GROUPS, SUMM
 from prudentia.functions import display, periods, text
 from prudentia.operators.accounts import digit_repair_map
 from prudentia.operators.lines import in_peer_group
+from prudentia.operators.pivot import unfolded
 from prudentia.operators.quality import key_violations, null_counts, split_valid
 from prudentia.plans import balances, income, institutions, maintenance, rankings
 from prudentia.plans import ratios, report_lines, tables
@@ -104,7 +105,7 @@ def _as_lines(rows: DataFrame, path: Column, line_no: Column, line: Column) -> D
 
 def _individual_text(f: LineitemFilings) -> DataFrame:
     """Lines of individual files; short, commented and empty ones included."""
-    rows = f.source("lineitem").where(F.col("l_linestatus") == "O")
+    rows = f.source("lineitem")
     cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
     amount = F.translate(F.format_number(cents / F.lit(100.0), 2), ",.", ".,")
     period = F.year("l_shipdate") * 100 + F.month("l_shipdate")
@@ -117,8 +118,9 @@ def _individual_text(f: LineitemFilings) -> DataFrame:
         F.concat(F.lit("CONTA "), F.col("l_linenumber")),
         F.when(F.col("l_discount") == 0, F.lit(" ")).otherwise(amount),
     ]
-    # Orders of 50 units are commented out, those of 49 lose their last field.
-    first = F.when(F.col("l_quantity") == 50, fields[0]).otherwise(F.lit("BASE"))
+    # Closed lines and those of 50 units are commented out, those of 49 lose their last field.
+    comment = (F.col("l_linestatus") != "O") | (F.col("l_quantity") == 50)
+    first = F.when(comment, fields[0]).otherwise(F.lit("BASE"))
     complete = F.concat_ws(";", first, *fields[1:])
     short = F.concat_ws(";", first, *fields[1:-1])
     return _as_lines(
@@ -368,7 +370,7 @@ QUERIES: dict[str, Query] = {
     "financial_ratios": ratios.financial_ratios,
     "latest_ratios": ratios.latest_ratios,
     "ratio_series": lambda f: ratios.ratio_series(f, "roe"),
-    "ratios_pivot": ratios.ratio_table,
+    "ratios_pivot": lambda f: unfolded(ratios.ratio_table(f)),
     "ratio_texts": ratios.ratio_texts,
     # income statements
     "cosif_dre": income.detailed_income,
@@ -378,9 +380,9 @@ QUERIES: dict[str, Query] = {
     "dre_12m": income.trailing_income,
     "dre_recent": income.recent_income,
     # tables
-    "report_pivot": lambda f: tables.report_table(f, CAPITAL),
+    "report_pivot": lambda f: unfolded(tables.report_table(f, CAPITAL)),
     "report_cells": lambda f: tables.report_cells(f, CAPITAL),
-    "dre_pivot": tables.detailed_income_table,
+    "dre_pivot": lambda f: unfolded(tables.detailed_income_table(f)),
     "dre_table": tables.income_table,
     "year_quarter_pivot": lambda f: tables.year_quarter_table(f, CAPITAL, "abs"),
     "yoy": lambda f: tables.year_quarter_table(f, SUMMARY, "yoy"),

@@ -35,7 +35,7 @@ def spark_rows(df: DataFrame) -> tuple[list[str], list[tuple]]:
 
 
 def duck_rows(con: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str], list[tuple]]:
-    result = con.sql(sql)
+    result = con.sql(sql).create_view("result", replace=True)  # as the driver does
     columns = sorted(result.columns)
     picked = ", ".join(f'"{c}"' for c in columns)
     return columns, sorted(result.project(picked).fetchall(), key=_key)
