@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -33,11 +33,12 @@ def split_valid(rows: DataFrame, required: Sequence[str]) -> tuple[DataFrame, Da
 
 
 class Incomplete(ValueError):
-    """Something was left out of a load; ``rows`` were stored all the same."""
+    """Some ``periods`` were left out of a load; ``rows`` were stored all the same."""
 
-    def __init__(self, message: str, rows: int = 0) -> None:
+    def __init__(self, message: str, rows: int = 0, periods: Iterable[int] | None = None) -> None:
         super().__init__(message)
         self.rows = rows
+        self.periods = None if periods is None else tuple(sorted(periods))
 
 
 class KeyViolation(Incomplete):

@@ -14,7 +14,7 @@ from __future__ import annotations
 import argparse
 import logging
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -38,11 +38,15 @@ INDEX_FILES = ("relatorios2000a2024.json", "relatorios2025a2030.json")
 
 @dataclass(frozen=True)
 class Step:
-    """What one step did: rows loaded, and what failed."""
+    """What one step did: rows loaded, what failed, and the periods that did.
+
+    Without periods (None) it is not known what the failure left out.
+    """
 
     name: str
     rows: int = 0
     error: str | None = None
+    periods: tuple[int, ...] | None = ()
 
 
 def _run(name: str, step: Callable[[], int]) -> Step:
@@ -50,7 +54,8 @@ def _run(name: str, step: Callable[[], int]) -> Step:
         done = Step(name, step())
     except Exception as problem:  # whatever it was, the next step runs
         logger.exception("%s failed", name)
-        return Step(name, getattr(problem, "rows", 0), str(problem))
+        periods = getattr(problem, "periods", None)
+        return Step(name, getattr(problem, "rows", 0), str(problem), periods)
     logger.info("%s loaded %d rows", name, done.rows)
     return done
 
@@ -94,7 +99,7 @@ def _report_indexes(spark: SparkSession, landing: str) -> tuple[list[DataFrame],
 
         step = _run(f"index {name}", read)
         if step.error:
-            failed.append(step)
+            failed.append(replace(step, periods=()))  # periods are left out by name, if at all
     return indexes, failed
 
 
@@ -106,12 +111,12 @@ def refresh_reports(
     """Registry and the three reports of the newest periods in the index.
 
     ``only`` names the periods, which are then loaded again. A period with a missing
-    file, a repeated key or no line of an offered report is named in the step's error;
-    the others are loaded in the same job.
+    file, a repeated key or no line of an offered report is named in the step's error and
+    periods, as is one of ``only`` that no index has; the others are loaded in the same job.
     """
     indexes, failed = _report_indexes(spark, landing)
     if not indexes:
-        return failed
+        return failed + ([Step("index", 0, "no index can be read", tuple(only))] if only else [])
     index = report_files.merge_indexes(indexes)
     newest = report_files.index_periods(index)
     newest = newest.limit(quarters) if only is None else newest.where(F.col("ano_mes").isin(*only))
@@ -120,11 +125,15 @@ def refresh_reports(
 
     def listed() -> int:
         periods.extend(r.ano_mes for r in newest.collect())
+        if unlisted := set(only or ()) - set(periods):
+            raise Incomplete(f"not in an index: {sorted(unlisted)}", len(periods), unlisted)
         return len(periods)
 
     listing = _run("index", listed)
     if listing.error:
-        return [*failed, listing]
+        failed.append(listing)
+        if not periods:
+            return failed
     wanted_files = index.where(F.col("ano_mes").isin(*periods))
 
     def of_period(before: str, after: str) -> Column:
@@ -139,14 +148,15 @@ def refresh_reports(
         paths, absent = _paths(
             landing, store, registry_files_found.where(F.col("ano_mes").isin(*missing))
         )
-        problems, rows = [f"{name} is missing" for name in absent.values()], 0
+        problems, rows, left_out = [f"{name} is missing" for name in absent.values()], 0, set(absent)
         if paths:
             try:
                 rows = load.load_registry(store, registry_files.read_registry(spark, paths)).rows
             except KeyViolation as problem:
                 problems, rows = [*problems, str(problem)], problem.rows
+                left_out |= set(problem.periods or ())
         if problems:
-            raise Incomplete("; ".join(problems), rows)
+            raise Incomplete("; ".join(problems), rows, left_out)
         return rows
 
     def reports() -> int:
@@ -214,7 +224,7 @@ def _complain(absent: dict[int, str], empty: set[tuple[int, str]], rows: int) ->
     problems = [f"{name} is missing" for _, name in sorted(absent.items())]
     problems += [f"no lines of report {report} in {ano_mes}" for ano_mes, report in sorted(empty)]
     if problems:
-        raise Incomplete("; ".join(problems), rows)
+        raise Incomplete("; ".join(problems), rows, {*absent, *(period for period, _ in empty)})
 
 
 # --- monthly balances ---
@@ -223,9 +233,8 @@ def _complain(absent: dict[int, str], empty: set[tuple[int, str]], rows: int) ->
 def _archives(spark: SparkSession, landing: str, names: Sequence[str]) -> DataFrame:
     """Archives whose file name is one of ``names`` (``*`` allowed)."""
     pattern = "{" + ",".join(names) + "}"
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(landing)
-        .select("path", "content")
+    return balance_files.archives(
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(landing), landing
     )
 
 
@@ -300,16 +309,13 @@ def refresh_individual(
             members = members.where(F.col("cod_conglomerado").isin(*PEER_GROUPS[peer_group]))
         names = [f"{p}-4010-*.{ext}" for p in missing for ext in ("zip", "ZIP")]
         root = F.regexp_extract("path", r"-4010-(\w+)\.[^.]+$", 1)
-        # Only the paths are joined; of the archives that nobody wants no byte is read.
-        wanted = _archives(spark, landing, names).select("path", root.alias("cnpj8")).join(
+        # Paths are joined, and the archives opened behind the join: of one that nobody
+        # wants no byte is read, and no list of them comes to the driver.
+        wanted = _archives(spark, landing, names).withColumn("cnpj8", root).join(
             members.select("cnpj8"), "cnpj8", "left_semi"
-        )
-        paths = [r.path for r in wanted.select("path").collect()]  # one per month and institution
-        if not paths:
-            return 0
-        archives = spark.read.format("binaryFile").load(paths).select("path", "content")
+        ).drop("cnpj8")
         return _load_archives(
-            store, archives, balance_files.parse_individual, load.load_individual_balances
+            store, wanted, balance_files.parse_individual, load.load_individual_balances
         )
 
     return [_run("mapping", mapping), _run("individual balances", balances)]

@@ -26,7 +26,8 @@ def _struct(columns: str) -> T.StructType:
 @dataclass(frozen=True)
 class TableSpec:
     """One stored table: ``partition_by`` become folders, ``sort_by`` orders
-    rows inside files so that row-group statistics skip most of them."""
+    rows inside files so that row-group statistics skip most of them, and
+    ``lookup_by`` columns get Bloom filters, for lookups of single values."""
 
     name: str
     schema: T.StructType
@@ -34,6 +35,7 @@ class TableSpec:
     sort_by: tuple[str, ...] = ()
     key: tuple[str, ...] = ()
     required: tuple[str, ...] = ()
+    lookup_by: tuple[str, ...] = ()
 
 
 CADASTRO = TableSpec(
@@ -65,6 +67,7 @@ REPORT_VALUES = TableSpec(
         "ano_mes", "relatorio", "cod_conglomerado", "nome_conglomerado",
         "codigo_coluna", "nome_coluna", "nome_linha", "ordenacao",
     ),
+    lookup_by=("cod_conglomerado",),
 )
 
 FETCH_LOG = TableSpec(
@@ -87,6 +90,7 @@ BALANCETES_RAW = TableSpec(
         "ano_mes", "cnpj", "cnpj8", "nome_inst", "atributo", "documento",
         "conta", "nome_conta", "saldo",
     ),
+    lookup_by=("cnpj8",),
 )
 
 INSTITUTION_MAPPING = TableSpec(
@@ -121,11 +125,20 @@ ACCOUNT_INDEX = TableSpec(
     required=("ano_mes", "documento", "conta"),
 )
 
+# What a stream could not load and waits for: periods, or index files.
+DEAD_LETTERS = TableSpec(
+    "dead_letters",
+    _struct("source STRING, item STRING, error STRING, noted_at TIMESTAMP"),
+    partition_by=("source", "item"),
+    key=("source", "item"),
+    required=("source", "item", "error"),
+)
+
 TABLES = {
     spec.name: spec
     for spec in (
         CADASTRO, REPORT_VALUES, FETCH_LOG, BALANCETES_RAW,
-        INSTITUTION_MAPPING, BALANCETES_TOP50, ACCOUNT_INDEX,
+        INSTITUTION_MAPPING, BALANCETES_TOP50, ACCOUNT_INDEX, DEAD_LETTERS,
     )
 }
 

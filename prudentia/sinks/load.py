@@ -7,7 +7,7 @@ repeats its tasks, and a load may read the table it is about to change.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -25,6 +25,7 @@ from prudentia.schemas import (
     BALANCETES_RAW,
     BALANCETES_TOP50,
     CADASTRO,
+    DEAD_LETTERS,
     FETCH_LOG,
     INSTITUTION_MAPPING,
     RECORD_ALIASES,
@@ -32,7 +33,13 @@ from prudentia.schemas import (
     REPORT_VALUES,
     TableSpec,
 )
-from prudentia.sinks.warehouse import BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG, Warehouse
+from prudentia.sinks.warehouse import (
+    ASIDE,
+    BALANCES_LOG,
+    INDIVIDUAL_LOG,
+    REGISTRY_LOG,
+    Warehouse,
+)
 
 INDIVIDUAL = "4010"
 FIRST_ZERO_DIGIT_PERIOD = 202501
@@ -93,6 +100,7 @@ def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> li
         .sortWithinPartitions(*spec.partition_by, *spec.sort_by)
         .observe(seen, F.collect_set(F.struct(*spec.partition_by)).alias("partitions"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .options(**lookup_options(spec))
         .partitionBy(*spec.partition_by).parquet(store.path(spec))
     )
     if observed(checked, "rejected"):
@@ -100,6 +108,15 @@ def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> li
     return observed(seen, "partitions") or []
 
 
+def lookup_options(spec: TableSpec) -> dict[str, str]:
+    """Bloom filters on the columns by which single entities are looked up.
+
+    Files are sorted by the first of them, so its row groups are found by their range; the
+    filters let a lookup by any of them skip the row groups that lack the value.
+    """
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.lookup_by}
+
+
 def observed(observation: Observation, name: str) -> Any:
     """A metric of a finished write; None when the write had no task to run,
     in which case Spark reports no metrics at all."""
@@ -177,6 +194,22 @@ def is_loaded(store: Warehouse, ano_mes: int, relatorio: str) -> bool:
     return not hit.isEmpty()
 
 
+def note_failures(store: Warehouse, source: str, failures: dict[str, str]) -> None:
+    """Record what a stream could not load, by item; a repeated failure is kept once."""
+    if failures:
+        rows = [(source, item, error) for item, error in sorted(failures.items())]
+        replace_partitions(
+            store, DEAD_LETTERS,
+            store.spark.createDataFrame(rows, "source string, item string, error string")
+            .withColumn("noted_at", F.current_timestamp()),
+        )
+
+
+def clear_failures(store: Warehouse, source: str, items: Iterable[str]) -> None:
+    """Drop the notes of items that were loaded since."""
+    clear_partitions(store, DEAD_LETTERS, [(source, item) for item in items])
+
+
 # --- loads ---
 
 
@@ -206,7 +239,8 @@ def load_registry(store: Warehouse, rows: DataFrame) -> Loaded:
     if repeated:
         examples = [tuple(r.example) for r in repeated]
         raise KeyViolation(
-            f"{CADASTRO.name}: key {CADASTRO.key} repeats, e.g. {examples}", loaded.rows
+            f"{CADASTRO.name}: key {CADASTRO.key} repeats, e.g. {examples}", loaded.rows,
+            [r.ano_mes for r in repeated],
         )
     return loaded
 
@@ -289,17 +323,22 @@ def load_individual_balances(store: Warehouse, rows: DataFrame) -> Loaded:
 def load_mapping(store: Warehouse, rows: DataFrame) -> int:
     """Replace the whole mapping; an empty one is ignored.
 
-    It is written beside the old one and then takes its place, so a load that fails
-    midway leaves the old mapping. The input is also read for its keys.
+    It is written beside the old one and then takes its place. The old one stays aside
+    until then, and is read while there is no new one (see ``Warehouse.read``), so a
+    load that fails at any step leaves a mapping. The input is also read for its keys.
     """
     if rows.isEmpty():
         return 0
     require_unique(rows, INSTITUTION_MAPPING)
     path = store.path(INSTITUTION_MAPPING)
+    system, now = store.file(path)
+    aside, after = store.file(path + ASIDE)[1], store.file(f"{path}_next")[1]
     rows.select(*INSTITUTION_MAPPING.schema.names).write.mode("overwrite").parquet(f"{path}_next")
-    system, old = store.file(path)
-    system.delete(old, True)
-    system.rename(store.file(f"{path}_next")[1], old)
+    if system.exists(now):
+        system.delete(aside, True)
+        system.rename(now, aside)
+    system.rename(after, now)
+    system.delete(aside, True)
     return store.institution_mapping.count()
 
 
@@ -328,8 +367,7 @@ def rebuild_top50(
 def repair_stored_accounts(store: Warehouse) -> int:
     """Repair zero check digits in everything stored; returns the rows changed.
 
-    Only partitions with such rows are written again, and all accounts indexed
-    anew. Afterwards the top 50 of all periods since the digits were dropped is
+    Only partitions with such rows are written and indexed again. Afterwards the top 50 of all periods since the digits were dropped is
     rebuilt in one job.
     """
     balances = store.balances()
@@ -347,7 +385,7 @@ def repair_stored_accounts(store: Warehouse) -> int:
     if changed:
         affected = balances.where(_in_partitions(BALANCETES_RAW, changed))
         replace_partitions(store, BALANCETES_RAW, repair_accounts(affected, repairs))
-        _index_accounts(store, store.balances())
+        _index_accounts(store, store.balances().where(_in_partitions(BALANCETES_RAW, changed)))
     since = store.balances().where(F.col("ano_mes") >= FIRST_ZERO_DIGIT_PERIOD)
     periods = [r.ano_mes for r in since.select("ano_mes").distinct().collect()]
     if periods:

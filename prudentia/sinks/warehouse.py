@@ -12,6 +12,8 @@ from prudentia.schemas import TABLES, TableSpec
 
 # Names in the load log that are not report codes.
 BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG = "balancetes", "4010", "cadastro"
+#: Behind the path of a table that is replaced as a whole: the one before, while it is replaced.
+ASIDE = "_before"
 OTHER_LOADS = (BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG)
 
 
@@ -37,15 +39,20 @@ class Warehouse:
         return found.getFileSystem(context._jsc.hadoopConfiguration()), found
 
     def read(self, name: str) -> DataFrame:
-        """A table in declared column order; empty when nothing was stored yet."""
+        """A table in declared column order; empty when nothing was stored yet.
+
+        A table that a failed load has put aside is read from there.
+        """
         spec = TABLES[name]
-        try:
-            stored = self.spark.read.schema(spec.schema).parquet(self.path(spec))
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], spec.schema)
-        return stored.select(*spec.schema.names)
+        for path in (self.path(spec), self.path(spec) + ASIDE):
+            try:
+                stored = self.spark.read.schema(spec.schema).parquet(path)
+            except AnalysisException as problem:
+                if problem.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            else:
+                return stored.select(*spec.schema.names)
+        return self.spark.createDataFrame([], spec.schema)
 
     @property
     def cadastro(self) -> DataFrame:
@@ -63,6 +70,10 @@ class Warehouse:
     def fetch_log(self) -> DataFrame:
         return self.read("fetch_log")
 
+    @property
+    def dead_letters(self) -> DataFrame:
+        return self.read("dead_letters")
+
     @property
     def report_periods(self) -> DataFrame:
         """Periods with lines of any report, from the load log: a few rows, not the facts."""

@@ -12,8 +12,10 @@ import itertools
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,14 @@ FILE_COLUMNS = "path STRING, modificationTime TIMESTAMP, length BIGINT, content
 CONSOLIDATED, INDIVIDUAL = "4040", "4010"
 METADATA_LINES = 3
 LINES_PER_BATCH = 20_000
+#: File systems that tasks open by path, for reads of parts of a file.
+OPENED_BY_PATH = ("file", "hdfs", "viewfs", "s3", "s3a", "gs")
+#: Members up to this size are unpacked in memory; larger ones in pieces.
+HELD_BYTES, READ_BYTES = 64 << 20, 1 << 20
 
 # --- fixed values: field positions in the individual file ---
 CNPJ_AT, NAME_AT, ACCOUNT_AT, ACCOUNT_NAME_AT, BALANCE_AT = 2, 4, 8, 9, 10
 
-_LINE_END = r"\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085]"
-
 
 def period_of_file(path: Column) -> Column:
     """Period in the file name: ``202501.zip``, ``b202501.zip``, ``202501-4010-…``."""
@@ -44,20 +48,6 @@ def period_of_file(path: Column) -> Column:
 # --- lines ---
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered lines of Latin-1 files, decoded and split in the JVM.
-
-    Numbering needs the order inside a file, so a file is one row; individual
-    files are small. White space around the whole text does not count.
-    """
-    content = F.decode(F.col("content"), "ISO-8859-1")
-    lines = F.split(text.strip(content), _LINE_END)
-    return spark.read.format("binaryFile").load(path).select(
-        "path", F.posexplode(lines).alias("line_no", "line"),
-        F.lit(None).cast("string").alias("error"),
-    )
-
-
 def stripped(text_lines: Iterable[str]) -> Iterator[str]:
     """Lines of a text without its outer white space, a line at a time.
 
@@ -79,44 +69,78 @@ def stripped(text_lines: Iterable[str]) -> Iterator[str]:
         yield last.rstrip()
 
 
+def _opened(path: str, content: bytes | None) -> BinaryIO:
+    """An archive to seek in: through its file system, or in memory where it came as content."""
+    if content is not None:
+        return io.BytesIO(content)
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or path.startswith("/"):
+        return fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+    return system.open_input_file(inner)
+
+
+def member_lines(file: BinaryIO) -> Iterator[str]:
+    """Lines of the first CSV member of an archive.
+
+    The directory and the member are read where they stand, piece by piece; the archive is
+    never held. A damaged member fails before its first line: one of moderate size is
+    unpacked once and checked, a larger one is read to its end first.
+    """
+    with zipfile.ZipFile(file) as archive:
+        members = [m for m in archive.infolist() if m.filename.lower().endswith(".csv")]
+        if not members:
+            raise ValueError("no CSV file in the archive")
+        if members[0].file_size <= HELD_BYTES:
+            member: BinaryIO = io.BytesIO(archive.read(members[0]))
+        else:
+            with archive.open(members[0]) as checked:
+                while checked.read(READ_BYTES):
+                    pass
+            member = archive.open(members[0])
+        with member:
+            yield from stripped(io.TextIOWrapper(member, "latin1"))
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of the first CSV member of each archive; a bad archive gives one
-    row with its error."""
+    """Lines of each archive; a bad archive gives one row with its error."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
+        contents = batch["content"] if "content" in batch else itertools.repeat(None, len(batch))
+        for path, content in zip(batch["path"], contents, strict=True):
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-                    if not members:
-                        raise ValueError("no CSV file in the archive")
-                    with archive.open(members[0]) as member:
-                        while member.read(1 << 20):  # a damaged archive gives no line at all
-                            pass
-                    with archive.open(members[0]) as member:
-                        lines = stripped(io.TextIOWrapper(member, "latin1"))
-                        numbered = enumerate(lines)
-                        while part := list(itertools.islice(numbered, LINES_PER_BATCH)):
-                            yield pd.DataFrame({
-                                "path": path, "line_no": [n for n, _ in part],
-                                "line": [line for _, line in part], "error": None,
-                            })
+                with _opened(path, content) as file:
+                    numbered = enumerate(member_lines(file))
+                    while part := list(itertools.islice(numbered, LINES_PER_BATCH)):
+                        yield pd.DataFrame({
+                            "path": path, "line_no": [n for n, _ in part],
+                            "line": [line for _, line in part], "error": None,
+                        })
             except (ValueError, zipfile.BadZipFile, zlib.error, EOFError) as problem:
                 yield pd.DataFrame(
                     {"path": [path], "line_no": [-1], "line": [None], "error": [str(problem)]}
                 )
 
 
-def unpack_lines(archives: DataFrame) -> DataFrame:
-    """Numbered lines of archives given as ``path`` and ``content``.
+def archives(files: DataFrame, landing: str) -> DataFrame:
+    """Archives of a ``binaryFile`` listing, by path where tasks can open their file system.
+
+    Elsewhere each comes with its content, which Spark limits to 2 GB a file.
+    """
+    scheme = landing.partition("://")[0] if "://" in landing else "file"
+    return files.select("path") if scheme in OPENED_BY_PATH else files.select("path", "content")
+
+
+def unpack_lines(listed: DataFrame) -> DataFrame:
+    """Numbered lines of archives given by ``path``, or by ``path`` and ``content``.
 
     The only Python step of the package: Spark has no reader for ZIP members.
     Each archive is one row, so archives spread over all tasks.
     """
-    return archives.select("path", "content").mapInPandas(_unpack, LINES_DDL)
+    return listed.mapInPandas(_unpack, LINES_DDL)
 
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    return unpack_lines(spark.read.format("binaryFile").load(path))
+    return unpack_lines(archives(spark.read.format("binaryFile").load(path), path))
 
 
 def archive_errors(lines: DataFrame) -> DataFrame:

@@ -3,17 +3,22 @@
 The stream only notices which periods got new files; each batch then reloads
 those periods from the folder. Batches that are replayed after a failure, and
 institutions that arrive late, therefore give the same table as one full load.
+
+Progress is kept per period: a period that cannot be loaded is noted in the table of
+dead letters, and its batch is finished. It is tried again when a file of it, or an
+index, arrives. Only a failure that names no period fails the batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prudentia.refresh import Step, refresh_balances, refresh_individual, refresh_reports
+from prudentia.sinks import load
 from prudentia.sinks.warehouse import Warehouse
 from prudentia.sources.balance_files import FILE_COLUMNS, period_of_file
 
@@ -32,14 +37,44 @@ def new_files(spark: SparkSession, landing: str, names: str) -> DataFrame:
     )
 
 
+def failures_of(steps: Sequence[Step]) -> dict[str, str]:
+    """What the steps left out, by period, or by the step's name if it names no period."""
+    failures: dict[str, list[str]] = {}
+    for step in steps:
+        if step.error:
+            for item in [str(p) for p in step.periods or ()] or [step.name]:
+                failures.setdefault(item, []).append(step.error)
+    return {item: "; ".join(errors) for item, errors in failures.items()}
+
+
+def noted(store: Warehouse, source: str) -> set[str]:
+    """Items of the stream that wait in the table of dead letters."""
+    waiting = store.dead_letters.where(F.col("source") == source)
+    return {r.item for r in waiting.select("item").collect()}  # periods and index files
+
+
 def _watch(
-    files: DataFrame, checkpoint: str, reload: Callable[[list], list[Step]]
+    files: DataFrame, checkpoint: str, store: Warehouse, source: str,
+    reload: Callable[[list, list[int]], list[Step]],
 ) -> StreamingQuery:
+    """``reload`` gets the periods with new files (None: of an index) and those that wait."""
+
     def on_batch(batch: DataFrame, _: int) -> None:
-        periods = [r.ano_mes for r in batch.select("ano_mes").distinct().collect()]
-        failed = [step for step in (reload(periods) if periods else []) if step.error]
-        if failed:
-            raise RuntimeError(f"batch not loaded: {failed}")  # the batch is retried
+        touched = [r.ano_mes for r in batch.select("ano_mes").distinct().collect()]
+        if not touched:
+            return
+        before = noted(store, source)
+        waiting = sorted(int(item) for item in before if item.isdigit())
+        steps = reload(touched, waiting)
+        unclear = [step for step in steps if step.error and step.periods is None]
+        if unclear:
+            raise RuntimeError(f"batch not loaded: {unclear}")  # the batch is retried
+        failures = failures_of(steps)
+        load.note_failures(store, source, failures)
+        tried = {str(p) for p in touched if p is not None}
+        if None in touched:  # everything that waited was tried again
+            tried |= before
+        load.clear_failures(store, source, sorted((tried & before) - set(failures)))
 
     return (
         files.writeStream.foreachBatch(on_batch)
@@ -55,8 +90,8 @@ def watch_balances(
     """Load consolidated archives not seen before, then stop."""
     files = new_files(spark, landing, CONSOLIDATED_NAMES)
     return _watch(
-        files, checkpoint,
-        lambda periods: refresh_balances(spark, landing, store, only=periods),
+        files, checkpoint, store, "balances",
+        lambda periods, _: refresh_balances(spark, landing, store, only=periods),
     )
 
 
@@ -65,9 +100,9 @@ def watch_reports(
 ) -> StreamingQuery:
     """Load the quarterly files not seen before, then stop.
 
-    Periods with a new file are loaded again; a batch with one that is incomplete is
-    retried by the next run. A new index may name periods whose files came before it:
-    these are not in the load log yet and are loaded, too, as far as they are complete.
+    Periods with a new file are loaded again. One that is incomplete, or in no index yet,
+    is noted and loaded when its next file arrives. A new index also loads periods whose
+    files came before it, and tries all that wait; one of the indexes may be missing.
     A file counts as new by its path, so an index that is replaced should come before
     the files that it names.
     """
@@ -78,14 +113,16 @@ def watch_reports(
         .load(landing).select("path", period.alias("ano_mes"))
     )
 
-    def reload(periods: list[int | None]) -> list[Step]:
-        touched = [p for p in periods if p is not None]
-        steps = refresh_reports(spark, landing, store, only=touched) if touched else []
+    def reload(periods: list[int | None], waiting: list[int]) -> list[Step]:
+        touched = {p for p in periods if p is not None}
+        if None in periods:
+            touched |= set(waiting)
+        steps = refresh_reports(spark, landing, store, only=sorted(touched)) if touched else []
         if None in periods:
-            refresh_reports(spark, landing, store)
+            steps += refresh_reports(spark, landing, store)
         return steps
 
-    return _watch(files, checkpoint, reload)
+    return _watch(files, checkpoint, store, "reports", reload)
 
 
 def watch_individual(
@@ -95,8 +132,8 @@ def watch_individual(
     """Load individual archives not seen before, then stop."""
     files = new_files(spark, landing, INDIVIDUAL_NAMES)
     return _watch(
-        files, checkpoint,
-        lambda periods: refresh_individual(
+        files, checkpoint, store, "individual",
+        lambda periods, _: refresh_individual(
             spark, landing, store, only=periods, every_institution=every_institution
         ),
     )

@@ -16,7 +16,10 @@ from prudentia.operators.quality import key_violations, null_counts, split_valid
 from prudentia.plans import balances, income, institutions, maintenance, rankings
 from prudentia.plans import ratios, report_lines, tables
 from prudentia.plans.rankings import ALL_PERIODS
-from prudentia.schemas import REPORT_VALUES
+from prudentia.schemas import BALANCETES_RAW, REPORT_VALUES
+from prudentia.sinks import load
+from prudentia.sinks.shared import new_path
+from prudentia.sinks.warehouse import Warehouse
 from prudentia.sources import balance_files, registry_files, report_files
 from prudentia.sources.lineitem import LineitemFilings
 
@@ -303,6 +306,70 @@ def target_members(f: LineitemFilings) -> DataFrame:
     return registry_files.of_groups(f.institution_mapping, codes)
 
 
+# --- stored tables: loaded into the shared folder and read back ---
+
+
+def _store(f: LineitemFilings) -> Warehouse:
+    return Warehouse(f.spark, new_path(f.spark, "tables"))
+
+
+def loaded_registry(f: LineitemFilings) -> DataFrame:
+    """The registry, loaded over one that had other names and rows; with the log's row counts."""
+    store = _store(f)
+    load.load_registry(store, f.cadastro.where("segmento = 'S1'").withColumn("nome_inst", F.lit("OLD")))
+    load.load_registry(store, f.cadastro)
+    log = store.fetch_log.select("ano_mes", "row_count")
+    return store.cadastro.join(log, "ano_mes")
+
+
+def loaded_reports(f: LineitemFilings) -> DataFrame:
+    """Report lines; report 5 was loaded before with other values and is replaced."""
+    store = _store(f)
+    load.load_report_values(store, f.report_lines(CAPITAL, INCOME).withColumn("valor_a", F.lit(-1.0)))
+    load.load_report_values(store, f.report_lines(CAPITAL, SUMMARY))
+    load.load_report_values(store, f.report_lines(INCOME))
+    return store.report_lines()
+
+
+def _with_balances(f: LineitemFilings) -> Warehouse:
+    """Consolidated balances with their top 50, then the individual ones, which leave it alone."""
+    store = _store(f)
+    load.load_registry(store, f.cadastro)
+    load.load_balances(store, f.balances().withColumn("saldo", F.lit(0.0)))
+    load.load_balances(store, f.balances("4040"))
+    load.load_individual_balances(store, f.balances("4010"))
+    return store
+
+
+def loaded_balances(f: LineitemFilings) -> DataFrame:
+    return _with_balances(f).balances()
+
+
+def loaded_top50(f: LineitemFilings) -> DataFrame:
+    return _with_balances(f).balancetes_top50
+
+
+def loaded_log(f: LineitemFilings) -> DataFrame:
+    """What the load log has of balances, by period and kind."""
+    return _with_balances(f).fetch_log.where(F.col("relatorio") != load.REGISTRY_LOG).select(
+        "ano_mes", "relatorio", "row_count")
+
+
+def loaded_mapping(f: LineitemFilings) -> DataFrame:
+    store = _store(f)
+    load.load_mapping(store, f.institution_mapping.withColumn("nome_inst", F.lit("OLD")))
+    load.load_mapping(store, f.institution_mapping)
+    return store.institution_mapping
+
+
+def repaired_store(f: LineitemFilings) -> DataFrame:
+    """Balances stored as they came, with zero check digits, and then repaired where they stand."""
+    store = _store(f)
+    load.replace_partitions(store, BALANCETES_RAW, f.balances())
+    load.repair_stored_accounts(store)
+    return store.balances()
+
+
 def _asset_trend(f: LineitemFilings) -> DataFrame:
     return balances.account_trend(f, conta=KPI_ACCOUNTS["Ativo Total"])
 
@@ -398,6 +465,14 @@ QUERIES: dict[str, Query] = {
     "key_violations": lambda f: key_violations(f.balances(), ["ano_mes", "cnpj8", "conta"]),
     "null_counts": lambda f: null_counts(f.report_lines(), REPORT_VALUES.schema.names),
     "rejected_lines": rejected_lines,
+    # stored tables
+    "loaded_registry": loaded_registry,
+    "loaded_reports": loaded_reports,
+    "loaded_balances": loaded_balances,
+    "loaded_top50": loaded_top50,
+    "loaded_log": loaded_log,
+    "loaded_mapping": loaded_mapping,
+    "repaired_store": repaired_store,
     # files
     "parsed_consolidated": parsed_consolidated,
     "parsed_individual": parsed_individual,

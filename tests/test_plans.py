@@ -23,7 +23,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(query(spark, SF_DIR)) for name, query in registered.registered().items()}
+    return {name: plan(query(spark, SF_DIR)) for name, query in registered.registered().items() if name not in LOADS}
 
 
 def test_no_nested_loops_and_no_python(plans):
@@ -102,12 +102,16 @@ def test_newest_period_is_a_partition_filter(stored):
     assert ratios.financial_ratios(stored, 1).count() == 2
 
 
+LOADS = {"repaired_store", *(n for n in registered.QUERIES if n.startswith("loaded_"))}
+
+
 def test_building_queries_starts_no_job(spark):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("built", "planning only")
     try:
-        for query in registered.registered().values():
-            query(spark, SF_DIR)
+        for name, query in registered.registered().items():
+            if name not in LOADS:
+                query(spark, SF_DIR)
         assert not tracker.getJobIdsForGroup("built")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

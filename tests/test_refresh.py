@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import zipfile
 from datetime import date
+from unittest.mock import ANY
 
+from prudentia import schemas
 from prudentia.plans import rankings, ratios
 from prudentia.refresh import main, refresh_balances, refresh_individual, refresh_reports
+from prudentia.sinks import load
 from prudentia.streaming.landing import watch_balances, watch_individual, watch_reports
+from tests.builders import frame, mapping
 from tests.test_sources import CONSOLIDATED, index_entry
 
 
@@ -133,6 +137,58 @@ def test_report_stream_reloads_touched_periods(spark, store, tmp_path):
     assert roe() == [30.0, 60.0]
 
 
+def test_report_stream_passes_a_bad_period(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+
+    def run() -> tuple[set, dict]:
+        watch_reports(spark, str(landing), store, f"{tmp_path}/checks").awaitTermination()
+        notes = {r.item: r.error for r in store.dead_letters.collect()}
+        return {r.ano_mes for r in store.report_lines().select("ano_mes").distinct().collect()}, notes
+
+    _publish(landing, 202412, 15.0)
+    _index(landing, 202412, 202503, 202506)
+    assert run() == ({202412}, {"202503": ANY, "202506": ANY})  # listed, not there yet
+    _publish(landing, 202503, 15.0)
+    (landing / "x" / "202503" / "info202503.json").unlink()
+    periods, notes = run()
+    assert periods == {202412} and "info202503.json is missing" in notes["202503"]
+    _publish(landing, 202506, 15.0)
+    periods, notes = run()
+    assert periods == {202412, 202506} and set(notes) == {"202503"}
+    assert run() == (periods, notes)  # nothing new, nothing tried
+    _publish(landing, 202503, 15.0)
+    assert run() == ({202412, 202503, 202506}, {})
+
+
+def test_report_stream_with_one_index_missing(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+
+    def run() -> tuple[int, set]:
+        watch_reports(spark, str(landing), store, f"{tmp_path}/checks").awaitTermination()
+        return store.report_lines().select("ano_mes").distinct().count(), {r.item for r in store.dead_letters.collect()}
+
+    _publish(landing, 202412, 15.0)
+    _publish(landing, 202503, 15.0)
+    assert run() == (0, {"202412", "202503", "index relatorios2000a2024.json", "index relatorios2025a2030.json"})
+    _index(landing, 202412, 202503)
+    late = (landing / "relatorios2025a2030.json").read_text()
+    (landing / "relatorios2025a2030.json").unlink()
+    assert run() == (1, {"202503", "index relatorios2025a2030.json"})
+    (landing / "relatorios2025a2030.json").write_text(late)
+    assert run() == (2, set())
+
+
+def test_a_failed_swap_leaves_a_mapping(spark, store, monkeypatch):
+    rows = frame(spark, schemas.INSTITUTION_MAPPING, [mapping("11111111", 1), mapping("22222222", 2)])
+    load.load_mapping(store, rows)
+    system, now = store.file(store.path(schemas.INSTITUTION_MAPPING))
+    system.rename(now, store.file(store.path(schemas.INSTITUTION_MAPPING) + "_before")[1])  # as if it ended there
+    assert store.institution_mapping.count() == 2
+    assert load.load_mapping(store, rows.limit(1)) == 1
+    assert store.institution_mapping.count() == 1 and not system.exists(store.file(
+        store.path(schemas.INSTITUTION_MAPPING) + "_before")[1])
+
+
 def _zip(path, content: bytes) -> None:
     with zipfile.ZipFile(path, "w") as archive:
         archive.writestr("x.csv", content)

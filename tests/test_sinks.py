@@ -245,6 +245,33 @@ def test_hot_period_is_split_into_several_files(spark, store):
     assert files.count() > 1
 
 
+def test_lookups_skip_row_groups(spark, store):
+    """Every row group spans all tax-id roots; their Bloom filters tell which ones hold one."""
+    rows = spark.range(60_000).select(
+        F.lit(202401).alias("ano_mes"), F.lit("x").alias("cnpj"),
+        F.left(F.md5(F.col("id").cast("string")), F.lit(8)).alias("cnpj8"), F.lit("B").alias("nome_inst"),
+        F.lit("A").alias("atributo"), F.lit("4040").alias("documento"),
+        F.format_string("1.%d", (F.col("id") / 600).cast("int")).alias("conta"), F.lit("N").alias("nome_conta"),
+        F.col("id").cast("double").alias("saldo"))
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.row.count.limit", "2000")
+    try:
+        load.replace_partitions(store, schemas.BALANCETES_RAW, rows)
+    finally:
+        hadoop.unset("parquet.block.row.count.limit")
+
+    def read(condition: str) -> tuple[int, int]:
+        found = store.balances().where(condition)
+        answer = len(found.collect())
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return answer, scan.metrics().apply("numOutputRows").value()
+
+    known = rows.where("saldo = 31415").first().cnpj8
+    answer, scanned = read(f"cnpj8 = '{known}'")
+    assert answer == 1 and scanned <= 8_000
+    assert read("cnpj8 = '8-absent'")[1] <= 4_000
+
+
 def test_views_answer_sql(spark, store):
     load.load_balances(store, frame(spark, schemas.BALANCETES_RAW, [balance(A, 5e6)]))
     store.create_views()

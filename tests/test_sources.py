@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
+import random
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,14 +84,48 @@ def test_archives_without_csv_are_reported(spark, tmp_path):
     assert {r.ano_mes for r in rows.collect()} == {202503}
 
 
-@pytest.mark.parametrize("packed", [False, True])
-def test_individual_file(spark, tmp_path, packed):
-    if packed:
-        _zip(tmp_path / "202501-4010-12345678.ZIP", {"x.csv": INDIVIDUAL})
+class Watched(io.FileIO):
+    """A file that counts what is read from it at a time and in all."""
+
+    largest = total = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.largest, self.total = max(self.largest, len(got)), self.total + len(got)
+        return got
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_archives_are_read_in_parts(tmp_path, monkeypatch, held):
+    if not held:
+        monkeypatch.setattr(balance_files, "HELD_BYTES", 1000)
+    lines = [f"{i};{random.Random(i).random()}" for i in range(100_000)]
+    path = tmp_path / "202501.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("other.bin", random.Random(1).randbytes(8_000_000))
+        archive.writestr("a.csv", "\n".join(lines))
+    file = Watched(path)
+    assert list(balance_files.member_lines(file)) == lines
+    size = path.stat().st_size
+    assert size > 8_000_000 and file.total < size - 7_900_000 + (0 if held else 2_000_000)
+    if not held:
+        assert file.largest <= balance_files.READ_BYTES
+    damaged = bytearray(path.read_bytes())
+    damaged[8_200_000] ^= 255
+    with pytest.raises((zipfile.BadZipFile, zlib.error)):
+        next(balance_files.member_lines(io.BytesIO(bytes(damaged))))
+
+
+@pytest.mark.parametrize("by_path", [False, True])
+def test_individual_file(spark, tmp_path, by_path):
+    _zip(tmp_path / "202501-4010-12345678.ZIP", {"x.csv": INDIVIDUAL})
+    if by_path:
         lines = balance_files.archive_lines(spark, str(tmp_path))
     else:
-        (tmp_path / "202501-4010-12345678.csv").write_bytes(INDIVIDUAL)
-        lines = balance_files.file_lines(spark, str(tmp_path))
+        files = spark.read.format("binaryFile").load(str(tmp_path))
+        listed = balance_files.archives(files, "abfss://elsewhere/landing")
+        assert listed.columns == ["path", "content"]
+        lines = balance_files.unpack_lines(listed)
     rows = {r.conta: r for r in balance_files.parse_individual(lines).collect()}
     assert set(rows) == {"7.1.1.00.00-1", "8.1.0.00.00-5"}
     row = rows["7.1.1.00.00-1"]
