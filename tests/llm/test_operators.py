@@ -247,30 +247,44 @@ def test_mix_comes_near_its_targets(documents):
 
 
 def test_lm_scores_equal_counting_by_hand(spark, documents):
-    rows = [(i, t, "en", "s") for i, t in enumerate(texts(40, 12))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts(40, 12))] + [(None, "the of of", "en", "s"), (None, None, "en", "s")]
     target = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
-    bits = (10, 12)
-    vocabulary = lm_score.Vocabulary(*bits)
     counts = [[collections.Counter() for _ in range(3)] for _ in range(2)]
     for i, t, *_ in rows:
-        ids = vocabulary.ids(t).tolist()
-        for model in ([0] if i % 3 == 0 else []) + [1]:
-            counts[model][0].update(ids)
-            counts[model][1].update([0, *ids[:-1]] if ids else [])
-            counts[model][2].update(vocabulary.pair_ids(np.array(ids, dtype=np.int64)).tolist() if ids else [])
-    tokens = [sum(c[0].values()) for c in counts]
-    got = {r.doc_id: r for r in lm_score.score(documents(rows), target, *bits).collect()}
-    for i, t, *_ in rows:
-        ids = vocabulary.ids(t).tolist()
-        pairs = vocabulary.pair_ids(np.array(ids, dtype=np.int64)).tolist() if ids else []
-        mean = []
+        words = (t or "").lower().split()
+        for model in ([0] if i is not None and i % 3 == 0 else []) + [1]:
+            for counter, values in zip(counts[model], (words, [None, *words[:-1]] if words else [], zip([None, *words[:-1]], words)), strict=True):
+                counter.update(values)
+    tokens, size = [sum(c[0].values()) for c in counts], len(counts[1][0])
+    got = {r.doc_id: r for r in lm_score.score(documents(rows), target).collect() if r.n_tokens or r.doc_id is not None}
+    assert len(got) == 41 and got[None].n_tokens == 3
+    for i, t, *_ in rows[:-1]:
+        words, mean = t.lower().split(), []
         for model in (0, 1):
             scale = 1 if model == 0 else tokens[0] / tokens[1]
-            losses = [-math.log2((counts[model][2][p] * scale + lm_score.PRIOR * (counts[model][0][w] * scale + 1) / (tokens[0] + 2**bits[0]))
-                                 / (counts[model][1][b] * scale + lm_score.PRIOR)) for w, p, b in zip(ids, pairs, [0, *ids[:-1]])]
+            word, context, pair = counts[model]
+            losses = [-math.log2((pair[b, w] * scale + lm_score.PRIOR * (word[w] * scale + 1) / (tokens[0] + size))
+                                 / (context[b] * scale + lm_score.PRIOR)) for b, w in zip([None, *words[:-1]], words)]
             mean.append(sum(losses) / len(losses) if losses else 0.0)
-        assert got[i].n_tokens == len(ids)
-        assert got[i].difference == pytest.approx(mean[0] - mean[1], abs=1e-4)
+        assert got[i].n_tokens == len(words)
+        assert (got[i].target_bits, got[i].background_bits) == pytest.approx(mean, abs=1e-6)
+
+
+def test_lm_blocks_come_back_as_they_were():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (lm_score.unpacked_keys(lm_score.packed_keys(keys)) == keys).all()
+        values = rng.integers(-5, 2**40, n)
+        assert (lm_score.unpacked(lm_score.packed(values)) == values).all()
+
+
+def test_lm_parts_are_shuffled_once(spark, documents):
+    target = spark.createDataFrame([(1,)], "doc_id long")
+    scored = lm_score.score(documents([(i, "a b c", "en", "s") for i in range(20)]), target)
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
 
 
 # -- quality rules
@@ -374,7 +388,7 @@ def test_odd_rows_have_results(spark, odd):
         labels = spark.createDataFrame([(1, 1, 1), (None, None, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
         path = public_tokenizers.path("word_bpe_49k.json")
         results = [pii.sanitise_spans(docs), line_dedup.drop_repeated_lines(docs, F.col("source")), bpe.encode_documents(docs, path),
-                   simhash.near_duplicates(docs), toxicity.score(docs, labels), mixing.mix(docs), lm_score.score(docs, labels, 8, 8),
+                   simhash.near_duplicates(docs), toxicity.score(docs, labels), mixing.mix(docs), lm_score.score(docs, labels),
                    quality.quality(docs), token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))]
         for result in results:
             assert result.count() == n
