@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prudentia.sinks.shared import new_path
+
 #: What separates words: the six ASCII white-space characters.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -26,22 +26,6 @@ def let_workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, as in tests on one machine, a temporary folder is set once.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
@@ -50,6 +34,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_columns(docs: DataFrame, *without: str) -> Column:
+    """The columns of ``docs`` as one struct, whatever their names; beside it operators name columns as they like."""
+    names = [c for c in docs.columns if c not in without]
+    return F.struct(*[F.col(f"`{c}`") for c in names], *([] if names else [F.lit(0).alias("none")])).alias("own")
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty for NULL."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prudentia.llm.common import stored, text_of, words_of
+from prudentia.llm.common import own_columns, stored, text_of, words_of
 
 #: The most frequent words of the languages, in the order of frequency.
 COMMON_WORDS = {
@@ -106,24 +106,21 @@ def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
     return stored(summed, "references")
 
 
-def _shares(counts: Column, parts: int) -> list[Column]:
-    """Counts followed by their whole, as shares; the last is what the counts leave of the whole."""
-    whole = F.greatest(counts[parts], F.lit(1)).cast("double")
-    shares = [counts[i] / whole for i in range(parts)]
-    rest = counts[parts].cast("double")
-    for i in range(parts):
-        rest = rest - counts[i]
-    return [*shares, rest / whole]
+def _shares(counts: Column) -> Column:
+    """Counts followed by their whole, as an array of shares; the last is what the counts leave of the whole."""
+    parts = F.slice(counts, 1, F.size(counts) - 1)
+    whole = F.element_at(counts, -1)
+    rest = whole - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.transform(F.concat(parts, F.array(rest)), lambda x: x / F.greatest(whole, F.lit(1)).cast("double"))
 
 
-def jensen_shannon(p: list[Column], q: list[Column]) -> Column:
-    """Distance, base 2, of two histograms given as shares."""
+def jensen_shannon(p: Column, q: Column) -> Column:
+    """Distance, base 2, of two histograms given as arrays of shares."""
     def term(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(F.lit(2.0) * a / (a + b))).otherwise(0.0)
 
-    total = F.lit(0.0)
-    for a, b in zip(p, q, strict=True):
-        total = total + term(a, b) + term(b, a)
+    terms = F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
@@ -136,9 +133,8 @@ def judged(measured: DataFrame, known: DataFrame, lang: str = "lang") -> DataFra
     words. ``known`` has one row per language.
     """
     both = measured.join(known, F.col(lang).cast("string") == F.col("_lang"), "left")
-    classes = jensen_shannon(_shares(F.col("_q.classes"), len(_CLASSES)), _shares(F.col("ref_classes"), len(_CLASSES)))
-    n_common = max(map(len, COMMON_WORDS.values()))
-    common = jensen_shannon(_shares(F.col("_q.common"), n_common), _shares(F.col("ref_common"), n_common))
+    classes = jensen_shannon(_shares(F.col("_q.classes")), _shares(F.col("ref_classes")))
+    common = jensen_shannon(_shares(F.col("_q.common")), _shares(F.col("ref_common")))
     failed = (F.col("_q.n_words") < LEAST_WORDS) | (100 * F.col("_q.n_repeat_words") > 50 * F.col("_q.n_words"))
     both = _once(both, "_d", F.struct(
         failed.alias("base_failed"), F.when(F.col("ref_classes").isNotNull(), classes).alias("class_distance"),
@@ -164,10 +160,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows.
+    """``docs`` without the rejected rows, their columns as they came, whatever their names.
 
     The references are summed in a first pass over the texts; the second measures and
-    judges each row where it stands, so that no text is shuffled.
+    judges each row where it stands, so that no text is shuffled. An empty table gives none.
     """
     known = references(with_features(docs.select("text", "lang"), repetition=False))
-    return judged(with_features(docs), known).where("_verdict.kept").select([F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(own_columns(docs), "text", "lang")
+    return judged(with_features(packed), known).where("_verdict.kept").select("own.*")

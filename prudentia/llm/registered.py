@@ -24,9 +24,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines that their source repeats, as digests."""
-    kept = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), F.col("source"))
-    return kept.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "lines_dropped",
+    """Texts of pages without the lines that their host repeats, as digests."""
+    pages = _table(spark, sf_dir, "pages")
+    text = line_dedup.page_text(F.col("html").cast("string"))
+    kept = line_dedup.drop_repeated_lines(pages.select("page_id", line_dedup.host_of(F.col("url")).alias("host"), text.alias("text")),
+                                          F.col("host"))
+    return kept.select("page_id", "host", F.char_length("text").cast("long").alias("n_chars"), "lines_dropped",
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -4,25 +4,32 @@ from __future__ import annotations
 
 LINE_DEDUP = r"""
 WITH page AS (
-    SELECT row_number() OVER () AS page, doc_id, source, text FROM documents
+    SELECT row_number() OVER () AS page, page_id,
+           nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host,
+           regexp_replace(regexp_replace(regexp_replace(html,
+               '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'),
+               '(?i)</?(?:p|div|br|li|ul|ol|nav|h[1-6]|title|head|body|html|header|footer|main|article|section|aside|form|'
+               || 'table|tr|td|th|blockquote|pre|figure|figcaption|dl|dt|dd|hr|option|select)\b[^>]*>', chr(10), 'g'),
+               '<[^>]*>', '', 'g') AS text
+    FROM pages
 ), line AS (
-    SELECT page, source, i, lines[i] AS line, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
-    FROM (SELECT page, source, lines, unnest(range(1, len(lines) + 1)) AS i
-          FROM (SELECT page, source, string_split(text, chr(10)) AS lines FROM page WHERE text IS NOT NULL))
+    SELECT page, host, i, lines[i] AS line, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+    FROM (SELECT page, host, lines, unnest(range(1, len(lines) + 1)) AS i
+          FROM (SELECT page, host, string_split(text, chr(10)) AS lines FROM page WHERE text IS NOT NULL))
 ), repeated AS (
-    SELECT source, bare
-    FROM (SELECT source, bare, count(DISTINCT page) AS n FROM line WHERE bare <> '' GROUP BY source, bare)
-    JOIN (SELECT source AS s, count(*) AS pages FROM page GROUP BY source) ON source IS NOT DISTINCT FROM s
-    WHERE n >= 5 AND n > 0.3 * pages
+    SELECT host, bare
+    FROM (SELECT host, bare, count(DISTINCT page) AS n FROM line WHERE bare <> '' GROUP BY host, bare)
+    JOIN (SELECT host AS h, count(*) AS pages FROM page GROUP BY host) ON host IS NOT DISTINCT FROM h
+    WHERE n >= 3 AND n > 0.1 * pages
 ), marked AS (
     SELECT line.page, i, line, repeated.bare IS NOT NULL AS dropped
-    FROM line LEFT JOIN repeated ON line.source IS NOT DISTINCT FROM repeated.source AND line.bare = repeated.bare
+    FROM line LEFT JOIN repeated ON line.host IS NOT DISTINCT FROM repeated.host AND line.bare = repeated.bare
 ), rebuilt AS (
     SELECT page, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text,
            count(*) FILTER (dropped) AS lines_dropped
     FROM marked GROUP BY page
 )
-SELECT doc_id, CAST(length(r.text) AS BIGINT) AS n_chars, coalesce(lines_dropped, 0) AS lines_dropped,
+SELECT page_id, host, CAST(length(r.text) AS BIGINT) AS n_chars, coalesce(lines_dropped, 0) AS lines_dropped,
        sha256(r.text) AS text_sha256
 FROM page LEFT JOIN rebuilt r USING (page)
 """

@@ -35,6 +35,8 @@ END_ID = 0
 #: Documents of lowest hash whose ids train the dictionary, and its size: a bound that affects size only, never content.
 DICTIONARY_DOCS = 2000
 DICTIONARY_BYTES = 1 << 16
+#: Bytes of frames that a reader asks for at a time.
+READ_BYTES = 4 << 20
 LEVEL = 3
 MEMO_PIECES = 500_000
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("length", "<u4")])
@@ -137,7 +139,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
-    """Write ``docs`` to ``folder``; returns file, n_docs, n_tokens, base (ids in the files before it).
+    """Write ``docs`` to ``folder``; returns file, number, n_docs, n_tokens, base (ids in the files before it).
 
     Rows are dealt into ranges of doc_id and sorted within each; files are numbered in
     the order of the ranges. Each document's ids end in ``END_ID``; a NULL text is
@@ -155,7 +157,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         bpe, task = byte_bpe(tokenizer), TaskContext.get()
-        name = f"part-{task.partitionId():05d}.ids"
+        name = f"part-{task.partitionId():05d}.ids"  # the number orders files, not the name
         draft = f"{root}/_{name}.{task.taskAttemptId()}"
         shared = _dictionary(dictionary)
         packer = zstandard.ZstdCompressor(level=LEVEL, **({"dict_data": shared} if shared else {}))
@@ -181,21 +183,23 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         out.write(packed + struct.pack(_TAIL, at, len(packed), len(entries), MAGIC))
         out.close()
         store.move(draft, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(entries)], pa.int64()), pa.array([start], pa.int64())],
-                                         ["file", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([name]), pa.array([task.partitionId()], pa.int64()), pa.array([len(entries)], pa.int64()), pa.array([start], pa.int64())],
+            ["file", "number", "n_docs", "n_tokens"])
 
     ranged = _own(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = stored(ranged.mapInArrow(filed, "file string, n_docs long, n_tokens long"), "manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = stored(ranged.mapInArrow(filed, "file string, number long, n_docs long, n_tokens long"), "manifest")
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def index_of(data: bytes) -> np.ndarray:
-    """The index of a file's bytes."""
-    at, length, n, magic = struct.unpack(_TAIL, data[-_TAIL_BYTES:])
-    if magic != MAGIC or data[: len(MAGIC)] != MAGIC:
+def index_of(source: pa.NativeFile) -> np.ndarray:
+    """The index of an open file; only its tail and the index are read."""
+    size = source.size()
+    at, length, n, magic = struct.unpack(_TAIL, source.read_at(_TAIL_BYTES, size - _TAIL_BYTES))
+    if magic != MAGIC or source.read_at(len(MAGIC), 0) != MAGIC:
         raise ValueError("not a file of token ids")
-    packed = zstandard.ZstdDecompressor().decompress(data[at:at + length], max_output_size=n * INDEX.itemsize)
+    packed = zstandard.ZstdDecompressor().decompress(source.read_at(length, at), max_output_size=n * INDEX.itemsize)
     return np.frombuffer(packed, dtype=INDEX)
 
 
@@ -212,14 +216,9 @@ def read_document(folder: str, file: str, doc_id: int) -> list[int] | None:
     with store.open_input_file(f"{root}/dictionary.zdict") as source:
         dictionary = source.read()
     with store.open_input_file(f"{root}/{file}") as source:
-        size = source.size()
-        at, length, n, magic = struct.unpack(_TAIL, source.read_at(_TAIL_BYTES, size - _TAIL_BYTES))
-        if magic != MAGIC:
-            raise ValueError("not a file of token ids")
-        packed = zstandard.ZstdDecompressor().decompress(source.read_at(length, at), max_output_size=n * INDEX.itemsize)
-        index = np.frombuffer(packed, dtype=INDEX)
+        index = index_of(source)
         place = int(np.searchsorted(index["doc_id"], doc_id))
-        if place == n or index["doc_id"][place] != doc_id:
+        if place == len(index) or index["doc_id"][place] != doc_id:
             return None
         digest = source.read_at(32, len(MAGIC))
         frame = source.read_at(int(index["length"][place]), int(index["offset"][place]))
@@ -227,33 +226,45 @@ def read_document(folder: str, file: str, doc_id: int) -> list[int] | None:
 
 
 def read(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files that ``write`` returned."""
-    spark = files.sparkSession
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files that ``write`` returned.
+
+    A task opens a file and reads its index, then its frames a few MB at a time.
+    """
     store, root = fs.FileSystem.from_uri(folder)
     with store.open_input_file(f"{root}/dictionary.zdict") as source:
         dictionary = source.read()
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = content.as_buffer()
-                index = index_of(memoryview(data))
-                view = memoryview(data)
-                reader = _reader(dictionary, bytes(view[len(MAGIC):len(MAGIC) + 32]))
-                for begin in range(0, len(index), 10_000):
-                    part = index[begin:begin + 10_000]
-                    crc = [zlib.crc32(reader.decompress(view[o:o + n])) for o, n in zip(part["offset"].tolist(), part["length"].tolist(), strict=True)]
-                    ids = pa.array([None if i == _NO_ID else i for i in part["doc_id"].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array((part["start"] + np.uint64(base)).astype(np.int64)), pa.array(part["n_tokens"].astype(np.int64)),
-                         pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder)
-    named = found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
-    return named.join(F.broadcast(files), "file").select("content", "base").mapInArrow(
+        store, root = fs.FileSystem.from_uri(folder)
+        for files, bases in rows(batches, "file", "base"):
+            for file, base in zip(files, bases, strict=True):
+                with store.open_input_file(f"{root}/{file}") as source:
+                    index = index_of(source)
+                    reader = _reader(dictionary, source.read_at(32, len(MAGIC)))
+                    for part in _stretches(index):
+                        first = int(part["offset"][0])
+                        data = memoryview(source.read_at(int(part["offset"][-1] + part["length"][-1]) - first, first))
+                        crc = [zlib.crc32(reader.decompress(data[o - first:o - first + n]))
+                               for o, n in zip(part["offset"].tolist(), part["length"].tolist(), strict=True)]
+                        ids = pa.array([None if i == _NO_ID else i for i in part["doc_id"].tolist()], pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [ids, pa.array((part["start"] + np.uint64(base)).astype(np.int64)), pa.array(part["n_tokens"].astype(np.int64)),
+                             pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.select("file", "base").repartition("file").mapInArrow(
         unpacked, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _stretches(index: np.ndarray) -> Iterator[np.ndarray]:
+    """Entries whose frames are read at once: some MB of a file, and one document at least."""
+    ends = (index["offset"] + index["length"]).astype(np.int64)
+    begin = 0
+    while begin < len(index):
+        stop = max(begin + 1, int(np.searchsorted(ends, int(index["offset"][begin]) + READ_BYTES, side="right")))
+        yield index[begin:min(stop, begin + 10_000)]
+        begin = min(stop, begin + 10_000)
+
+
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs`` to new files in the shared folder and read them back."""
     folder = new_path(docs.sparkSession, "token-files")

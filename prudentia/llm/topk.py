@@ -62,12 +62,14 @@ def cover_tree(vectors: np.ndarray, leaf: int = LEAF) -> Node:
     return node(np.arange(len(vectors)))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int = TOP) -> list[tuple]:
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int = TOP,
+           counted: list[int] | None = None) -> list[tuple]:
     """Per query the k best (score, id) of the data, its own id left out; ties to the smaller id.
 
     Pairs of nodes are taken in order of their bound: no product of points of two balls
     exceeds c·d + |c| r(d) + |d| r(c) + r(c) r(d). A pair goes if its bound is below the
     kth score of the worst query of its query node; equal bounds are kept for ties.
+    ``counted`` gets the number of products of each pair of leaves that was compared.
     """
     # ints of moderate size have exact products in doubles; beyond that integers of any size
     largest = max(float(np.abs(queries).max(initial=0)), float(np.abs(data).max(initial=0)))
@@ -83,6 +85,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np
         return top + slack * (abs(top) + a.norm * b.norm + 1)
 
     def compare(a: Node, b: Node) -> None:
+        if counted is not None:
+            counted.append(len(a.points) * len(b.points))
         for part in (b.points[i:i + 1024] for i in range(0, len(b.points), 1024)):
             scores = q[a.points] @ d[part].T
             for row, i in enumerate(a.points):

@@ -217,6 +217,43 @@ def test_toxicity_on_held_out_documents(spark, documents):
     assert all(r.predicted == (r.doc_id % 4 == 0) for r in got if r.held_out)
 
 
+def test_machine_learns_what_no_single_word_tells():
+    rng, fill = random.Random(1), [f"filler{i}" for i in range(60)]
+
+    def drawn(n):
+        sets, labels = [], []
+        for _ in range(n):
+            insult, group = rng.random() < 0.5, rng.random() < 0.5
+            words = {rng.choice(fill) for _ in range(12)} | {"scum" if insult else "fine"} | {"tribe" if group else "thing"}
+            sets.append(toxicity.features(words))
+            labels.append(float(insult == group))
+        return sets, np.array(labels)
+
+    machine = toxicity.fit(*drawn(1500))
+    sets, labels = drawn(400)
+    assert np.mean([(machine.score(s) >= 0.5) == (y > 0) for s, y in zip(sets, labels)]) > 0.97
+    assert np.abs(machine.weights).max() < 1.0  # it is in the factors
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(5)
+    machine = toxicity.Machine(-0.3, *(rng.normal(0, 0.4, s).astype(np.float32) for s in (toxicity.BUCKETS, (toxicity.BUCKETS, toxicity.FACTORS))))
+    for n in (0, 1, 2, 30):
+        ids = np.sort(rng.choice(toxicity.BUCKETS, n, replace=False))
+        logit = machine.bias + sum(float(machine.weights[i]) for i in ids) + sum(
+            float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) for a, i in enumerate(ids) for j in ids[a + 1:])
+        assert machine.score(ids) == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
+
+
+def test_class_ratio_holds_whatever_is_sampled():
+    rng = random.Random(8)
+    sets = [toxicity.features({f"w{rng.randint(0, 30)}" for _ in range(6)}) for _ in range(600)]
+    labels = np.array([float(i < 300) for i in range(600)])  # nothing tells them apart
+    even, rare = toxicity.fit(sets, labels), toxicity.fit(sets, labels, (2700.0, 300.0))
+    mean = [np.mean([m.score(s) for s in sets]) for m in (even, rare)]
+    assert 0.4 < mean[0] < 0.6 and 0.05 < mean[1] < 0.2
+
+
 # -- mixing
 
 
@@ -299,6 +336,52 @@ def slow_counts(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
 
 
+def slow_distance(counts, reference):
+    p, q = ([x / max(c[-1], 1) for x in [*c[:-1], c[-1] - sum(c[:-1])]] for c in (counts, reference))
+    total = sum(a * math.log2(2 * a / (a + b)) for x, y in zip(p, q) for a, b in ((x, y), (y, x)) if a > 0)
+    return math.sqrt(max(total / 2, 0))
+
+
+def slow_histograms(text, lang):
+    classes = [sum(map(test, text)) for test in (
+        lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c == "\n", lambda c: c in ".,;:!?'\"()[]-",
+        lambda c: c in "#*$%&|<>", lambda c: ord(c) >= 128)]
+    words, common = re.findall(r"[^\x20\x09-\x0D]+", text), quality.COMMON_WORDS.get(lang)
+    return [*classes, len(text)], None if common is None else [*(words.count(c) for c in common), len(words)]
+
+
+def test_quality_verdicts_equal_distances_by_hand(documents):
+    rng = random.Random(31)
+    rows = []
+    for i in range(160):
+        lang = rng.choice(["en", "de", "xx", None])
+        common = [*quality.COMMON_WORDS.get(lang, ("the",)), "Haus", "x1", "été", "and,"]
+        words = [rng.choice(common) for _ in range(rng.randint(30, 260))]
+        if i % 5 == 0:
+            words = [w.upper() + rng.choice(["!!", "###", "9", "é"]) for w in words]
+        if i % 7 == 0:
+            words = [f"q{rng.randint(0, 999)}" for _ in words]
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(words), lang, "s"))
+    found = {r[0]: (slow_counts(r[1]), *slow_histograms(r[1], r[2])) for r in rows}
+    got = {r.doc_id: r for r in quality.quality(documents(rows)).collect()}
+    rejected = 0
+    for i, text, lang, _ in rows:
+        counts, classes, common = found[i]
+        same = [found[j] for j, _, other, _ in rows if other == lang and lang is not None and found[j][0][0] >= quality.LEAST_WORDS]
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        by_class = by_word = None
+        if len(same) >= quality.LEAST_DOCS:
+            by_class = slow_distance(classes, [sum(x) for x in zip(*(s[1] for s in same))])
+            if common is not None and counts[0] >= quality.LEAST_WORDS_COMMON:
+                by_word = slow_distance(common, [sum(x) for x in zip(*(s[2] for s in same))])
+        assert got[i].class_distance == (by_class if by_class is None else pytest.approx(by_class, abs=1e-9))
+        assert got[i].common_distance == (by_word if by_word is None else pytest.approx(by_word, abs=1e-9))
+        kept = not failed and (by_class or 0) <= quality.MOST_CLASSES and (by_word or 0) <= quality.MOST_COMMON
+        assert (got[i].base_failed, got[i].kept) == (failed, kept)
+        rejected += not failed and not kept
+    assert rejected > 10
+
+
 def test_quality_counts_and_verdicts(documents):
     rng = random.Random(10)
     rows = [(i, t + rng.choice(["", "\n" + t, " # | é x", "\n \nA b\nA b"]), "en", "s") for i, t in enumerate(texts(300, 11, 120))]
