@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prudentia.llm.common import own_columns, stored
+from prudentia.llm.common import BLANKS, own_columns, stored
 
 #: A line goes if more than this share of its site's pages have it, and at least so many.
 RATIO = 0.1
@@ -13,7 +13,7 @@ LEAST_PAGES = 3
 #: Elements that stand on lines of their own, and parts of a page that hold no text.
 BLOCKS = ("p|div|br|li|ul|ol|nav|h[1-6]|title|head|body|html|header|footer|main|article|section|aside|form|table|tr|td|th|"
           "blockquote|pre|figure|figcaption|dl|dt|dd|hr|option|select")
-NO_TEXT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+NO_TEXT = r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)"
 
 
 def host_of(url: Column) -> Column:
@@ -30,9 +30,9 @@ def page_text(html: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """128 bits that stand for a line without its outer blanks; NULL for a blank one."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
+    """128 bits, as text, that stand for a line without its outer blanks; NULL for a blank one."""
+    bare = F.btrim(line, F.lit(BLANKS))
+    return F.when(bare != "", F.md5(bare.cast("binary")))
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
