@@ -38,7 +38,7 @@ DICTIONARY_BYTES = 1 << 16
 #: Bytes of frames that a reader asks for at a time.
 READ_BYTES = 4 << 20
 LEVEL = 3
-MEMO_PIECES = 500_000
+MEMO_PIECES = 1_000_000
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n_tokens", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 _TAIL = "<QQQ8s"
 _TAIL_BYTES = struct.calcsize(_TAIL)
@@ -87,16 +87,18 @@ class ByteBpe:
         special = [any(s in text for s in self.special) for text in texts]
         memo = self.memo
         split = [[] if s else (_PLAIN_PIECE if _PLAIN.fullmatch(t) else _PIECE).findall(t) for s, t in zip(special, texts, strict=True)]
-        missing = {p for pieces in split for p in pieces if p not in memo}
+        distinct = set().union(*split)
+        missing = distinct.difference(memo)
         if missing:
             if len(memo) + len(missing) > MEMO_PIECES:
                 memo.clear()
-                missing = {p for pieces in split for p in pieces}
-            words = [p for p in missing if _LETTERS.fullmatch(p)]
-            others = [p for p in missing if not _LETTERS.fullmatch(p)]
+                missing = distinct
+            words = list(filter(_LETTERS.fullmatch, missing))
+            others = list(missing.difference(words))
             memo.update(zip(words, self._words(words), strict=True))
             memo.update(zip(others, self._encoded(others), strict=True))
-        return [self._encoded([t])[0] if s else b"".join([memo[p] for p in pieces])
+        known = memo.__getitem__
+        return [self._encoded([t])[0] if s else b"".join(map(known, pieces))
                 for s, t, pieces in zip(special, texts, split, strict=True)]
 
 
@@ -109,7 +111,7 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _some(found: Iterator[tuple], most: int = 500) -> Iterator[tuple]:
+def _some(found: Iterator[tuple], most: int = 1500) -> Iterator[tuple]:
     """The rows in parts of at most ``most``."""
     for columns in found:
         for begin in range(0, len(columns[0]), most):
@@ -145,7 +147,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     the order of the ranges. Each document's ids end in ``END_ID``; a NULL text is
     empty, rows without doc_id come first, rows of one doc_id in the order of their
     texts. A file is written under a name of the attempt and then takes its final name,
-    so that a repeated task replaces it by an equal one. A task holds some hundred
+    so that a repeated task replaces it by an equal one. A task holds some 1,500
     documents and the index.
     """
     dictionary = train_dictionary(docs, tokenizer)
