@@ -67,6 +67,12 @@ class ByteBpe:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
+    def _plain_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of a blank and ASCII letters, which the byte-level alphabet leaves as they are but for the blank."""
+        merged, pack = self.library.model.tokenize, struct.pack
+        found = ([t.id for t in merged("\u0120" + w[1:])] for w in words)
+        return [pack(f"<{len(ids)}I", *ids) for ids in found]
+
     def _words(self, words: list[str], together: int = 2000) -> list[bytes]:
         """Ids of words of a blank and letters: written one after the other they stay the words that they are."""
         out = []
@@ -95,6 +101,9 @@ class ByteBpe:
                 missing = distinct
             words = list(filter(_LETTERS.fullmatch, missing))
             others = list(missing.difference(words))
+            plain = list(filter(str.isascii, words))
+            words = list(set(words).difference(plain))
+            memo.update(zip(plain, self._plain_words(plain), strict=True))
             memo.update(zip(words, self._words(words), strict=True))
             memo.update(zip(others, self._encoded(others), strict=True))
         known = memo.__getitem__
