@@ -23,7 +23,7 @@ def list_institutions(
 
     A segment of ``ALL`` and an empty code list mean no filter.
     """
-    registry = at_period(filings.cadastro, None, of=filings.cadastro)
+    registry = at_period(filings.cadastro, None, of=filings.registry_periods)
     if segmento and segmento != "ALL":
         registry = registry.where(F.col("segmento") == segmento)
     if codes:
@@ -37,7 +37,7 @@ def list_institutions(
 
 def institution_details(filings: Filings, cod_conglomerado: int | None = None) -> DataFrame:
     """One row of registry details per institution, newest registry."""
-    registry = at_period(filings.cadastro, None, of=filings.cadastro)
+    registry = at_period(filings.cadastro, None, of=filings.registry_periods)
     if cod_conglomerado is not None:
         registry = registry.where(F.col("cod_conglomerado") == cod_conglomerado)
     return (

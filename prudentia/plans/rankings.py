@@ -165,7 +165,7 @@ def top_by_balances(
 
 def registry_bridge(filings: Filings) -> DataFrame:
     """Tax-id root to group code, from the newest registry."""
-    registry = at_period(filings.cadastro, None, of=filings.cadastro)
+    registry = at_period(filings.cadastro, None, of=filings.registry_periods)
     return (
         registry.select("cnpj", "cod_conglomerado", "nome_conglomerado")
         .distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prudentia.constants import CAPITAL, INCOME, INCOME_RENAMES, LINE_ASSETS, SUMMARY
 from prudentia.operators.lines import line_regex
-from prudentia.operators.periods import distinct_periods
+from prudentia.operators.periods import distinct_periods, newest_rows
 from prudentia.schemas import REPORT_VALUES
 from prudentia.sources.base import Filings
 
@@ -68,10 +68,9 @@ def income_lines(filings: Filings, cod_conglomerado: int | None = None) -> DataF
 LINES_OF_REPORT = {CAPITAL: capital_lines, SUMMARY: summary_lines, INCOME: income_lines}
 
 
-def compare_institutions(
+def _compared(
     filings: Filings, codes: Sequence[int] | None, line: str, relatorio: str
 ) -> DataFrame:
-    """One line over time for several entities (None: for all)."""
     columns = ("ano_mes", "cod_conglomerado", "nome_conglomerado", "valor_a")
     if codes is not None and not codes:
         fields = [REPORT_VALUES.schema[c] for c in columns]
@@ -79,19 +78,23 @@ def compare_institutions(
     rows = filings.report_lines(relatorio).where(F.col("nome_linha") == line)
     if codes is None:
         return rows.select(*columns)
-    rows = rows.where(F.col("cod_conglomerado").isin(*codes))
-    return rows.select(*columns).orderBy("ano_mes", "nome_conglomerado")
+    return rows.where(F.col("cod_conglomerado").isin(*codes)).select(*columns)
+
+
+def compare_institutions(
+    filings: Filings, codes: Sequence[int] | None, line: str, relatorio: str
+) -> DataFrame:
+    """One line over time for several entities (None: for all)."""
+    rows = _compared(filings, codes, line, relatorio)
+    return rows if codes is None else rows.orderBy("ano_mes", "nome_conglomerado")
 
 
 def latest_comparison(
     filings: Filings, codes: Sequence[int] | None, line: str, relatorio: str
 ) -> DataFrame:
     """The compared entities in their newest common table period, by value."""
-    rows = compare_institutions(filings, codes, line, relatorio)
-    newest = rows.select(F.max("ano_mes")).scalar()
-    return rows.where(F.col("ano_mes") == newest).orderBy(
-        F.asc_nulls_last("valor_a"), "cod_conglomerado"
-    )
+    rows = _compared(filings, codes, line, relatorio)
+    return newest_rows(rows).orderBy(F.asc_nulls_last("valor_a"), "cod_conglomerado")
 
 
 def report_periods(filings: Filings) -> DataFrame:

@@ -81,8 +81,6 @@ def from_records(records: DataFrame, spec: TableSpec) -> DataFrame:
 def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> list[Row]:
     """Replace the partitions present in ``rows``; return their keys.
 
-    Rebalancing gathers a partition's rows into well-sized files and, unlike a
-    hash repartition, lets Spark split a partition that holds most of the rows.
     Rows that break a not-null rule go to the quarantine instead; when there are
     some, the input is read once more for them.
     """
@@ -94,29 +92,13 @@ def replace_partitions(store: Warehouse, spec: TableSpec, rows: DataFrame) -> li
     # Counting the rejects on the way costs nothing; they are computed again
     # only when there are some.
     counted = typed.observe(checked, F.count_if(~valid).alias("rejected"))
-    (
-        counted.where(valid)
-        .hint("rebalance", *spec.partition_by)
-        .sortWithinPartitions(*spec.partition_by, *spec.sort_by)
-        .observe(seen, F.collect_set(F.struct(*spec.partition_by)).alias("partitions"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .options(**lookup_options(spec))
-        .partitionBy(*spec.partition_by).parquet(store.path(spec))
-    )
+    keys = F.collect_set(F.struct(*spec.partition_by)).alias("partitions")
+    store.replace(spec, counted.where(valid).observe(seen, keys))
     if observed(checked, "rejected"):
         quarantine(store, spec.name, typed.where(~valid), spec.partition_by, "not null")
     return observed(seen, "partitions") or []
 
 
-def lookup_options(spec: TableSpec) -> dict[str, str]:
-    """Bloom filters on the columns by which single entities are looked up.
-
-    Files are sorted by the first of them, so its row groups are found by their range; the
-    filters let a lookup by any of them skip the row groups that lack the value.
-    """
-    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.lookup_by}
-
-
 def observed(observation: Observation, name: str) -> Any:
     """A metric of a finished write; None when the write had no task to run,
     in which case Spark reports no metrics at all."""

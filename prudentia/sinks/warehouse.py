@@ -17,6 +17,16 @@ ASIDE = "_before"
 OTHER_LOADS = (BALANCES_LOG, INDIVIDUAL_LOG, REGISTRY_LOG)
 
 
+def write_options(spec: TableSpec) -> dict[str, str]:
+    """Only partitions that are written are replaced; Bloom filters for lookups of entities.
+
+    Files are sorted by the first of the lookup columns, so its row groups are found by their
+    range; the filters let a lookup by any of them skip the row groups that lack the value.
+    """
+    filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.lookup_by}
+    return {"partitionOverwriteMode": "dynamic"} | filters
+
+
 class Warehouse:
     """Filings backed by stored tables.
 
@@ -54,6 +64,19 @@ class Warehouse:
                 return stored.select(*spec.schema.names)
         return self.spark.createDataFrame([], spec.schema)
 
+    def replace(self, spec: TableSpec, rows: DataFrame) -> None:
+        """Write ``rows`` in place of the partitions that they have.
+
+        Rebalancing gathers a partition's rows into well-sized files and, unlike a
+        hash repartition, lets Spark split a partition that holds most of the rows.
+        """
+        (
+            rows.hint("rebalance", *spec.partition_by)
+            .sortWithinPartitions(*spec.partition_by, *spec.sort_by)
+            .write.mode("overwrite").options(**write_options(spec))
+            .partitionBy(*spec.partition_by).parquet(self.path(spec))
+        )
+
     @property
     def cadastro(self) -> DataFrame:
         return self.read("cadastro")
@@ -74,6 +97,12 @@ class Warehouse:
     def dead_letters(self) -> DataFrame:
         return self.read("dead_letters")
 
+    @property
+    def registry_periods(self) -> DataFrame:
+        """Periods with a registry, from the load log."""
+        loaded = (F.col("relatorio") == REGISTRY_LOG) & (F.col("row_count") > 0)
+        return self.fetch_log.where(loaded).select("ano_mes").distinct()
+
     @property
     def report_periods(self) -> DataFrame:
         """Periods with lines of any report, from the load log: a few rows, not the facts."""

@@ -11,8 +11,9 @@ class Filings(Protocol):
     """The tables behind the queries.
 
     ``report_lines`` and ``balances`` are methods so that a query names the
-    reports or documents it needs and only those are read. ``report_periods``
-    and ``top50_periods`` answer "which periods exist" without the tables' rows.
+    reports or documents it needs and only those are read. ``registry_periods``,
+    ``report_periods`` and ``top50_periods`` answer "which periods exist" without the
+    tables' rows.
     """
 
     spark: SparkSession
@@ -29,6 +30,9 @@ class Filings(Protocol):
     @property
     def fetch_log(self) -> DataFrame: ...
 
+    @property
+    def registry_periods(self) -> DataFrame: ...
+
     @property
     def report_periods(self) -> DataFrame: ...
 

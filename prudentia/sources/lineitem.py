@@ -127,6 +127,10 @@ def _cell(report: str, position: int, code: int, name: str, value: str) -> str:
     )
 
 
+#: The registry lacks a supplier with a negative balance in the first and third quarter.
+REGISTERED = "s_acctbal >= 0 or ano_mes % 100 in (6, 12)"
+
+
 class LineitemFilings:
     """The six tables, computed from ``{sf_dir}/*.parquet`` on demand."""
 
@@ -142,9 +146,18 @@ class LineitemFilings:
     def _lines(self) -> DataFrame:
         return self.source("lineitem")
 
+    def _active(self) -> DataFrame:
+        """Suppliers and the quarters in which they have order lines."""
+        return self._lines.selectExpr("l_suppkey as s_suppkey", f"{QUARTER} as ano_mes").distinct()
+
+    @cached_property
+    def registry_periods(self) -> DataFrame:
+        """Quarters of the registry; places, which every supplier has, are left out."""
+        both = self._active().join(self.source("supplier"), "s_suppkey")
+        return both.where(REGISTERED).select("ano_mes").distinct()
+
     @cached_property
     def cadastro(self) -> DataFrame:
-        active = self._lines.selectExpr("l_suppkey as s_suppkey", f"{QUARTER} as ano_mes")
         registered = (
             self.source("supplier")
             .join(self.source("nation").withColumnRenamed("n_nationkey", "s_nationkey"),
@@ -152,9 +165,7 @@ class LineitemFilings:
             .join(self.source("region").withColumnRenamed("r_regionkey", "n_regionkey"),
                   "n_regionkey")
         )
-        both = active.distinct().join(registered, "s_suppkey").where(
-            "s_acctbal >= 0 or ano_mes % 100 in (6, 12)"
-        )
+        both = self._active().join(registered, "s_suppkey").where(REGISTERED)
         return both.selectExpr(
             "ano_mes",
             "cast(s_suppkey as int) as cod_conglomerado",

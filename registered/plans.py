@@ -18,6 +18,7 @@ from prudentia.plans import ratios, report_lines, tables
 from prudentia.plans.rankings import ALL_PERIODS
 from prudentia.schemas import BALANCETES_RAW, REPORT_VALUES
 from prudentia.sinks import load
+from prudentia.sinks.bucketed import BucketedWarehouse
 from prudentia.sinks.shared import new_path
 from prudentia.sinks.warehouse import Warehouse
 from prudentia.sources import balance_files, registry_files, report_files
@@ -362,6 +363,14 @@ def loaded_mapping(f: LineitemFilings) -> DataFrame:
     return store.institution_mapping
 
 
+def loaded_ratios(f: LineitemFilings) -> DataFrame:
+    """Ratios of report lines that were loaded into buckets of their entity: read without a shuffle."""
+    store = BucketedWarehouse(f.spark, new_path(f.spark, "tables"), 8)
+    load.load_report_values(store, f.report_lines(CAPITAL).withColumn("valor_a", F.lit(-1.0)))
+    load.load_report_values(store, f.report_lines(CAPITAL, SUMMARY, INCOME))
+    return ratios.financial_ratios(store)
+
+
 def repaired_store(f: LineitemFilings) -> DataFrame:
     """Balances stored as they came, with zero check digits, and then repaired where they stand."""
     store = _store(f)
@@ -472,6 +481,7 @@ QUERIES: dict[str, Query] = {
     "loaded_top50": loaded_top50,
     "loaded_log": loaded_log,
     "loaded_mapping": loaded_mapping,
+    "loaded_ratios": loaded_ratios,
     "repaired_store": repaired_store,
     # files
     "parsed_consolidated": parsed_consolidated,

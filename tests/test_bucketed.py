@@ -1,0 +1,80 @@
+"""Report lines stored in buckets of their entity: no shuffle by entity."""
+
+from __future__ import annotations
+
+import pytest
+
+from prudentia import schemas
+from prudentia.plans import ratios, report_lines
+from prudentia.sinks import load
+from prudentia.sinks.bucketed import BucketedWarehouse
+from prudentia.sinks.warehouse import Warehouse
+from tests.builders import frame, line
+
+PERIODS = (202403, 202406, 202409)
+
+
+def lines(periods=PERIODS, entities=range(1, 20), factor=1.0):
+    return [
+        line(cod, factor * cod * (period % 100), name, period, report)
+        for cod in entities for period in periods
+        for name, report in (("Ativo Total", "1"), ("Lucro Líquido", "1"), ("Índice de Basileia", "5"))
+    ]
+
+
+@pytest.fixture
+def bucketed(spark, tmp_path):
+    return BucketedWarehouse(spark, str(tmp_path / "bucketed"), 4)
+
+
+def filed(spark, rows):
+    return frame(spark, schemas.REPORT_VALUES, rows)
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_queries_by_entity_do_not_shuffle(spark, bucketed):
+    load.load_report_values(bucketed, filed(spark, lines()))
+    for query in (ratios.financial_ratios, ratios.latest_ratios, report_lines.headline_values):
+        assert exchanges(query(bucketed)) == 0, query.__name__
+    own = report_lines.first_per_period(bucketed.report_lines("1"))
+    assert exchanges(own) == 0
+    assert exchanges(own.join(ratios.latest_ratios(bucketed).hint("merge"), "cod_conglomerado")) == 0
+
+
+def test_results_equal_those_of_plain_tables(spark, bucketed, store):
+    for stored in (bucketed, store):
+        load.load_report_values(stored, filed(spark, lines(factor=9.0)))
+        load.load_report_values(stored, filed(spark, lines(PERIODS[1:], range(3, 30))))
+        assert sorted(load.load_report_values(stored, filed(spark, lines((202412,)))).partitions) == [
+            (202412, "1"), (202412, "5")]
+    for query in (Warehouse.report_lines, ratios.financial_ratios, ratios.latest_ratios, report_lines.headline_values):
+        assert sorted(map(repr, query(bucketed).collect())) == sorted(map(repr, query(store).collect()))
+    assert bucketed.fetch_log.count() == store.fetch_log.count() == 8
+
+
+def test_files_alone_hold_the_rows(spark, bucketed):
+    load.load_report_values(bucketed, filed(spark, lines()))
+    for name in spark.catalog.listTables():
+        if name.name.startswith("report_values_"):
+            spark.sql(f"DROP TABLE {name.name}")
+    again = BucketedWarehouse(spark, bucketed.root, {"report_values": 4})
+    assert again.report_lines().count() == 171 and exchanges(ratios.financial_ratios(again)) == 0
+    assert BucketedWarehouse(spark, bucketed.root, 8).report_lines().count() == 0
+
+
+def test_an_entity_with_most_rows_and_rejected_rows(spark, bucketed):
+    rows = lines() + [line(7, float(n), f"Linha {n}", 202406, "1") for n in range(500)]
+    rejected = filed(spark, [line(1, 1.0, "X", 202406, "1")]).selectExpr(
+        *[f"cast(null as string) as {c}" if c == "nome_linha" else c for c in schemas.REPORT_VALUES.schema.names])
+    assert load.load_report_values(bucketed, filed(spark, rows).unionByName(rejected)).rows == 671
+    assert spark.read.parquet(f"{bucketed.root}/_quarantine/report_values").count() == 1
+
+
+def test_empty_input_and_unknown_tables(spark, bucketed):
+    assert load.load_report_values(bucketed, filed(spark, [])) == load.NOTHING
+    assert bucketed.report_lines().count() == ratios.financial_ratios(bucketed).count() == 0
+    with pytest.raises(ValueError):
+        BucketedWarehouse(spark, bucketed.root, {"balancetes_raw": 8})

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from prudentia import schemas
-from prudentia.plans import income, rankings, ratios, report_lines, tables
+from prudentia.plans import income, institutions, rankings, ratios, report_lines, tables
 from prudentia.operators.pivot import cell_at, unfolded
 from prudentia.sinks import load
 from prudentia.sources.lineitem import LineitemFilings
@@ -52,6 +52,23 @@ def test_shares_read_lines_and_registry_once(plans):
     assert "share_part" in text and "share_part" in plans["market_share"]
 
 
+def test_listings_read_the_registry_once(plans, stored):
+    for name in ("list_institutions", "entity_details", "institution_cards"):
+        assert plans[name].count("nation.parquet") == 1, name
+    text = plan(institutions.list_institutions(stored))
+    scans = re.findall(r"FileScan parquet .*", text)
+    assert sum("/cadastro" in scan for scan in scans) == 1
+    assert re.search(r"PartitionFilters: \[[^\]]*ano_mes[^\]]*[Ss]ubquery", text)
+
+
+def test_latest_comparison_computes_lines_once(spark):
+    found = report_lines.latest_comparison(LineitemFilings(spark, SF_DIR), None, "Índice de Basileia", "5")
+    rows = found.collect()
+    assert rows and len({r.ano_mes for r in rows}) == 1
+    final = plan(found).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
 def test_ratios_take_one_scan_and_one_shuffle_of_lines(plans):
     text = plans["financial_ratios"]
     assert text.count("FileScan") == 1
