@@ -57,6 +57,10 @@ class SmallFilings:
         self.institution_mapping = frame(spark, schemas.INSTITUTION_MAPPING, list(mappings))
         self.fetch_log = frame(spark, schemas.FETCH_LOG, [])
 
+    @property
+    def registry_periods(self):
+        return self.cadastro.select("ano_mes").distinct()
+
     @property
     def report_periods(self):
         return self._lines.select("ano_mes").distinct()
