@@ -7,7 +7,9 @@ repeats its tasks, and a load may read the table it is about to change.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -252,10 +254,27 @@ def _known_accounts(store: Warehouse) -> DataFrame:
     return store.read(ACCOUNT_INDEX.name)
 
 
+@contextmanager
+def _learned_repairs(store: Warehouse, balances: DataFrame) -> Iterator[DataFrame]:
+    """The repair map of some balances, stored beside the tables while a load needs it.
+
+    Read back, its size is known from the files before the join is planned: where the map
+    is small, the balances are not shuffled by account, of which there are few.
+    """
+    folder = f"{store.root}/_digit_repairs-{uuid.uuid4().hex}"
+    learned = digit_repair_map(store.spark, balances)
+    try:
+        learned.write.parquet(folder)
+        yield store.spark.read.schema(learned.schema).parquet(folder)
+    finally:
+        system, path = store.file(folder)
+        system.delete(path, True)
+
+
 def _replace_balances(store: Warehouse, rows: DataFrame) -> list[Row]:
     """Repair accounts, replace the partitions and index their accounts."""
-    repairs = digit_repair_map(store.spark, _known_accounts(store))
-    keys = replace_partitions(store, BALANCETES_RAW, repair_accounts(rows, repairs))
+    with _learned_repairs(store, _known_accounts(store)) as repairs:
+        keys = replace_partitions(store, BALANCETES_RAW, repair_accounts(rows, repairs))
     if keys:
         _index_accounts(store, store.balances().where(_in_partitions(BALANCETES_RAW, keys)))
     return keys
@@ -353,20 +372,17 @@ def repair_stored_accounts(store: Warehouse) -> int:
     rebuilt in one job.
     """
     balances = store.balances()
-    # Stored beside the tables and read back: Spark then knows its size from the files.
-    folder = f"{store.root}/_digit_repairs"
-    learned = digit_repair_map(store.spark, balances)
-    learned.write.mode("overwrite").parquet(folder)
-    repairs = store.spark.read.schema(learned.schema).parquet(folder)
-    changed = (
-        balances.where(has_zero_digit(F.col("conta")))
-        .join(repairs, F.col("conta") == F.col("zero_conta"), "left_semi")
-        .groupBy("ano_mes", "documento").agg(F.count(F.lit(1)).alias("row_count"))
-        .collect()  # one row per partition
-    )
+    with _learned_repairs(store, balances) as repairs:
+        changed = (
+            balances.where(has_zero_digit(F.col("conta")))
+            .join(repairs, F.col("conta") == F.col("zero_conta"), "left_semi")
+            .groupBy("ano_mes", "documento").agg(F.count(F.lit(1)).alias("row_count"))
+            .collect()  # one row per partition
+        )
+        if changed:
+            affected = balances.where(_in_partitions(BALANCETES_RAW, changed))
+            replace_partitions(store, BALANCETES_RAW, repair_accounts(affected, repairs))
     if changed:
-        affected = balances.where(_in_partitions(BALANCETES_RAW, changed))
-        replace_partitions(store, BALANCETES_RAW, repair_accounts(affected, repairs))
         _index_accounts(store, store.balances().where(_in_partitions(BALANCETES_RAW, changed)))
     since = store.balances().where(F.col("ano_mes") >= FIRST_ZERO_DIGIT_PERIOD)
     periods = [r.ano_mes for r in since.select("ano_mes").distinct().collect()]

@@ -175,6 +175,30 @@ def test_fallback_repairs_without_history(spark, store):
     assert {r.conta for r in store.balances().collect()} == {"6.0.0.00.00-2", "7.1.0.00.00-0"}
 
 
+def test_balances_are_not_shuffled_by_account(spark, store, monkeypatch):
+    """There are few accounts: the rows of a load meet the small repair map where they are read."""
+    plans, replace = [], store.replace
+
+    def noted(spec, rows):
+        if spec is schemas.BALANCETES_RAW:
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        replace(spec, rows)
+
+    monkeypatch.setattr(store, "replace", noted)
+    old = [balance(A, 1.0, 202412, "7.1.0.00.00-8", "4010"), balance(A, 5e6, 202412)]
+    load.load_balances(store, frame(spark, schemas.BALANCETES_RAW, old))
+    new = [balance(A, 2.0, 202501, "7.1.0.00.00-0", "4010"), balance(B, 3.0, 202501, "9.9.9.00.00-0", "4010")]
+    load.load_individual_balances(store, frame(spark, schemas.BALANCETES_RAW, new))
+    assert len(plans) == 2
+    for text in plans:
+        assert "BroadcastHashJoin" in text and "hashpartitioning(conta" not in text
+    stored = {(r.ano_mes, r.conta) for r in store.balances("4010").collect()}
+    assert stored == {(202412, "7.1.0.00.00-8"), (202501, "7.1.0.00.00-8"), (202501, "9.9.9.00.00-0")}
+    system, root = store.file(store.root)
+    left = [f.getPath().getName() for f in system.listStatus(root)]
+    assert not [name for name in left if name.startswith("_digit_repairs")]
+
+
 def test_stored_accounts_are_repaired_once(spark, store):
     raw = [balance(A, 5e6, 202412), balance(A, 6e6, 202501, "6.0.0.00.00-0"),
            balance(B, 7e6, 202501, "6.0.0.00.00-0"), balance(B, 1.0, 202501, "9.9.9.00.00-0")]
